@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import chat, secret_scan, sharding, token_counts
-from marketframe.llm.common import new_path
+from marketframe.llm import chat, decontamination, near_dup, packing, quality, secret_scan, sharding, token_counts, toxicity
+from marketframe.llm.common import new_path, saved
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,45 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Scores from here on count as toxic.
+TOXIC = 0.3
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    fold = lambda key: F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
+    model = toxicity.fit(docs, labels.select("doc_id", "toxic"), train=fold("doc_id") != 2)
+    return toxicity.score(docs, model).select(
+        "doc_id", (fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality")
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as known
+
+    load = packing.byte_bpe_encoder(known.path("byte_bpe_50k.json"), known.path("byte_bpe_50k.tiktoken"), known.PATTERN)
+    made = saved(packing.pieces(table(spark, sf_dir, "documents"), load, END_ID), "pieces")
+    return packing.packed(made)
+
+
+#: The id that ends a document in a packed sequence.
+END_ID = 2
+
+
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.grouped(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -61,10 +100,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_secret_scan": op2_secret_scan,
+        "op4_toxicity": op4_toxicity,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_decontamination": op6_decontamination,
+        "op7_packing": op7_packing,
+        "op8_near_dup": op8_near_dup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_sharding": op10_sharding,
     }
 
 
+WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id AS id, {WORDS} AS w FROM documents),
+     b AS (SELECT item_id AS id, {WORDS} AS w FROM benchmark),
+     ds AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+     bs AS (SELECT DISTINCT id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - 3)) AS i FROM b)),
+     n AS (SELECT id, count(*) AS n FROM bs GROUP BY id),
+     m AS (SELECT ds.id AS doc_id, bs.id AS item_id, count(*) AS shared FROM ds JOIN bs USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, n AS n_shingles, shared AS n_shared, shared / n AS containment
+FROM m JOIN n ON n.id = m.item_id WHERE 100 * shared >= 80 * n
+"""
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP8_SQL = rf"""
+WITH RECURSIVE
+     d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array({LOWER}, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+     s AS (SELECT DISTINCT id, array_to_string(w[i:i + 3], ' ') AS s
+           FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+     n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+     m AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+     l AS (SELECT a, b FROM m JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+     r(id, root) AS (SELECT id, id FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.id WHERE r.root < l.b),
+     c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c ON c.id = doc_id LEFT JOIN n ON n.id = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_decontamination": OP6_SQL, "op8_near_dup": OP8_SQL}
