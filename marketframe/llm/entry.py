@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import chat, decontamination, near_dup, packing, quality, secret_scan, sharding, token_counts, toxicity
+from marketframe.llm import chat, decontamination, near_dup, packing, quality, repeats, secret_scan, sharding, token_counts, toxicity
 from marketframe.llm.common import new_path, saved
 
 
@@ -40,6 +40,11 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Scores from here on count as toxic.
 TOXIC = 0.3
 
@@ -100,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_secret_scan": op2_secret_scan,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op6_decontamination": op6_decontamination,
