@@ -87,19 +87,20 @@ def read_earnings(spark: SparkSession, root: str, tickers: str | Sequence[str])
     return _read_tickers(spark, f"{root}/earnings_by_ticker", tickers)
 
 
-#: Folders to Spark formats.
-FORMATS = {"parquet": "parquet", "csv": "csv", "json": "json", "orc": "orc", "txt": "text"}
-
-
-def read_tree(spark: SparkSession, root: str, suffix: str, format: str = "parquet", skip_corrupt: bool = True, **options) -> DataFrame:
+def read_tree(spark: SparkSession, root: str, suffix: str, format: str = "parquet", skip_corrupt: bool = True, schema: str | None = None, **options) -> DataFrame:
     """All files below ``root`` that end in ``suffix``, as one table.
 
     FileNotFoundError if there are none; unreadable files are passed over unless
-    ``skip_corrupt`` is false.
+    ``skip_corrupt`` is false. Without a schema parquet footers are all read to
+    find it, as any file may be the unreadable one; pass one for large trees.
     """
     if not _exists(spark, root):
         raise ValueError(f"no such folder: {root}")
     reader = spark.read.format(format).options(**{"recursiveFileLookup": True, "pathGlobFilter": f"*{suffix}", "ignoreCorruptFiles": skip_corrupt, **options})
+    if schema:
+        reader = reader.schema(schema)
+    elif format == "parquet":
+        reader = reader.option("mergeSchema", skip_corrupt)
     try:
         df = reader.load(root)
     except AnalysisException as e:
