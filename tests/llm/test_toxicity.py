@@ -1,0 +1,73 @@
+import random
+
+import numpy as np
+from corpora import prose
+from pyspark.sql import functions as F
+
+from marketframe.llm import toxicity as tx
+
+BAD = ["vilewordone", "vilewordtwo", "vilewordthree"]
+
+
+def labelled(spark, n=400, seed=9):
+    rng = random.Random(seed)
+    docs, labels = [], []
+    for i in range(n):
+        bad = rng.random() < 0.3
+        w = prose(rng, rng.randrange(5, 120)).split(" ")
+        if bad:
+            for _ in range(3):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(BAD))
+        docs.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    return spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(labels, "doc_id bigint, toxic int")
+
+
+def test_features_match_a_plain_loop():
+    texts = ["One two, three one", "", "a", "ünder Über", "x y"]
+    of, at = tx.features(texts)
+    by_word = {}
+    for i, t in enumerate(texts):
+        words = t.lower().replace(",", "").split()
+        assert (of == i).sum() == (3 * len(words) - 3 if len(words) > 1 else len(words))
+        for w in words:
+            by_word[w] = set(tx.features([w])[1])
+    assert by_word["one"] < set(at[of == 0])
+    assert not set(at[of == 4]) & set(at[of == 0])
+    assert tx.features([])[0].size == tx.features(["..."])[0].size == 0
+
+
+def test_stretches_keep_every_word(monkeypatch):
+    text = " ".join(str(i) for i in range(500))
+    parts = [p for _, ps in tx.stretches(["", text, "z"], 50) for p in ps]
+    assert "".join(parts) == text + "z"
+    ns = [n for ns, _ in tx.stretches(["", text, "z"], 50) for n in ns]
+    assert ns == sorted(ns) and set(ns) == {0, 1, 2}
+
+
+def test_held_out(spark):
+    docs, labels = labelled(spark)
+    model = tx.fit(docs, labels, train=F.col("doc_id") % 4 != 2)
+    assert 0 < len(model[0]) < 20_000
+    got = tx.score(docs, model).join(labels, "doc_id").where("doc_id % 4 = 2").toPandas()
+    assert ((got.score >= 0.3) == (got.toxic == 1)).mean() > 0.97
+    again = tx.fit(docs.repartition(7), labels, train=F.col("doc_id") % 4 != 2)
+    assert all(np.array_equal(a, b) for a, b in zip(model[:2], again[:2], strict=True))
+
+
+def test_bounded_sample(spark):
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(0).alias("toxic"))
+    n = tx.sampled(labels, "toxic", "doc_id", 1000, F.lit(True)).count()
+    assert 850 < n < 1150
+
+
+def test_odd_rows(spark, docs, corpus, empty):
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (None, 1), (2, None), (777, 1), (900, 1)], "doc_id bigint, toxic int")
+    model = tx.fit(docs, labels)
+    got = tx.score(docs, model, to="points").collect()
+    assert len(got) == len(corpus) and all(0 <= r.points <= 1 for r in got)
+    bias = {r.doc_id: r.points for r in got}
+    assert bias[900] == bias[901]  # null and null: the bias alone
+    none = tx.fit(docs, labels.limit(0))
+    assert [r.points for r in tx.score(docs.limit(3), none, to="points").collect()] == [0.5] * 3
+    assert tx.score(empty, model).count() == 0
