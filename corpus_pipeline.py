@@ -22,7 +22,10 @@ from marketframe.llm.entry import END_ID, TOXIC, table
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    return toxicity.score(docs, model, to="toxicity_score").where(F.col("toxicity_score") < TOXIC).select(*docs.columns)
+    name = "toxicity_score"
+    while name in docs.columns:
+        name += "_"
+    return toxicity.score(docs, model, to=name).where(F.col(name) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
