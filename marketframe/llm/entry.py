@@ -51,7 +51,7 @@ TOXIC = 0.3
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    fold = lambda key: F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(4))
+    fold = lambda key: F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(4))
     model = toxicity.fit(docs, labels.select("doc_id", "toxic"), train=fold("doc_id") != 2)
     return toxicity.score(docs, model).select(
         "doc_id", (fold("doc_id") == 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted")
@@ -144,5 +144,18 @@ FROM documents JOIN c ON c.id = doc_id LEFT JOIN n ON n.id = doc_id
 """
 
 
+CONTROL = r"([<\[])(\\*)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|/?INST\]|</?SYS>>)"
+OP9_SQL = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+     e AS (SELECT *, regexp_replace(text, '{CONTROL}', '\1\\\2\3', 'g') AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length('<|im_start|>' || role || chr(10) || escaped || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontamination": OP6_SQL, "op8_near_dup": OP8_SQL}
+    return {"op9_chat_formatting": OP9_SQL, "op6_decontamination": OP6_SQL, "op8_near_dup": OP8_SQL}
