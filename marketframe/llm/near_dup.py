@@ -10,9 +10,9 @@ possible are confirmed on their full sets.
 Copies (equal sets) form classes first, so that only one of them is compared.
 Within a band's bucket all members are compared with its smallest one; members
 of one component need no further comparison. What is left, buckets whose members
-are still in different components, is compared in blocks by the packed bits, so
-no link between different texts is lost, and only pairs across components that
-the estimate lets pass are ever emitted.
+are still in different components, is compared in blocks, by the packed bits and
+then on the full sets, each pair in the first bucket that it shares, so no link
+between different texts is lost. Only links that join components are emitted.
 
 With 32 bands of 5 rows a pair at exactly 0.8 misses every band with a
 probability of 3e-6; the estimate's margin is five standard deviations.
@@ -189,64 +189,121 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingl
     return both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, shared bigint, total bigint")
 
 
-def across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) in one bucket and in different components that may be similar.
-
-    ``members``: bucket, members, rep, root, n, bits. Buckets with more than
-    ``BLOCK`` members are compared block by block, each pair of blocks in a
-    group of its own.
-    """
+def _cells(members: DataFrame) -> DataFrame:
+    """``members`` dealt to cells: a bucket, or a pair of blocks of a bucket with more than ``BLOCK`` members."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     one = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
     cells = one.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = cells.withColumn("c1", F.least("block", "other")).withColumn("c2", F.greatest("block", "other"))
-    dealt = cells.repartition("bucket", "c1", "c2").sortWithinPartitions("bucket", "c1", "c2", "rep")
-    least = percent / 100 - MARGIN
-    ones = np.uint64(int("1" * 64, 2) // ((1 << BITS) - 1))
-    chance = 2.0**-BITS
+    return cells.withColumn("c1", F.least("block", "other")).withColumn("c2", F.greatest("block", "other")).drop("other", "members")
+
+
+CELL = ("bucket", "c1", "c2")
+
+
+def _by_cell(batches: Iterator, columns: tuple[str, ...]):
+    """(cell, columns of its rows) for rows that come sorted by cell."""
+    cell, held = None, []
+    for batch in batches:
+        ids = zip(*(batch.column(c).to_pylist() for c in CELL), strict=True)
+        for at, row in zip(ids, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+            if at != cell:
+                if held:
+                    yield cell, list(zip(*held, strict=True))
+                cell, held = at, []
+            held.append(row)
+    if held:
+        yield cell, list(zip(*held, strict=True))
+
+
+def _candidates(cell: tuple, root, n, bits, bands, block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, js): members that may be similar, are in different components, and meet in this bucket first."""
+    ones, chance = np.uint64(int("1" * 64, 2) // ((1 << BITS) - 1)), 2.0**-BITS
+    codes = {r: i for i, r in enumerate(dict.fromkeys(root))}
+    root, n, block = np.array([codes[r] for r in root]), np.array(n), np.array(block)
+    bits, bands = np.array(bits, dtype=np.int64).view(np.uint64), np.array(bands, dtype=np.int64)
+    bucket, c1, c2 = cell
+    left, right = np.flatnonzero(block == c1), np.flatnonzero(block == c2)
+    for i in left:
+        js = right[right > i] if c1 == c2 else right
+        js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
+        if not len(js):
+            continue
+        x = bits[js] ^ bits[i]
+        x = x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)
+        equal = 1 - np.bitwise_count(x & ones).sum(axis=1) / HASHES
+        js = js[(equal - chance) / (1 - chance) >= percent / 100 - MARGIN]
+        js = js[bands[js, (bands[js] == bands[i]).argmax(axis=1)] == bucket]
+        if len(js):
+            yield int(i), js
+
+
+def _linked(cell: tuple, root, n, bits, bands, block, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs (i, j) of a cell that its full sets confirm and that join components.
+
+    Shared shingles are counted through lists of the members that have each
+    shingle, for all candidates of a member at once.
+    """
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(ids, kind="stable")
+    having, ends = owner[order], np.cumsum(np.bincount(ids))
+    begins, own_end = ends - np.bincount(ids), np.cumsum(size)
+    codes = {r: i for i, r in enumerate(dict.fromkeys(root))}
+    component = np.array([codes[r] for r in root])
+    for i, js in _candidates(cell, root, n, bits, bands, block, percent):
+        js = js[component[js] != component[i]]
+        if not len(js):
+            continue
+        own = ids[own_end[i] - size[i] : own_end[i]]
+        shared = np.bincount(np.concatenate([having[begins[x] : ends[x]] for x in own.tolist()]), minlength=len(sets))[js]
+        for j in js[100 * shared >= percent * (size[i] + size[js] - shared)].tolist():
+            if component[i] != component[j]:
+                component[component == component[j]] = component[i]
+                yield i, j
+
+
+def across(members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """Links (a, b) between components: enough of them to join what the full sets of a bucket's members join.
+
+    ``members``: bucket, members, rep, root, n, bits, bands. The packed bits
+    choose which members of a cell need their texts at all; then the cell's full
+    sets are compared, and a pair that is already joined is passed over, so a
+    cell gives fewer links than it has members, and no list of pairs is made.
+    """
+    kind = members.schema["rep"].dataType.simpleString()
+    columns = ("rep", "root", "n", "bits", "bands", "block")
 
-    def compare(rep: list, root: np.ndarray, n: np.ndarray, bits: np.ndarray, block: np.ndarray, c1: int, c2: int):
-        left, right = np.flatnonzero(block == c1), np.flatnonzero(block == c2)
-        for i in left:
-            js = right[right > i] if c1 == c2 else right
-            js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
-            if not len(js):
-                continue
-            x = bits[js] ^ bits[i]
-            x = x | x >> np.uint64(1) | x >> np.uint64(2) | x >> np.uint64(3)
-            equal = 1 - np.bitwise_count(x & ones).sum(axis=1) / HASHES
-            for j in js[(equal - chance) / (1 - chance) >= least]:
-                yield min(rep[i], rep[j]), max(rep[i], rep[j])
-
-    def groups(batches: Iterator):
-        """(cell, rows) of consecutive rows with the same cell."""
-        cell, held = None, []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "c1", "c2", "rep", "root", "n", "bits", "block")), strict=True):
-                if row[:3] != cell:
-                    if held:
-                        yield cell, held
-                    cell, held = row[:3], []
-                held.append(row[3:])
-        if held:
-            yield cell, held
+    def need(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    def rows(batches: Iterator) -> Iterator:
+        for cell, (rep, root, n, bits, bands, block) in _by_cell(batches, columns):
+            wanted: set[int] = set()
+            for i, js in _candidates(cell, root, n, bits, bands, block, percent):
+                wanted.add(i)
+                wanted.update(js.tolist())
+            if wanted:
+                at = sorted(wanted)
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([cell[k]] * len(at), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array([rep[i] for i in at]), pa.array([block[i] for i in at], pa.int32())],
+                    [*CELL, "rep", "block"],
+                )
+
+    def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kind = None
-        found: set = set()
-        for cell, held in groups(batches):
-            rep, root, n, bits, block = zip(*held, strict=True)
-            found.update(compare(rep, np.array(root), np.array(n), np.array(bits, dtype=np.int64).view(np.uint64), np.array(block), *cell[1:]))
-            if len(found) >= 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], kind) for k in (0, 1)], ["a", "b"])
-                found.clear()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], kind) for k in (0, 1)], ["a", "b"])
+        for cell, (rep, root, n, bits, bands, block, text) in _by_cell(batches, (*columns, "text")):
+            links = list(_linked(cell, root, n, bits, bands, block, [shingle_set(t.encode(), shingle) for t in text], percent))
+            links = [(rep[i], rep[j]) for i, j in links]
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], ["a", "b"])
 
-    kind = members.schema["rep"].dataType.simpleString()
-    return dealt.select("bucket", "c1", "c2", "rep", "root", "n", "bits", "block").mapInArrow(rows, f"a {kind}, b {kind}").distinct()
+    sort = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL, "rep")
+    known = members.select("rep", "root", "n", "bits", "bands").dropDuplicates(["rep"])
+    wanted = sort(_cells(members)).select(*CELL, *columns).mapInArrow(need, f"bucket bigint, c1 int, c2 int, rep {kind}, block int")
+    wanted = saved(wanted, "cells")
+    whole = wanted.join(known, "rep").join(texts.withColumnRenamed("key", "rep"), "rep")
+    return sort(whole).select(*CELL, *columns, "text").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -271,9 +328,8 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     # a bucket of two has had its only pair compared
     several = met.where("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed = several.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = several.join(mixed, "bucket").join(reps.select("rep", "n", "bits"), "rep")
-    second = saved(across(left, percent).join(first, ["a", "b"], "left_anti"), "pairs-2")
-    more = saved(confirmed(second, texts, percent, shingle).select("a", "b"), "links-2")
+    left = saved(several.join(mixed, "bucket").join(reps.select("rep", "n", "bits", "bands"), "rep"), "mixed")
+    more = saved(across(left, texts, percent, shingle), "links-2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
