@@ -33,4 +33,5 @@ def session_label(ts: Column, zone: str = "America/New_York") -> Column:
 
 def from_nanos(ns: Column) -> Column:
     """A timestamp from epoch nanoseconds; what is below a microsecond is dropped."""
-    return F.timestamp_micros(F.floor(ns / 1000).cast("bigint"))
+    # a multiple of 1000, so that rounding mends what division as doubles loses
+    return F.timestamp_micros(F.round((ns - F.pmod(ns, F.lit(1000))) / 1000).cast("bigint"))

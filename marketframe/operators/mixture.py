@@ -237,6 +237,7 @@ def _pass(data: DataFrame, shape: Shape, thetas: list[np.ndarray], active: list[
     parts = data.mapInArrow(partial, "model int, adder int, sums array<double>")
     # ADDERS rows per model reach the driver, whatever the number of partitions
     added = parts.groupBy("model", "adder").applyInArrow(add, "model int, sums array<double>").collect()
+    shared.unpersist()
     out = {}
     for j in active:
         total = np.sum([np.array(r.sums) for r in added if r.model == j], axis=0)

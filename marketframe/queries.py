@@ -555,9 +555,7 @@ def j7_scenarios(spark, sf_dir):
 @query("""SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS day_text, (o_orderdate - INTERVAL 3 HOUR)::TIMESTAMP AS local, strptime(strftime(o_orderdate, '%Y-%m-%d'), '%Y-%m-%d')::TIMESTAMP AS parsed FROM orders""")
 def x8_x9_x10_dates(spark, sf_dir):
     text = F.date_format("o_orderdate", "yyyy-MM-dd")
-    zone = dates.in_zone(F.col("o_orderdate"), "America/Sao_Paulo")
     fixed = dates.in_zone(F.col("o_orderdate"), "-03:00")
-    del zone  # a zone with summer time has no plain SQL form here
     return table(spark, sf_dir, "orders").select("o_orderkey", dates.day_start_text(text).alias("day_text"), fixed.alias("local"), dates.parsed_time(text, "string").alias("parsed"))
 
 
@@ -616,7 +614,7 @@ def s14_landed_odds(spark, sf_dir):
 
 @query("SELECT event_id, event_type AS ticker, value FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-08'")
 def s4_read_days(spark, sf_dir):
-    """Events written as a lake of day files; a range is read that begins before the lake does not end."""
+    """Events written as a lake of day files, of which a range is read."""
     root, events = scratch(spark, "lake"), table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ticker"), "value", F.col("ts").cast("date").alias("date"))
     for day in lake.days("2024-01-04", "2024-01-09"):
         events.where(F.col("date") == F.lit(day).cast("date")).drop("date").write.parquet(lake.day_path(root, lake.STOCKS, day))
@@ -625,13 +623,12 @@ def s4_read_days(spark, sf_dir):
 
 @query("SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d')::DATE AS date, count(*) AS n FROM events GROUP BY ALL")
 def s7_csv_to_lake(spark, sf_dir):
+    """Events written as compressed CSV in a folder per day, then taken into a lake partitioned by date."""
     source, target = scratch(spark, "csv"), scratch(spark, "lake")
     events = table(spark, sf_dir, "events").select(F.col("event_type").alias("ticker"), "value", F.date_format("ts", "yyyy-MM-dd").alias("day"))
     events.repartition("day").write.option("header", True).option("compression", "gzip").partitionBy("day").csv(source)
-    # the day is in the folder's name here, not in the file's
-    read = spark.read.option("header", True).schema("ticker string, value double").csv(source)
-    read.withColumn("date", F.to_date("day")).drop("day").write.partitionBy("date").parquet(target)
-    return spark.read.parquet(target).groupBy("ticker", "date").agg(F.count("*").alias("n"))
+    taken = lake.csv_to_lake(spark, source, target, schema="ticker string, value double")
+    return taken.groupBy("ticker", "date").agg(F.count("*").alias("n"))
 
 
 @query("SELECT n_nationkey, n_name, n_regionkey FROM nation")

@@ -113,7 +113,7 @@ def read_tree(spark: SparkSession, root: str, suffix: str, format: str = "parque
 
 
 def csv_to_lake(spark: SparkSession, source: str, target: str, suffix: str = ".csv.gz", schema: str | None = None, skip_corrupt: bool = True) -> DataFrame:
-    """Compressed CSV files below ``source`` as parquet partitioned by ``date``, which is read from the file names.
+    """Compressed CSV files below ``source`` as parquet partitioned by ``date``, which names the file or its folder.
 
     A gzip file can't be split, so there are as many tasks as files. Without a
     schema it is inferred, which reads the files twice.
@@ -121,6 +121,6 @@ def csv_to_lake(spark: SparkSession, source: str, target: str, suffix: str = ".c
     how = {"header": True, "ignoreCorruptFiles": skip_corrupt, "mode": "DROPMALFORMED" if skip_corrupt else "FAILFAST"}
     reader = spark.read.options(recursiveFileLookup=True, pathGlobFilter=f"*{suffix}", **how)
     df = (reader.schema(schema) if schema else reader.option("inferSchema", True)).csv(source)
-    dated = df.withColumn("date", F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2}-\d{2})", 1)))
+    dated = df.withColumn("date", F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{4}-\d{2}-\d{2})[^/]*(?:/[^/]*)?$", 1)))
     dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(target)
     return spark.read.parquet(target)
