@@ -79,7 +79,8 @@ def leaks(
     met = met.join(F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch, "h")
     candidates = saved(met.select("key", "item").distinct(), "leak-candidates")
     compared = (
-        rows.join(candidates.groupBy("key").agg(F.collect_set("item").alias("found")), "key")
+        # candidates grow with the corpus, so they are never broadcast
+        rows.join(candidates.groupBy("key").agg(F.collect_set("item").alias("found")).hint("merge"), "key")
         .select("key", shingles(F.col("text")).alias("held"), F.explode("found").alias("item"))
         .join(items.select("item", "n", "shingles"), "item")
         .withColumn("n_shared", F.size(F.array_intersect("held", "shingles")))
