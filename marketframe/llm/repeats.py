@@ -18,6 +18,11 @@ to a scratch file once and read in sequence; only the current order and common
 prefixes are in memory. The file is anonymous, local to the task, and gone when
 the task ends; nothing else reads it.
 
+Copies are pre-aggregated within each task before they are dealt. An anchor that
+very many different segments share (the end of a passage that a third of all
+documents quote) is split by the bytes that blocks of its windows hold, down to
+single windows, which are counted with map-side combining.
+
 Edge cases: null texts are empty; texts shorter than ``LENGTH`` bytes keep all;
 equal rows are copies of each other, so both lose what is long enough; rows with
 a null key are documents like any other. Spans may begin or end within a
@@ -41,6 +46,10 @@ GRAM = 24
 CHUNK = 1 << 20
 #: Segments that are lined up at once; groups stay whole.
 GROUPS = 20_000
+#: Anchors with more different segments than this are split by content.
+HOT = 2_000
+#: Rows of one anchor that are held at once while they are counted.
+HELD = 200_000
 _POSITION = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20240811)
 _BYTES = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -247,15 +256,11 @@ def shared_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
             arrays += [pa.array(x.view(np.int64)) for x in (deal, m, c)] + [pa.array(np.where(sure, 2, np.where(first, 1, 0)).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["k", "v", "start", "windows", "deal", "m", "c", "known"])
 
-    def group(batches: Iterator) -> Iterator:
-        for batch in _whole_groups(batches, "deal"):
-            yield from _classified(batch)
-
     schema = f"k {kind}, v int, start bigint, windows bigint"
     rows = _keyed(docs, key, text).mapInArrow(cut, f"{schema}, deal bigint, m bigint, c bigint, known int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(parts, "deal").sortWithinPartitions("deal", "m", "c")
-    return dealt.mapInArrow(group, f"{schema}, twice boolean, anchor bigint")
+    return dealt.mapInArrow(_classified, f"{schema}, twice boolean, anchor bigint")
 
 
 def _whole_groups(batches: Iterator, by: str, least: int = 1) -> Iterator:
@@ -278,18 +283,55 @@ def _whole_groups(batches: Iterator, by: str, least: int = 1) -> Iterator:
         yield pa.concat_batches(held)
 
 
-def _classified(batch) -> Iterator:
-    """The rows of whole groups whose anchor occurs twice, marked (see ``shared_segments``)."""
+def _classified(batches: Iterator) -> Iterator:
+    """The rows whose anchor occurs twice, marked (see ``shared_segments``); rows come sorted by deal, m and c.
+
+    An anchor with very many rows is passed on in parts: what is known of it
+    so far (that it has several contents, that a content occurred before) goes
+    on with the next part.
+    """
+    import pyarrow as pa
+
+    held, many = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = batch if held is None else pa.concat_batches([held, batch])
+        deal = held.column("deal").to_numpy()
+        cut = int(np.searchsorted(deal, deal[-1], side="left"))  # the last group may go on
+        if cut:
+            yield from _marked(held.slice(0, cut), many)
+            held, many = held.slice(cut), False
+        if held.num_rows > HELD:
+            c = held.column("c").to_numpy()
+            last = int(np.flatnonzero(c != c[-1])[-1]) + 1 if (c != c[-1]).any() else 0
+            if last:
+                many = True
+                yield from _marked(held.slice(0, last), many)
+                held = held.slice(last)
+            if held.num_rows > 1:  # rows of one content: the first stays and is known to occur twice
+                rest = held.slice(1)
+                known = pa.array(np.full(rest.num_rows, 2, dtype=np.int32))
+                yield from _marked(rest.set_column(rest.schema.get_field_index("known"), "known", known), many)
+                first = held.slice(0, 1)
+                held = first.set_column(first.schema.get_field_index("known"), "known", pa.array([1], pa.int32()))
+    if held is not None:
+        yield from _marked(held, many)
+
+
+def _marked(batch, many: bool) -> Iterator:
+    """Rows of whole groups; ``many``: the first group is known to have several contents."""
     import pyarrow as pa
 
     deal, m, c = (batch.column(x).to_numpy().view(np.uint64) for x in ("deal", "m", "c"))
     known = batch.column("known").to_numpy()
     sure = known == 2
-    n = len(m)
     new_group = np.concatenate(([True], deal[1:] != deal[:-1]))
     new_content = new_group | np.concatenate(([True], (c[1:] != c[:-1]) | (m[1:] != m[:-1])))
     g, t = np.cumsum(new_group) - 1, np.cumsum(new_content) - 1
     size, contents = np.bincount(g), np.bincount(g, weights=new_content)
+    if many:
+        size[0], contents[0] = size[0] + 1, contents[0] + 1
     twice = (np.bincount(t)[t] > 1) | (np.bincount(t, weights=known > 0)[t] > 0) | sure
     shared = (size[g] > 1) | twice
     enter = new_content & (contents[g] > 1) & ~sure
@@ -297,7 +339,6 @@ def _classified(batch) -> Iterator:
     at = pa.array(keep)
     anchor = pa.array(m.view(np.int64)[keep], mask=~enter[keep])
     columns = [batch.column(x).take(at) for x in ("k", "v", "start", "windows")]
-    assert n == batch.num_rows
     out = pa.RecordBatch.from_arrays([*columns, pa.array(twice[keep]), anchor], ["k", "v", "start", "windows", "twice", "anchor"])
     for i in range(0, out.num_rows, 10_000):
         yield out.slice(i, 10_000)
@@ -361,6 +402,60 @@ def _compared(fetched: DataFrame, kind: str) -> DataFrame:
     return dealt.mapInArrow(rows, f"k {kind}, v int, first bigint, last bigint")
 
 
+def _split(segments: DataFrame, width: int, kind: str) -> DataFrame:
+    """Segments cut into blocks of ``width`` windows, with an anchor of their own for each block and content.
+
+    Windows are told apart by how far their anchor is from their start, and a
+    block takes ``width`` neighbouring distances. Its new anchor is a digest of
+    the old one, the block, and the bytes that all its windows hold, so that
+    equal windows stay together and most others part.
+    """
+
+    def rows(batches: Iterator) -> Iterator:
+        import hashlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            of, start, anchors, parts = [], [], [], []
+            at = zip(batch.column("start").to_pylist(), batch.column("anchor").to_pylist(), batch.column("segment").to_pylist(), strict=True)
+            for i, (s, anchor, text) in enumerate(at):
+                shift, windows = anchor_shift(text), len(text) - LENGTH + 1
+                for block in range((shift - windows + 1) // width, shift // width + 1):
+                    first, last = max(0, shift - block * width - width + 1), min(windows - 1, shift - block * width)
+                    if first > last:
+                        continue
+                    core = text[shift - block * width : shift - block * width - width + 1 + LENGTH]
+                    digest = hashlib.blake2b(core, digest_size=8, key=f"{anchor}:{block}".encode()).digest()
+                    of.append(i)
+                    start.append(s + first)
+                    anchors.append(int.from_bytes(digest, "little", signed=True))
+                    parts.append(text[first : last + LENGTH])
+            take = pa.array(of, pa.int64())
+            arrays = [batch.column("k").take(take), batch.column("v").take(take), pa.array(start, pa.int64()), batch.column("twice").take(take), pa.array(anchors, pa.int64()), pa.array(parts, pa.binary())]
+            out = pa.RecordBatch.from_arrays(arrays, ["k", "v", "start", "twice", "anchor", "segment"])
+            for i in range(0, out.num_rows, 10_000):
+                yield out.slice(i, 10_000)
+
+    return segments.mapInArrow(rows, f"k {kind}, v int, start bigint, twice boolean, anchor bigint, segment binary")
+
+
+def _parted(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments to compare, segments of anchors with more than ``HOT``); anchors with one segment are dropped."""
+    counts = saved(segments.groupBy("anchor").count().where("count > 1"), "anchor-counts")
+    some, hot = counts.where(F.col("count") <= HOT), counts.where(F.col("count") > HOT)
+    return segments.join(some.select("anchor"), "anchor"), segments.join(hot.select("anchor"), "anchor")
+
+
+def _equal_windows(windows: DataFrame) -> DataFrame:
+    """Spans of single windows, split so far that an anchor is the content, that occur twice: counted with map-side combining."""
+    key = [F.col("anchor"), F.xxhash64("segment").alias("x")]
+    keyed = windows.select("k", "v", "start", "twice", *key)
+    again = saved(keyed.groupBy("anchor", "x").count().where("count > 1").drop("count"), "equal-windows")
+    found = keyed.where("NOT twice").join(again, ["anchor", "x"], "left_semi")
+    return found.select("k", "v", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("last"))
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, n_bytes, n_removed, n_spans, kept, spans`` for every row of ``docs``.
 
@@ -371,7 +466,22 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     texts = _packed_texts(docs, key, text)
     # rows with equal key and text are one document here: any of them gives the bytes
     places = shared.where("anchor IS NOT NULL")
-    compared = _compared(_fetched(places, texts, kind), kind)
+    hot = saved(places.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    fetched = _fetched(places, texts, kind)
+    if hot.isEmpty():
+        compared = _compared(fetched, kind)
+    else:
+        # an anchor that very many different segments share is split by content, twice if need be, then window by window
+        fetched = saved(fetched, "fetched")
+        few, many = [fetched.join(hot, "anchor", "left_anti")], fetched.join(hot.select("anchor"), "anchor", "left_semi")
+        for width in (32, 4):
+            some, many = _parted(saved(_split(many.select("k", "v", "start", "twice", "anchor", "segment"), width, kind), f"split-{width}"))
+            few.append(some)
+        single = saved(_split(many.select("k", "v", "start", "twice", "anchor", "segment"), 1, kind), "split-1")
+        rows_of = few[0].select("k", "v", "start", "twice", "anchor", "segment")
+        for x in few[1:]:
+            rows_of = rows_of.unionByName(x.select("k", "v", "start", "twice", "anchor", "segment"))
+        compared = _compared(rows_of, kind).unionByName(_equal_windows(single))
     whole = shared.where("twice").select("k", "v", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("last"))
     marks = whole.unionByName(compared).groupBy("k", "v").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
 

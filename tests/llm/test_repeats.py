@@ -48,6 +48,18 @@ def test_periodic_and_hot(spark):
     check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), rows)
 
 
+def test_hot_anchors_are_split(spark, monkeypatch):
+    monkeypatch.setattr(rp, "HOT", 5)
+    monkeypatch.setattr(rp, "HELD", 7)
+    rng = random.Random(14)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, few = word(230), [word(3) for _ in range(6)]
+    rows = [(i, word(80) + hot + rng.choice(few) + word(60)) for i in range(60)]
+    rows += [(100 + i, word(90) + hot[: rng.randrange(190, 215)] + word(30)) for i in range(30)]
+    rows += [(200 + i, hot) for i in range(20)] + [(300 + i, hot[:199] + rng.choice("xyz")) for i in range(20)]
+    check(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), rows)
+
+
 def test_long_text_in_parts(spark, monkeypatch):
     monkeypatch.setattr(rp, "CHUNK", 700)
     rng = random.Random(5)
