@@ -12,14 +12,20 @@ Spans of the text itself have the kinds ``assign``, ``access`` and ``hex``;
 those of decoded layers have the path of decodings before the kind, as in
 ``base64>gzip>assign``. Offsets are code points, ends are exclusive.
 
-Edge cases: a null text is empty; an empty one has no spans. Stretches that do
-not decode to text are left alone. Data that would inflate beyond ``max_layer``
-characters isn't inflated but reported as a span of kind ``...>oversize``.
+Runs of the base64 alphabet may be glued to path segments or words and wrapped
+over lines, so each is joined over its line breaks and decoded at all four
+offsets, and gzip or zlib data may begin at any of its characters. Decoded bytes
+are taken as Latin-1, a character each: the rules are ASCII, so bytes that are
+no UTF-8 hide nothing, and each character maps to its place.
+
+Edge cases: a null text is empty; an empty one has no spans. Data that would
+inflate beyond ``max_layer`` characters isn't inflated but reported as a span of
+kind ``...>oversize``. Where base64 runs on into a word without padding, a span
+can end with the characters of that word.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bisect
 import re
@@ -41,12 +47,27 @@ LONG_HEX = re.compile(r"[0-9a-f]{32}")
 
 #: Rough tests on whole columns, in linear time: a text without a match has no span and no layer.
 MAYBE_SECRET = r"(?i:password|passwd|secret|token|apikey|api_key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-MAYBE_CODED = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|[A-Za-z0-9+/_-]{20}"
+#: A run of base64 has 15 characters at least: 11 bytes of zlib data can inflate to 32 hex digits, the plain secrets have 14 bytes or more.
+MAYBE_CODED = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|(?:[A-Za-z0-9+/_-](?:[ \t]*[\r\n][ \t\r\n]*)?){15}"
+WORTH = re.compile(f"{MAYBE_SECRET}|{MAYBE_CODED}")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+LEAST = 15
+BASE64 = re.compile(
+    r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-](?:[ \t]*+[\r\n][ \t\r\n]*+)?){15})"
+    r"[A-Za-z0-9+/_-]++(?:[ \t]*+[\r\n][ \t\r\n]*+[A-Za-z0-9+/_-]++)*+={0,2}"
+)
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+URL_SAFE = str.maketrans("-_", "+/")
+#: Where gzip or zlib data can begin.
+HEADS = re.compile(
+    b"(?=\x1f\x8b|"
+    + b"|".join(re.escape(bytes([a, b])) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a << 8 | b) % 31 == 0)
+    + b")",
+    re.DOTALL,
+)
 
 MAX_LAYER = 32_000_000
 
@@ -88,18 +109,24 @@ class Layer:
         return start, end
 
 
-def _utf8_pieces(raw: bytes, start: int, stop: int, width: int, at: int) -> tuple[str, list] | None:
-    """Text of percent-decoded bytes, a piece per character; None if it isn't UTF-8."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    pieces, k = [], start
-    for i, c in enumerate(text):
-        n = len(c.encode("utf-8")) * width
-        pieces.append((at + i, k, k + n, 0))
-        k += n
-    return text, pieces
+class Run(Layer):
+    """The bytes of a base64 run from its character ``offset`` on; ``lines`` are the (start, end) of its parts in the parent."""
+
+    def __init__(self, text: str, lines: list[tuple[int, int]], offset: int, parent: Layer, path: tuple[str, ...]):
+        super().__init__(text, [], parent, path)
+        self.offset, self.lines, n = offset, lines, 0
+        for start, end in lines:
+            self.at.append(n)
+            n += end - start
+
+    def place(self, k: int) -> int:
+        """Where the run's k-th character is in the parent."""
+        line = bisect.bisect_right(self.at, k) - 1
+        return self.lines[line][0] + k - self.at[line]
+
+    def _from(self, i: int, end: bool) -> int:
+        k = self.offset + i // 3 * 4 + i % 3  # three bytes come from four characters
+        return self.place(k + 1) + 1 if end else self.place(k)
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | None:
@@ -125,9 +152,8 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
 
 
 def _percent(m: re.Match):
-    raw = bytes.fromhex(m[0].replace("%", ""))
-    got = _utf8_pieces(raw, m.start(), m.end(), 3, 0)
-    return got and (got[0], [(a, s, e) for a, s, e, _ in got[1]])
+    text = bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
+    return text, [(i, m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(text))]
 
 
 def _escapes(m: re.Match):
@@ -146,55 +172,52 @@ def _escapes(m: re.Match):
     return "".join(text), where
 
 
-def _inflate(raw: bytes, limit: int) -> bytes | None:
-    """Inflated gzip or zlib data; None if it is neither or broken. More than ``limit`` bytes: OverflowError."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
+def _inflate(raw: bytes, at: int, limit: int) -> tuple[bytes, int] | None:
+    """Inflated gzip or zlib data that begins at ``at``, and where it ends; None if it is neither or broken. More than ``limit`` bytes: OverflowError."""
     d = zlib.decompressobj(47)
     try:
-        out = d.decompress(raw, limit)
-        if d.unconsumed_tail:
-            raise OverflowError
-        return out if d.eof else None
+        out = d.decompress(memoryview(raw)[at:], limit)
     except zlib.error:
         return None
+    if d.unconsumed_tail:
+        raise OverflowError
+    return (out, len(raw) - len(d.unused_data)) if d.eof else None
 
 
-def _plain(raw: bytes) -> str | None:
-    """Bytes as text if they look like text."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    odd = sum(c < " " and c not in "\t\r\n" for c in text)
-    return text if text and odd * 20 <= len(text) else None
+def _streams(run: Run, raw: bytes, stop: int, limit: int) -> Iterator[Layer | tuple[int, int, str]]:
+    """A layer for what each gzip or zlib stream in a run holds; a span where it would be too large."""
+    done = 0
+    for head in HEADS.finditer(raw):
+        at = head.start()
+        if at % 3 or at < done:  # no character of the run begins here, or inside a stream
+            continue
+        path, start = run.path, run._from(at, False)
+        try:
+            if (got := _inflate(raw, at, limit)) is None:
+                continue
+            (data, done), path = got, (*path, "gzip")
+            while len(path) < 64 and HEADS.match(data) and (more := _inflate(data, 0, limit)) is not None:
+                data, path = more[0], (*path, "gzip")
+        except OverflowError:
+            yield (*run.parent.to_text(start, stop), ">".join((*path, "oversize")))
+            return
+        end = stop if done == len(raw) else run._from(done - 1, True)
+        yield Layer(data.decode("latin-1"), [(0, start, end, 0)], run.parent, path)
 
 
 def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, str]]:
-    """A layer for each stretch of base64; a span where data would be too large."""
+    """Layers for each stretch of base64, from each offset; a span where data would be too large."""
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=")
-        if run.isdigit() or run.islower() or run.isupper() or len(run) % 4 == 1:
-            continue  # a long word or number, or no base64 at all
-        try:
-            raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        path = (*layer.path, "base64")
-        try:
-            depth = 0
-            while (more := _inflate(raw, limit)) is not None and depth < 64:
-                raw, depth, path = more, depth + 1, (*path, "gzip")
-        except OverflowError:
-            yield (*layer.to_text(m.start(), m.end()), ">".join((*path, "oversize")))
-            continue
-        if (text := _plain(raw)) is None:
-            continue
-        if depth or not text.isascii():
-            pieces = [(0, m.start(), m.end(), 0)]
-        else:  # three bytes come from four characters
-            pieces = [(i, m.start() + i // 3 * 4 + i % 3, min(m.end(), m.start() + i // 3 * 4 + i % 3 + 2), 0) for i in range(len(text))]
-        yield Layer(text, pieces, layer, path)
+        lines = [x.span() for x in LINE.finditer(layer.text, m.start(), m.end())]
+        run = "".join(layer.text[a:b] for a, b in lines).translate(URL_SAFE)
+        for offset in range(4):
+            part = run[offset : len(run) - ((len(run) - offset) % 4 == 1)]
+            if len(part) < LEAST:
+                break
+            raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+            decoded = Run(raw.decode("latin-1"), lines, offset, layer, (*layer.path, "base64"))
+            yield from _streams(decoded, raw, m.end(), limit)
+            yield decoded
 
 
 def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list]:
@@ -218,7 +241,7 @@ def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list]:
             else:
                 new.append(x)
         for x in new:
-            if x is None or not x.text:
+            if x is None or not WORTH.search(x.text):
                 continue
             mark = (x.text, *x.to_text(0, len(x.text)))
             if mark in seen:

@@ -105,3 +105,64 @@ def test_table(docs, corpus, spark, empty):
     out = ss.redact(df)
     assert out.schema == df.schema
     assert [r.text for r in out.collect()] == ["a [SECRET] b [SECRET]== c", None, "clean"]
+
+
+def hidden(text):
+    """The parts of the text that decoding adds."""
+    return [text[s:e] for s, e, _ in ss.scan(text)[1]]
+
+
+def goes(text):
+    import pyarrow as pa
+
+    return ss._maybe(pa.array([text]))[0].as_py()
+
+
+def test_shortest_secrets():
+    assert ss.scan("dG9rZW49YWJjZGVmZ2g=")[1] == [(0, 19, "base64>assign")]
+    for secret in ("token=abcdefgh", "token:abcdefgh", "AKIAABCDEFGHIJKL"):
+        for coded in (b64(secret), b64(secret).rstrip("="), b64(zlib.compress(secret.encode()))):
+            assert goes(f"x {coded} y") and hidden(f"x {coded} y")[0].rstrip("=") == coded.rstrip("=")
+    least = b64(zlib.compress(b"a" * 32, 9))
+    assert len(least.rstrip("=")) == ss.LEAST and goes(least) and hidden(least) == [least]
+
+
+def test_glued_base64():
+    url_safe = base64.urlsafe_b64encode(b"~~~???" + SECRET.encode()).decode()
+    for data, path in ((b64(SECRET), "base64>assign"), (url_safe, "base64>assign"), (b64(gzip.compress(SECRET.encode())), "base64>gzip>assign"), (b64(b64(SECRET)), "base64>base64>assign")):
+        for before in ("v1/", "key_", "a-", "ab", "abc", "api/v2/x_y-", "Z"):
+            for after in ("", "/more", "_x", "-tail/of/path"):
+                text = f"see {before}{data.rstrip('=')}{after} end"
+                assert goes(text)
+                s, e, kind = next(x for x in ss.scan(text)[1] if x[2] == path)
+                assert 4 + len(before) <= s <= 4 + len(before) + 8 and e >= 4 + len(before + data.rstrip("=")) - 4  # inner padding isn't part of a span
+
+
+def test_wrapped_base64():
+    words = "some words come first and then some more words and "
+    for data in (gzip.compress((words * 9 + SECRET).encode()), zlib.compress((words * 9 + SECRET).encode()), (words + SECRET).encode(), SECRET.encode()):
+        whole = b64(data)
+        for width in (5, 16, 30, 76):
+            for end in ("\n", "\r\n", "\n    ", " \n\n\t"):
+                text = "head: " + end.join(whole[i : i + width] for i in range(0, len(whole), width)) + " tail"
+                assert goes(text)
+                (s, e, kind), = ss.scan(text)[1]
+                assert kind.endswith("assign") and 6 <= s < e <= len(text) - 5
+    coded = b64(SECRET)
+    assert ss.scan(f"{coded[:20]}\n{coded[20:]}")[1] == [(0, 35, "base64>assign")]
+
+
+def test_bytes_that_are_no_utf8():
+    assert ss.scan("x %FF%70assword%3Dhunter2hunter2 y")[1] == [(5, 32, "url>assign")]
+    text = "".join(f"%{b:02X}" for b in b"\xfc " + SECRET.encode() + b"\xe9")
+    assert ss.scan(text)[1] == [(6, 6 + 3 * len(SECRET), "url>assign")]
+    coded = b64(b"\xff\x00\x01" + SECRET.encode())
+    assert hidden(coded) == [coded[4:].rstrip("=")]
+    coded = b64(gzip.compress(b"\xff\x00\x01" + SECRET.encode()))
+    assert hidden(coded) == [coded]
+
+
+def test_stream_of_a_stream_too_large():
+    bomb = b64(gzip.compress(gzip.compress(b"a" * 1_000_000)))
+    assert ss.scan(bomb, max_layer=5000)[1] == [(0, len(bomb), "base64>gzip>oversize")]
+    assert hidden("v1/" + b64(gzip.compress(SECRET.encode())))[0] == b64(gzip.compress(SECRET.encode()))
