@@ -15,10 +15,12 @@ most ``BROADCAST_ROWS`` rows; beyond that they are joined by a shuffle.
 Words are runs of letters and digits in lower case, so case and punctuation
 don't hide a leak.
 
-Edge cases: null texts are empty; items of fewer than five words have no
-shingle, are too short to tell a leak, and never match; rows with a null key
-can't be reported and are skipped; repeated rows are reported once; equal items
-are all reported. Empty tables give no rows.
+Edge cases: null texts are empty; an item of fewer than five words is one
+shingle of its own length, met by a document that holds those words in a row;
+items without a word never match. Each different text under one item id is an
+item of its own, with its own sketch and, if it leaks, its own row; equal ones
+count once. Rows with a null key can't be reported and are skipped; repeated
+rows are reported once; equal items are all reported. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -53,6 +55,16 @@ def shingle_hashes(text: Column, n: int = SHINGLE) -> Column:
     return let(each, lambda w: F.transform(_starts(w, n), lambda i: F.xxhash64(F.slice(w, i, n))))
 
 
+def _length(text: Column) -> Column:
+    """The words of a shingle of an item: five, or all that it has."""
+    return F.least(F.size(words(text)), F.lit(SHINGLE))
+
+
+def _of_lengths(of, text: Column, lengths: list[int]) -> Column:
+    """The shingles ``of(text, n)`` of every length, in one array."""
+    return F.concat(*[of(text, n) for n in lengths])
+
+
 def need(size: Column, percent: int = PERCENT) -> Column:
     """Shingles that a document must hold of an item with ``size``."""
     return F.floor((size * percent + 99) / 100).cast("int")
@@ -71,24 +83,35 @@ def leaks(
 ) -> DataFrame:
     """``key, item, n_shingles, n_shared, containment``: every document with at least ``percent`` of an item."""
     content = text_of(item_text)
-    items = benchmark.select(F.col(item).alias("item"), shingles(content).alias("shingles"), shingle_hashes(content).alias("hashes"))
-    items = saved(items.withColumn("n", F.size("shingles")).where("item IS NOT NULL AND n > 0"), "benchmark-items")
+    whole = F.array(F.array_join(words(content), " ")), F.array(F.xxhash64(F.transform(words(content), lambda w: F.xxhash64(w))))
+    short = _length(content) < SHINGLE
+    items = benchmark.where(F.col(item).isNotNull() & (_length(content) > 0)).select(
+        F.col(item).alias("id"),
+        _length(content).alias("length"),
+        F.when(short, whole[0]).otherwise(shingles(content)).alias("shingles"),
+        F.when(short, whole[1]).otherwise(shingle_hashes(content)).alias("hashes"),
+    )
+    # the texts under one id are told apart by their sets
+    digest = F.sha2(F.array_join(F.array_sort("shingles"), "\n"), 256)
+    items = items.withColumn("item", F.struct("id", digest.alias("digest"))).withColumn("n", F.size("shingles"))
+    items = saved(items.dropDuplicates(["item"]), "benchmark-items")
+    lengths = sorted({SHINGLE, *(r.length for r in items.select("length").distinct().collect())})
     sketch = saved(sketches(items, percent), "benchmark-sketches")
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).where("key IS NOT NULL")
-    met = rows.select("key", F.explode(shingle_hashes(F.col("text"))).alias("h"))
+    met = rows.select("key", F.explode(_of_lengths(shingle_hashes, F.col("text"), lengths)).alias("h"))
     met = met.join(F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch, "h")
     candidates = saved(met.select("key", "item").distinct(), "leak-candidates")
     compared = (
         # candidates grow with the corpus, so they are never broadcast
         rows.join(candidates.groupBy("key").agg(F.collect_set("item").alias("found")).hint("merge"), "key")
-        .select("key", shingles(F.col("text")).alias("held"), F.explode("found").alias("item"))
+        .select("key", _of_lengths(shingles, F.col("text"), lengths).alias("held"), F.explode("found").alias("item"))
         .join(items.select("item", "n", "shingles"), "item")
         .withColumn("n_shared", F.size(F.array_intersect("held", "shingles")))
         .where(F.col("n_shared") >= need(F.col("n"), percent))
     )
     return compared.select(
         F.col("key").alias(key),
-        F.col("item").alias(item),
+        F.col("item.id").alias(item),
         F.col("n").cast("bigint").alias("n_shingles"),
         F.col("n_shared").cast("bigint").alias("n_shared"),
         (F.col("n_shared") / F.col("n")).alias("containment"),

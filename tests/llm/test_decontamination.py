@@ -62,6 +62,29 @@ def test_odd_rows(spark, empty):
     assert dc.leaks(empty, bench).count() == 0 and dc.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_repeated_items(spark):
+    """Repeated rows and different texts under one id lose no leak."""
+    rng = random.Random(3)
+    w = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    bench = [(1, " ".join(w("a", 14)))] * 2 + [(2, " ".join(w(tag, 14))) for tag in "bcdefgh"] + [(3, None), (3, "x y z u v w")]
+    docs = []
+    for tag in "abcdefgh":
+        docs.append((len(docs), " ".join(["before", *w(tag, 14), "after"])))
+        for cut in (1, 2):  # 8 of the 10 shingles, without the first or last two
+            docs.append((len(docs), " ".join([*w(tag, 14)[2:], "after"]) if cut == 1 else " ".join(["before", *w(tag, 14)[:-2]])))
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = sorted(tuple(r)[:4] for r in dc.leaks(df, spark.createDataFrame(bench, "item_id bigint, text string")).collect())
+    assert got == sorted((k, 1 if "a3" in t.split() else 2, 10, 10 if "before" in t and "after" in t else 8) for k, t in docs)
+
+
+def test_short_items(spark):
+    bench = [(1, "Rare, word!"), (2, "one two three four"), (3, "漢字の文。"), (4, "a a a"), (5, "..."), (6, "p q r s t"), (1, "rare word")]
+    docs = [(1, "a rare word here"), (2, "rare: Word"), (3, "word rare"), (4, "zero one two three four five"), (5, "one two three"), (6, "x 漢字の文、y"), (7, "a a b"), (8, "b a a a a"), (9, "rareword"), (10, None), (11, "o p q r s t u")]
+    got = dc.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(bench, "item_id bigint, text string"))
+    assert sorted(tuple(r)[:4] for r in got.collect()) == [(1, 1, 1, 1), (2, 1, 1, 1), (4, 2, 1, 1), (6, 3, 1, 1), (8, 4, 1, 1), (11, 6, 1, 1)]
+
+
 def test_sketch_length(spark):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(54)))], "item_id bigint, text string")
     from pyspark.sql import functions as F
