@@ -1,12 +1,13 @@
 """Secret scans with a recursive decoding worklist.
 
 Every text is a first layer. Encoded stretches of a layer (percent escapes,
-``\\uXXXX`` / ``\\xXX`` escapes, base64, and gzip or zlib data inside base64) are
-decoded into new layers, which are scanned and searched for encoded stretches
-in turn until no layer gives a new one. A layer whose content was seen before
-in the same text at the same place is not taken up again, which ends cycles.
-Each layer keeps where its characters come from, so a hit in any depth is
-reported as a span of the original text.
+``\\uXXXX`` / ``\\xXX`` escapes, base64, and gzip, zlib, bzip2, xz, Zstandard or
+raw deflate data inside decoded layers) are decoded into new layers, which are
+scanned and searched for encoded stretches in turn until no layer gives a new
+one, at any depth. A layer whose content was seen before in the same text at the
+same place is not taken up again, which ends cycles. Each layer keeps where its
+characters come from, so a hit in any depth is reported as a span of the
+original text.
 
 Spans of the text itself have the kinds ``assign``, ``access`` and ``hex``;
 those of decoded layers have the path of decodings before the kind, as in
@@ -14,20 +15,27 @@ those of decoded layers have the path of decodings before the kind, as in
 
 Runs of the base64 alphabet may be glued to path segments or words and wrapped
 over lines, so each is joined over its line breaks and decoded at all four
-offsets, and gzip or zlib data may begin at any of its characters. Decoded bytes
-are taken as Latin-1, a character each: the rules are ASCII, so bytes that are
-no UTF-8 hide nothing, and each character maps to its place.
-
-Edge cases: a null text is empty; an empty one has no spans. Data that would
-inflate beyond ``max_layer`` characters isn't inflated but reported as a span of
-kind ``...>oversize``. Where base64 runs on into a word without padding, a span
-can end with the characters of that word.
+offsets. Compressed data may begin at any byte of a decoded layer and be
+followed by more; raw deflate data, which has no mark of its own, must fill a
+base64 run. Cut data give what they hold before the cut. Decoded bytes are taken
+as Latin-1, a character each: the rules are ASCII, so bytes that are no UTF-8
+hide nothing, and each character maps to its place. An escape sign that is
+itself escaped four times or more is peeled in one step.
+
+Edge cases: a null text is empty; an empty one has no spans. All layers of a
+text together may have ``most`` characters and ``PER_CHARACTER`` for each of the
+text's own; what would go beyond is not decoded but reported as a span of kind
+``...>oversize``. Where base64 runs on into a word without padding, a span can
+end with the characters of that word.
 """
 
 from __future__ import annotations
 
 import binascii
 import bisect
+import bz2
+import hashlib
+import lzma
 import re
 import zlib
 from collections.abc import Iterator
@@ -51,9 +59,11 @@ MAYBE_SECRET = r"(?i:password|passwd|secret|token|apikey|api_key)|AKIA[A-Z0-9]{1
 MAYBE_CODED = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|(?:[A-Za-z0-9+/_-](?:[ \t]*[\r\n][ \t\r\n]*)?){15}"
 WORTH = re.compile(f"{MAYBE_SECRET}|{MAYBE_CODED}")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+#: An escape sign that is escaped four times or more, by either kind of escapes, is peeled in one step.
+PERCENT_ONE = re.compile(r"%(?:(?:25|5[cC](?:u005[cC]|x5[cC])*(?:u0025|x25)){4,})?([0-9A-Fa-f]{2})")
+PERCENT = re.compile(f"(?:{PERCENT_ONE.pattern})+")
+ESCAPE = re.compile(r"\\(?:(?:u005[cC]|x5[cC]|(?:u0025|x25)(?:25)*5[cC]){4,})?(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+ESCAPES = re.compile(f"(?:{ESCAPE.pattern})+")
 LEAST = 15
 BASE64 = re.compile(
     r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-](?:[ \t]*+[\r\n][ \t\r\n]*+)?){15})"
@@ -61,15 +71,35 @@ BASE64 = re.compile(
 )
 LINE = re.compile(r"[A-Za-z0-9+/_-]+")
 URL_SAFE = str.maketrans("-_", "+/")
-#: Where gzip or zlib data can begin.
+#: The second bytes of zlib data by their first: the two are a multiple of 31.
+_ZLIB = b"|".join(
+    b"(?<=" + re.escape(bytes([a])) + b")(?=[" + b"".join(re.escape(bytes([b])) for b in range(256) if (a << 8 | b) % 31 == 0) + b"])"
+    for a in range(0x08, 0x80, 0x10)
+)
+#: Where compressed data can begin: gzip, bzip2, xz, Zstandard, zlib.
 HEADS = re.compile(
-    b"(?=\x1f\x8b|"
-    + b"|".join(re.escape(bytes([a, b])) for a in range(0x08, 0x80, 0x10) for b in range(256) if (a << 8 | b) % 31 == 0)
-    + b")",
-    re.DOTALL,
+    rb"[\x08\x18\x1f\x28\x38\x48\x58\x68\x78B\xfd](?:(?<=\x1f)(?=(\x8b))|(?<=B)(?=(Zh[1-9]1AY&SY))|(?<=\xfd)(?=(7zXZ\x00))|(?<=\x28)(?=(\xb5\x2f\xfd))|"
+    + _ZLIB
+    + b")"
 )
 
-MAX_LAYER = 32_000_000
+CODECS = {1: "gzip", 2: "bzip2", 3: "xz", 4: "zstd", None: "zlib"}
+
+#: Characters that all layers of a text may have together, and how many more for each character of the text.
+MOST, PER_CHARACTER = 32_000_000, 64
+
+
+class Budget:
+    """How much may still be decoded for one text."""
+
+    def __init__(self, most: int):
+        self.left = most
+
+    def spend(self, n: int) -> None:
+        if n > self.left:
+            self.left //= 2  # the next stretches get a share of what is left
+            raise OverflowError
+        self.left -= n
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -152,8 +182,9 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
 
 
 def _percent(m: re.Match):
-    text = bytes.fromhex(m[0].replace("%", "")).decode("latin-1")
-    return text, [(i, m.start() + 3 * i, m.start() + 3 * i + 3) for i in range(len(text))]
+    found = list(PERCENT_ONE.finditer(m[0]))
+    text = bytes.fromhex("".join([x[1] for x in found])).decode("latin-1")
+    return text, [(i, m.start() + x.start(), m.start() + x.end()) for i, x in enumerate(found)]
 
 
 def _escapes(m: re.Match):
@@ -172,78 +203,146 @@ def _escapes(m: re.Match):
     return "".join(text), where
 
 
-def _inflate(raw: bytes, at: int, limit: int) -> tuple[bytes, int] | None:
-    """Inflated gzip or zlib data that begins at ``at``, and where it ends; None if it is neither or broken. More than ``limit`` bytes: OverflowError."""
-    d = zlib.decompressobj(47)
+def _inflate(codec: str, raw: bytes, at: int, budget: Budget) -> tuple[bytes, int] | None:
+    """Data that begin at ``at``, unpacked, and where they end; None if they are broken. OverflowError beyond the budget.
+
+    Data are fed in small parts, so that a false start costs little.
+    """
+    zstd = codec == "zstd"
+    if zstd:
+        import zstandard
+
+        d = zstandard.ZstdDecompressor().decompressobj()
+    else:
+        d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "deflate": lambda: zlib.decompressobj(-15), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[codec]()
+    out, size = [], 64
     try:
-        out = d.decompress(memoryview(raw)[at:], limit)
-    except zlib.error:
+        while at < len(raw) and not d.eof:
+            part = raw[at : at + size]
+            at, size = at + len(part), min(2 * size, 256 if zstd else 1 << 16)
+            budget.spend(len(part))
+            data = d.decompress(part) if zstd else d.decompress(part, budget.left + 1)
+            if not data:
+                continue
+            budget.spend(len(data))
+            out.append(data)
+    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
+        return None
+    except Exception as e:  # zstandard's own error class has no other base
+        if not zstd or isinstance(e, OverflowError):
+            raise
         return None
-    if d.unconsumed_tail:
-        raise OverflowError
-    return (out, len(raw) - len(d.unused_data)) if d.eof else None
+    if not d.eof and codec in ("deflate", "zlib"):
+        return None  # without an end these are taken for something else
+    return (b"".join(out), at - len(d.unused_data)) if out else None
 
 
-def _streams(run: Run, raw: bytes, stop: int, limit: int) -> Iterator[Layer | tuple[int, int, str]]:
-    """A layer for what each gzip or zlib stream in a run holds; a span where it would be too large."""
+def _streams(raw: bytes, budget: Budget, whole: bool) -> Iterator[tuple[str, bytes | None, int, int]]:
+    """(codec, unpacked bytes, start, end) of compressed data in ``raw``; None for what is beyond the budget.
+
+    ``whole``: raw deflate data that fill ``raw`` are tried too.
+    """
     done = 0
     for head in HEADS.finditer(raw):
-        at = head.start()
-        if at % 3 or at < done:  # no character of the run begins here, or inside a stream
+        at, codec = head.start(), CODECS[head.lastindex]
+        if at < done:
             continue
-        path, start = run.path, run._from(at, False)
         try:
-            if (got := _inflate(raw, at, limit)) is None:
+            if (got := _inflate(codec, raw, at, budget)) is None:
                 continue
-            (data, done), path = got, (*path, "gzip")
-            while len(path) < 64 and HEADS.match(data) and (more := _inflate(data, 0, limit)) is not None:
-                data, path = more[0], (*path, "gzip")
         except OverflowError:
-            yield (*run.parent.to_text(start, stop), ">".join((*path, "oversize")))
+            yield codec, None, at, len(raw)
             return
-        end = stop if done == len(raw) else run._from(done - 1, True)
-        yield Layer(data.decode("latin-1"), [(0, start, end, 0)], run.parent, path)
+        data, done = got
+        yield codec, data, at, done
+    if whole and not done and raw:
+        try:
+            got = _inflate("deflate", raw, 0, budget)
+        except OverflowError:
+            return  # without a mark of its own it may be anything
+        if got and got[1] == len(raw):
+            yield "deflate", got[0], 0, len(raw)
+
 
+Found = Layer | tuple[int, int, str]
 
-def _base64_layers(layer: Layer, limit: int) -> Iterator[Layer | tuple[int, int, str]]:
-    """Layers for each stretch of base64, from each offset; a span where data would be too large."""
+
+def _over(layer: Layer, start: int, end: int, path: tuple[str, ...]) -> tuple[int, int, str]:
+    return (*layer.to_text(start, end), ">".join((*path, "oversize")))
+
+
+def _base64_layers(layer: Layer, budget: Budget, known: set) -> Iterator[Found]:
+    """Layers for each stretch of base64, from each offset, and for the compressed data in it; a span where they would be too large."""
     for m in BASE64.finditer(layer.text):
         lines = [x.span() for x in LINE.finditer(layer.text, m.start(), m.end())]
         run = "".join(layer.text[a:b] for a, b in lines).translate(URL_SAFE)
+        mark = (_digest(run), *layer.to_text(m.start(), m.end()))
+        if mark in known:
+            continue  # an escaped form of this layer holds it too
+        known.add(mark)
         for offset in range(4):
             part = run[offset : len(run) - ((len(run) - offset) % 4 == 1)]
             if len(part) < LEAST:
                 break
+            try:
+                budget.spend(len(part))
+            except OverflowError:
+                yield _over(layer, m.start(), m.end(), (*layer.path, "base64"))
+                break
             raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
             decoded = Run(raw.decode("latin-1"), lines, offset, layer, (*layer.path, "base64"))
-            yield from _streams(decoded, raw, m.end(), limit)
+            for codec, data, at, end in _streams(raw, budget, True):
+                start, stop = decoded._from(at, False), m.end() if end == len(raw) else decoded._from(end - 1, True)
+                if data is None:
+                    yield _over(layer, start, stop, decoded.path)
+                else:
+                    yield Layer(data.decode("latin-1"), [(0, start, stop, 0)], layer, (*decoded.path, codec))
             yield decoded
 
 
-def scan(text: str, max_layer: int = MAX_LAYER) -> tuple[list, list]:
+def _plain_layers(layer: Layer, budget: Budget) -> Iterator[Found]:
+    """Layers for the escapes of a layer, and for the compressed data in a decoded one."""
+    for sign, pattern, decode, name in (("%", PERCENT, _percent, "url"), ("\\", ESCAPES, _escapes, "unicode")):
+        if sign in layer.text:
+            try:
+                budget.spend(len(layer.text))
+            except OverflowError:
+                yield _over(layer, 0, len(layer.text), (*layer.path, name))
+                continue
+            if (got := _replaced(layer, pattern, decode, name)) is not None:
+                yield got
+    if layer.parent is not None and not isinstance(layer, Run):
+        for codec, data, at, end in _streams(layer.text.encode("latin-1", "replace"), budget, False):
+            if data is None:
+                yield _over(layer, at, end, layer.path)
+            else:
+                yield Layer(data.decode("latin-1"), [(0, at, end, 0)], layer, (*layer.path, codec))
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _worth(layer: Layer) -> bool:
+    """Whether a decoded layer can hold a secret or another layer."""
+    return bool(WORTH.search(layer.text)) or (not isinstance(layer, Run) and bool(HEADS.search(layer.text.encode("latin-1", "replace"))))
+
+
+def scan(text: str, most: int = MOST) -> tuple[list, list]:
     """Spans of the plain rules, and those that decoding adds."""
     base = base_spans(text)
     first = Layer(text, [(0, 0, len(text), 1)], None, ())
-    work, seen, added = [first], {(text, 0, len(text))}, {}
-    coded = re.compile(MAYBE_CODED)
+    work, seen, known, added = [first], {(_digest(text), 0, len(text))}, set(), {}
+    budget = Budget(most + PER_CHARACTER * len(text))
     while work:
         layer = work.pop()
-        if not coded.search(layer.text):
-            continue
-        new: list[Layer] = []
-        if "%" in layer.text:
-            new.append(_replaced(layer, PERCENT, _percent, "url"))
-        if "\\" in layer.text:
-            new.append(_replaced(layer, ESCAPES, _escapes, "unicode"))
-        for x in _base64_layers(layer, max_layer):
+        for x in (*_plain_layers(layer, budget), *_base64_layers(layer, budget, known)):
             if isinstance(x, tuple):
                 added.setdefault((x[0], x[1], x[2].rpartition(">")[2]), x[2])
-            else:
-                new.append(x)
-        for x in new:
-            if x is None or not WORTH.search(x.text):
                 continue
-            mark = (x.text, *x.to_text(0, len(x.text)))
+            if not _worth(x):
+                continue
+            mark = (_digest(x.text), *x.to_text(0, len(x.text)))
             if mark in seen:
                 continue
             seen.add(mark)
@@ -272,7 +371,7 @@ def _maybe(column):
     return pc.or_(pc.match_substring_regex(column, MAYBE_SECRET), pc.match_substring_regex(column, MAYBE_CODED))
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", max_layer: int = MAX_LAYER) -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int = MOST) -> DataFrame:
     """``key, base, spans`` for every row: the plain spans, and all spans."""
 
     def rows(batches: Iterator) -> Iterator:
@@ -283,7 +382,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", max_l
         for batch in batches:
             column, base, spans = batch.column("text"), [], []
             for t, go in zip(column, _maybe(column).to_pylist(), strict=True):
-                plain, more = scan(t.as_py(), max_layer) if go else ([], [])
+                plain, more = scan(t.as_py(), most) if go else ([], [])
                 base.append(as_spans(plain))
                 spans.append(as_spans(merged(plain, more)))
             yield pa.RecordBatch.from_arrays(
@@ -297,7 +396,7 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", max_l
     return found.withColumnRenamed("key", key)
 
 
-def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", max_layer: int = MAX_LAYER) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", most: int = MOST) -> DataFrame:
     """``docs`` with every found span of the text replaced by ``mask``; a null text stays null.
 
     Spans that overlap become one mask.
@@ -305,7 +404,7 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[SECRET]", max_laye
 
     def hidden(t: str) -> str:
         at, parts = 0, []
-        for s, e, _ in sorted(merged(*scan(t, max_layer))):
+        for s, e, _ in sorted(merged(*scan(t, most))):
             if s >= at:
                 parts += [t[at:s], mask]
             at = max(at, e)

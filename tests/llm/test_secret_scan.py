@@ -1,7 +1,10 @@
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -49,7 +52,7 @@ def test_layers():
     for coded, path in (
         (b64(inner), "base64>assign"),
         (b64(gzip.compress(inner.encode())), "base64>gzip>assign"),
-        (b64(zlib.compress(inner.encode())), "base64>gzip>assign"),
+        (b64(zlib.compress(inner.encode())), "base64>zlib>assign"),
         (b64(b64(inner)), "base64>base64>assign"),
         ("".join(f"\\u{ord(c):04x}" for c in inner), "unicode>assign"),
         (urllib.parse.quote(b64(inner), safe=""), None),
@@ -83,7 +86,7 @@ def test_cycles_and_fixpoint_end():
 
 def test_bomb_is_reported():
     bomb = b64(gzip.compress(b"a" * 1_000_000))
-    assert ss.scan(f"- {bomb}", max_layer=1000)[1] == [(2, 2 + len(bomb), "base64>oversize")]
+    assert ss.scan(f"- {bomb}", most=1000)[1] == [(2, 2 + len(bomb), "base64>oversize")]
 
 
 def test_prefilter_loses_nothing():
@@ -164,5 +167,67 @@ def test_bytes_that_are_no_utf8():
 
 def test_stream_of_a_stream_too_large():
     bomb = b64(gzip.compress(gzip.compress(b"a" * 1_000_000)))
-    assert ss.scan(bomb, max_layer=5000)[1] == [(0, len(bomb), "base64>gzip>oversize")]
+    assert ss.scan(bomb, most=5000)[1] == [(0, len(bomb), "base64>gzip>oversize")]
     assert hidden("v1/" + b64(gzip.compress(SECRET.encode())))[0] == b64(gzip.compress(SECRET.encode()))
+
+
+def deflated(data):
+    d = zlib.compressobj(wbits=-15)
+    return d.compress(data) + d.flush()
+
+
+def zstd(data):
+    import zstandard
+
+    return zstandard.compress(data)
+
+
+def test_every_codec_and_its_members():
+    words = b"some words come first, then some more and "
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstd, deflated):
+        for before in ("", "x/", "v1-", "ab"):
+            text = f"head {before}{b64(pack(words + SECRET.encode()))} tail"
+            assert any(k.endswith("assign") for *_, k in ss.scan(text)[1]), (pack, before)
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress):
+        for n in range(4):  # a second member, and data after a stretch of other bytes
+            for data in (pack(words[n:]) + pack(SECRET.encode()), b"\xff" * n + pack(SECRET.encode()), pack(words) + b"?" * n + pack(SECRET.encode())):
+                assert any(k.endswith("assign") for *_, k in ss.scan(b64(data))[1]), (pack, n)
+    cut = gzip.compress(("".join(chr(97 + i * 7 % 26) for i in range(300)) + " " + SECRET + " " + words.decode() * 30).encode())
+    assert any(k.endswith("assign") for *_, k in ss.scan(b64(cut[:-9]))[1])
+    escaped = "".join(f"%{x:02x}" for x in gzip.compress(SECRET.encode()))
+    assert ss.scan(f"a {escaped} b")[1] == [(2, 2 + len(escaped), "url>gzip>assign")]
+
+
+def test_deep_chains_end_soon():
+    data = SECRET.encode()
+    for _ in range(100):
+        data = gzip.compress(data)
+    began = time.time()
+    assert ss.scan(b64(data))[1][0][2] == "base64>" + "gzip>" * 100 + "assign"
+    for text in ("%" + "25" * 50_000 + "70assword=hunter2hunter2", "\\" + "u005c" * 20_000 + "u0070assword=hunter2hunter2", "%5Cu0025" + "5Cu0025" * 10_000 + "70assword=hunter2hunter2"):
+        assert [(s, e) for s, e, k in ss.scan(text)[1] if k.endswith("assign")] == [(0, len(text))]
+    ss.scan("%" + "25" * 50_000)
+    ss.scan(b64(b"\x1f\x8b\x08\x08" * 100_000))
+    assert time.time() - began < 10
+    level = lambda t: t.replace("%", "%25")
+    text = "%70assword%3Dhunter2hunter2"
+    for _ in range(9):
+        assert [(s, e) for s, e, k in ss.scan(text)[1] if k.endswith("assign")] == [(0, len(text))]
+        text = level(text)
+
+
+def test_random_chains():
+    """Secrets under random layers after random prefixes are found where they are."""
+    rng = random.Random(5)
+    percent = lambda t: "".join(f"%{b:02X}" if rng.random() < 0.5 or not chr(b).isalnum() else chr(b) for b in t.encode())
+    escapes = lambda t: "".join(f"\\u{ord(c):04x}" for c in t)
+    packed = [lambda t, f=f: b64(f(t.encode())) for f in (gzip.compress, zlib.compress, bz2.compress, lzma.compress)]
+    layers = [percent, escapes, b64, lambda t: base64.urlsafe_b64encode(t.encode()).decode(), *packed]
+    for _ in range(150):
+        kind = rng.choice(["password=" + "".join(rng.choice("abcXYZ019") for _ in range(12)), "AKIA" + "".join(rng.choice("ABC019") for _ in range(14)), "".join(rng.choice("0123456789abcdef") for _ in range(40))])
+        coded = f"some text, {kind}, and so on"
+        for _ in range(rng.randrange(1, 6)):
+            coded = rng.choice(layers)(coded)
+        before = "é" * rng.randrange(3) + " " + rng.choice(["", "x/", "id: ", "k_"])
+        text = f"{before}{coded} after"
+        assert any(len(before) <= s < e <= len(before) + len(coded) and not k.endswith("oversize") for s, e, k in ss.scan(text)[1]), (kind, text[:80])
