@@ -37,22 +37,90 @@ def test_features_match_a_plain_loop():
     assert tx.features([])[0].size == tx.features(["..."])[0].size == 0
 
 
-def test_stretches_keep_every_word(monkeypatch):
-    text = " ".join(str(i) for i in range(500))
-    parts = [p for _, ps in tx.stretches(["", text, "z"], 50) for p in ps]
-    assert "".join(parts) == text + "z"
-    ns = [n for ns, _ in tx.stretches(["", text, "z"], 50) for n in ns]
-    assert ns == sorted(ns) and set(ns) == {0, 1, 2}
+def test_stretches_lose_nothing():
+    rng = random.Random(3)
+    texts = ["", " ".join(str(i) for i in range(500)), "z", prose(rng, 300), "é" * 120 + " a b " + "ü-" * 40, "x" * 500, "a b"]
+    want = {}
+    for n, t in enumerate(texts):
+        want[n] = sorted(set(tx.features([t])[1].tolist()))
+    for most in (20, 50, 137):
+        found = {}
+        for ns, parts in tx.stretches(texts, most):
+            of, at = tx.features(parts)
+            assert ns == sorted(ns)
+            for o, x in zip(of, at):
+                found.setdefault(ns[o], set()).add(x)
+        for n in (0, 1, 2, 3, 6):  # words longer than two stretches are cut
+            assert sorted(found.get(n, ())) == want[n]
+    got = dict(tx.distinct_features(texts))
+    assert {n: x.tolist() for n, x in got.items()} == want
+
+
+def plain_words(text):
+    out, word = [], ""
+    for c in text.lower() + " ":
+        if c.isascii() and not c.isalnum():
+            if word:
+                out.append(word)
+            word = ""
+        else:
+            word += c
+    return out
+
+
+def test_model_and_scores_against_plain_loops(spark):
+    """FTRL-proximal replayed row by row over features that are tuples of words."""
+    docs, labels = labelled(spark, 120)
+    settings = {"alpha": 0.7, "beta": 1.3, "l1": 0.4, "l2": 0.2}
+    model = tx.fit(docs, labels, epochs=2, bits=30, **settings)
+    texts = dict(docs.collect())
+    order = [r.doc_id for r in labels.orderBy(F.xxhash64(F.lit("order"), "doc_id")).collect()]
+    toxic = dict(labels.collect())
+    sets = {}
+    for i, t in texts.items():
+        w = plain_words(t)
+        sets[i] = {("w", x) for x in w} | {("p", *x) for x in zip(w, w[1:])} | {("s", *x) for x in zip(w, w[2:])} | {"bias"}
+    z, n = {}, {}
+
+    def weight(f):
+        zf, nf = z.get(f, 0.0), n.get(f, 0.0)
+        if f == "bias":
+            return -zf / ((settings["beta"] + nf**0.5) / settings["alpha"])
+        if abs(zf) <= settings["l1"]:
+            return 0.0
+        return -(zf - (1 if zf > 0 else -1) * settings["l1"]) / ((settings["beta"] + nf**0.5) / settings["alpha"] + settings["l2"])
+
+    prob = lambda i: 1 / (1 + np.exp(-sum(weight(f) for f in sets[i])))
+    for _ in range(2):
+        for i in order:
+            w = {f: weight(f) for f in sets[i]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - toxic[i]
+            for f in sets[i]:
+                before = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - ((before + g * g) ** 0.5 - before**0.5) / settings["alpha"] * w[f]
+                n[f] = before + g * g
+    got = {r.doc_id: r.score for r in tx.score(docs, model).collect()}
+    assert max(abs(got[i] - prob(i)) for i in texts) < 1e-6
+    assert len(model.weights) == sum(weight(f) != 0 for f in z if f != "bias")
+
+
+def test_bits_and_cross_validation(spark):
+    docs, labels = labelled(spark, 200)
+    small = tx.fit(docs, labels, bits=12)
+    assert small.bits == 12 and max(small.at) < 1 << 12
+    assert tx.score(docs, small).count() == 200
+    out = tx.cross_validated(docs, labels, [{"l1": 1.0}, {"l1": 1000.0, "epochs": 1}], folds=2, train=F.col("doc_id") % 4 != 2)
+    assert out[0]["recall"] > 0.8 and out[0]["log_loss"] < out[1]["log_loss"]
 
 
 def test_held_out(spark):
     docs, labels = labelled(spark)
     model = tx.fit(docs, labels, train=F.col("doc_id") % 4 != 2)
-    assert 0 < len(model[0]) < 20_000
+    assert 0 < len(model.at) < 20_000
     got = tx.score(docs, model).join(labels, "doc_id").where("doc_id % 4 = 2").toPandas()
     assert ((got.score >= 0.3) == (got.toxic == 1)).mean() > 0.97
     again = tx.fit(docs.repartition(7), labels, train=F.col("doc_id") % 4 != 2)
-    assert all(np.array_equal(a, b) for a, b in zip(model[:2], again[:2], strict=True))
+    assert all(np.array_equal(a, b) for a, b in ((model.at, again.at), (model.weights, again.weights)))
 
 
 def test_bounded_sample(spark):
@@ -64,10 +132,10 @@ def test_bounded_sample(spark):
 def test_odd_rows(spark, docs, corpus, empty):
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (None, 1), (2, None), (777, 1), (900, 1)], "doc_id bigint, toxic int")
     model = tx.fit(docs, labels)
-    got = tx.score(docs, model, to="points").collect()
-    assert len(got) == len(corpus) and all(0 <= r.points <= 1 for r in got)
-    bias = {r.doc_id: r.points for r in got}
+    got = tx.score(docs, model).collect()
+    assert len(got) == len(corpus) and all(0 <= r.score <= 1 for r in got)
+    bias = {r.doc_id: r.score for r in got}
     assert bias[900] == bias[901]  # null and null: the bias alone
     none = tx.fit(docs, labels.limit(0))
-    assert [r.points for r in tx.score(docs.limit(3), none, to="points").collect()] == [0.5] * 3
+    assert [r.score for r in tx.score(docs.limit(3), none).collect()] == [0.5] * 3
     assert tx.score(empty, model).count() == 0
