@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import text_of
+from marketframe.llm.common import attached, hot_from, saved, text_of
 
 #: Texts given to the tokenizer at once; bounds a worker's memory.
 BATCH = 64
@@ -111,8 +111,11 @@ def token_counts(
     counts = count_tokens(docs, cache_path, load, version, text)
     content = text_of(text)
     rows = docs.select(
-        F.col(key), F.octet_length(content).cast("bigint").alias("n_bytes"), content_digest(content).alias("digest")
+        F.col(key).alias("key"), F.octet_length(content).cast("bigint").alias("n_bytes"), content_digest(content).alias("digest")
     )
-    return rows.join(counts, "digest").select(
-        key, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest")
+    # digests of texts that very many rows have, counted before the shuffle
+    often = rows.groupBy("digest").count().where(F.col("count") > hot_from(docs.count()))
+    found = attached(rows, counts, "digest", saved(often, "frequent-texts"))
+    return found.select(
+        F.col("key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), F.hex("digest").alias("digest")
     )
