@@ -9,10 +9,12 @@ possible are confirmed on their full sets.
 
 Copies (equal sets) form classes first, so that only one of them is compared.
 Within a band's bucket all members are compared with its smallest one; members
-of one component need no further comparison. What is left, buckets whose members
-are still in different components, is compared in blocks, by the packed bits and
-then on the full sets, each pair in the first bucket that it shares, so no link
-between different texts is lost. Only links that join components are emitted.
+of one component need no further comparison. In what is left, buckets whose
+members are still in different components, those outside the largest component
+are compared with all others in blocks, by the packed bits and then on the full
+sets, each pair in the first bucket that it shares, so no link between different
+texts is lost. Only links that join components are emitted. Rows of very
+frequent sets, buckets and leaders are spread over the tasks.
 
 With 32 bands of 5 rows a pair at exactly 0.8 misses every band with a
 probability of 3e-6; the estimate's margin is five standard deviations.
@@ -31,7 +33,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import saved, text_of
+from marketframe.llm.common import attached, hot_from, saved, text_of
 from marketframe.llm.components import components
 
 BANDS, ROWS, BITS = 32, 5, 4
@@ -42,6 +44,8 @@ PERCENT = 80
 MARGIN = 0.17
 #: Members of a bucket that are compared with each other at once.
 BLOCK = 2048
+#: Shingles of a block's members together, on average at most.
+BLOCK_SHINGLES = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -159,73 +163,101 @@ def possible(bits_a: Column, bits_b: Column, n_a: Column, n_b: Column, percent:
     return sizes & (estimated(bits_a, bits_b) >= percent / 100 - MARGIN)
 
 
+#: Members of a bucket that are compared with one copy of its leader's text.
+CHUNK = 512
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough, with ``shared`` and ``total`` shingles."""
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) whose full sets are similar enough, with ``shared`` and ``total`` shingles.
+
+    ``pairs``: a, b, members. Where one ``a`` meets very many others (``members``)
+    they are dealt in chunks, each with one copy of its text, which is read first
+    and held as a set while the others pass by.
+    """
+    # powers of two, so that one a has few different numbers of chunks
+    chunks = F.expr(f"shiftleft(1L, cast(ceil(log2(greatest(members / {CHUNK}, 1))) AS INT))")
+    dealt = pairs.select("a", "b", chunks.alias("of"), F.pmod(F.xxhash64("b"), chunks).alias("chunk"))
+    right = dealt.join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "of", "chunk", "b", "text")
+    left = dealt.select("a", "of", "chunk").distinct().join(texts.select(F.col("key").alias("a"), "text"), "a")
+    left = left.select("a", "of", "chunk", F.lit(None).cast(pairs.schema["b"].dataType).alias("b"), "text")
+    group = ("a", "of", "chunk")
+    both = left.unionByName(right).repartition(*group).sortWithinPartitions(*group, F.asc_nulls_first("b"))
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        at, known = None, None
         for batch in batches:
-            keep, shared, total, sets = [], [], [], {}
-            for i, (ta, tb) in enumerate(zip(batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if (known := sets.get(ta)) is None:
-                    if len(sets) > 64:
-                        sets.clear()
-                    known = sets[ta] = shingle_set(ta.as_py().encode(), shingle)
-                other = shingle_set(tb.as_py().encode(), shingle)
-                n = len(np.intersect1d(known, other, assume_unique=True))
-                if n and 100 * n >= percent * (len(known) + len(other) - n):
+            keep, shared, total = [], [], []
+            ids = zip(*(batch.column(c).to_pylist() for c in group), strict=True)
+            for i, (cell, other, text) in enumerate(zip(ids, batch.column("b").to_pylist(), batch.column("text"), strict=True)):
+                own = shingle_set(text.as_py().encode(), shingle)
+                if other is None:
+                    at, known = cell, own
+                    continue
+                assert cell == at
+                n = len(np.intersect1d(known, own, assume_unique=True))
+                if n and 100 * n >= percent * (len(known) + len(own) - n):
                     keep.append(i)
                     shared.append(n)
-                    total.append(len(known) + len(other) - n)
-            at = pa.array(keep, pa.int64())
+                    total.append(len(known) + len(own) - n)
+            take = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("a").take(at), batch.column("b").take(at), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"]
+                [batch.column("a").take(take), batch.column("b").take(take), pa.array(shared, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "shared", "total"]
             )
 
     kind = pairs.schema["a"].dataType.simpleString()
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(rows, f"a {kind}, b {kind}, shared bigint, total bigint")
+    return both.mapInArrow(rows, f"a {kind}, b {kind}, shared bigint, total bigint")
 
 
 def _cells(members: DataFrame) -> DataFrame:
-    """``members`` dealt to cells: a bucket, or a pair of blocks of a bucket with more than ``BLOCK`` members."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    one = members.withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-    cells = one.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return cells.withColumn("c1", F.least("block", "other")).withColumn("c2", F.greatest("block", "other")).drop("other", "members")
+    """``members`` of mixed buckets dealt to cells (bucket, row, col).
 
+    The members outside the bucket's main component (``side`` 0, in blocks by
+    row) meet all members (``side`` 1, in blocks by column), so those of the main
+    one are never compared with each other. ``rows`` and ``cols``: how many
+    blocks the bucket has.
+    """
+    block = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "rep"), F.col(n)).cast("int")
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    right = members.withColumn("col", block("col", "cols")).withColumn("row", all_of("rows")).withColumn("side", F.lit(1))
+    left = members.where("NOT main").withColumn("row", block("row", "rows")).withColumn("col", all_of("cols")).withColumn("side", F.lit(0))
+    return left.unionByName(right).drop("rows", "cols")
 
-CELL = ("bucket", "c1", "c2")
 
+CELL = ("bucket", "row", "col")
 
-def _by_cell(batches: Iterator, columns: tuple[str, ...]):
-    """(cell, columns of its rows) for rows that come sorted by cell."""
+
+def _by_cell(batches: Iterator, columns: tuple[str, ...], sets=None):
+    """(cell, columns of its rows) for rows that come sorted by cell; ``sets`` turns a text into its set as it comes."""
     cell, held = None, []
     for batch in batches:
         ids = zip(*(batch.column(c).to_pylist() for c in CELL), strict=True)
-        for at, row in zip(ids, zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
+        plain = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+        texts = batch.column("text") if sets else [None] * batch.num_rows
+        for at, row, text in zip(ids, plain, texts, strict=True):
             if at != cell:
                 if held:
                     yield cell, list(zip(*held, strict=True))
                 cell, held = at, []
-            held.append(row)
+            held.append((*row, sets(text.as_py().encode())) if sets else row)
     if held:
         yield cell, list(zip(*held, strict=True))
 
 
-def _candidates(cell: tuple, root, n, bits, bands, block, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+def _candidates(bucket: int, rep, root, n, bits, bands, main, side, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """(i, js): members that may be similar, are in different components, and meet in this bucket first."""
     ones, chance = np.uint64(int("1" * 64, 2) // ((1 << BITS) - 1)), 2.0**-BITS
     codes = {r: i for i, r in enumerate(dict.fromkeys(root))}
-    root, n, block = np.array([codes[r] for r in root]), np.array(n), np.array(block)
+    places = {r: i for i, r in enumerate(sorted(set(rep)))}
+    root, place = np.array([codes[r] for r in root]), np.array([places[r] for r in rep])
+    n, main, side = np.array(n), np.array(main), np.array(side)
     bits, bands = np.array(bits, dtype=np.int64).view(np.uint64), np.array(bands, dtype=np.int64)
-    bucket, c1, c2 = cell
-    left, right = np.flatnonzero(block == c1), np.flatnonzero(block == c2)
-    for i in left:
-        js = right[right > i] if c1 == c2 else right
-        js = js[(root[js] != root[i]) & (np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent)]
+    right = np.flatnonzero(side == 1)
+    for i in np.flatnonzero(side == 0):
+        # two members outside the main component meet twice; the smaller one is taken from the left
+        js = right[(root[right] != root[i]) & (main[right] | (place[right] > place[i]))]
+        js = js[np.minimum(n[js], n[i]) * 100 >= np.maximum(n[js], n[i]) * percent]
         if not len(js):
             continue
         x = bits[js] ^ bits[i]
@@ -237,7 +269,7 @@ def _candidates(cell: tuple, root, n, bits, bands, block, percent: int) -> Itera
             yield int(i), js
 
 
-def _linked(cell: tuple, root, n, bits, bands, block, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+def _linked(bucket: int, rep, root, n, bits, bands, main, side, sets: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
     """Pairs (i, j) of a cell that its full sets confirm and that join components.
 
     Shared shingles are counted through lists of the members that have each
@@ -251,7 +283,7 @@ def _linked(cell: tuple, root, n, bits, bands, block, sets: list[np.ndarray], pe
     begins, own_end = ends - np.bincount(ids), np.cumsum(size)
     codes = {r: i for i, r in enumerate(dict.fromkeys(root))}
     component = np.array([codes[r] for r in root])
-    for i, js in _candidates(cell, root, n, bits, bands, block, percent):
+    for i, js in _candidates(bucket, rep, root, n, bits, bands, main, side, percent):
         js = js[component[js] != component[i]]
         if not len(js):
             continue
@@ -266,76 +298,96 @@ def _linked(cell: tuple, root, n, bits, bands, block, sets: list[np.ndarray], pe
 def across(members: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
     """Links (a, b) between components: enough of them to join what the full sets of a bucket's members join.
 
-    ``members``: bucket, members, rep, root, n, bits, bands. The packed bits
-    choose which members of a cell need their texts at all; then the cell's full
-    sets are compared, and a pair that is already joined is passed over, so a
-    cell gives fewer links than it has members, and no list of pairs is made.
+    ``members``: bucket, rep, root, n, bits, bands, main, rows, cols. The packed
+    bits choose which members of a cell need their texts at all; then the cell's
+    full sets are compared, and a pair that is already joined is passed over, so
+    a cell gives fewer links than it has members, and no list of pairs is made.
     """
     kind = members.schema["rep"].dataType.simpleString()
-    columns = ("rep", "root", "n", "bits", "bands", "block")
+    columns = ("rep", "root", "n", "bits", "bands", "main", "side")
 
     def need(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for cell, (rep, root, n, bits, bands, block) in _by_cell(batches, columns):
+        for cell, found in _by_cell(batches, columns):
             wanted: set[int] = set()
-            for i, js in _candidates(cell, root, n, bits, bands, block, percent):
+            for i, js in _candidates(cell[0], *found, percent):
                 wanted.add(i)
                 wanted.update(js.tolist())
             if wanted:
                 at = sorted(wanted)
+                rep, main, side = (pa.array([found[columns.index(c)][i] for i in at]) for c in ("rep", "main", "side"))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array([cell[k]] * len(at), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), pa.array([rep[i] for i in at]), pa.array([block[i] for i in at], pa.int32())],
-                    [*CELL, "rep", "block"],
+                    [*(pa.array([cell[k]] * len(at), t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32()))), rep, main, side.cast(pa.int32())], [*CELL, "rep", "main", "side"]
                 )
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        for cell, (rep, root, n, bits, bands, block, text) in _by_cell(batches, (*columns, "text")):
-            links = list(_linked(cell, root, n, bits, bands, block, [shingle_set(t.encode(), shingle) for t in text], percent))
-            links = [(rep[i], rep[j]) for i, j in links]
+        for cell, found in _by_cell(batches, columns, lambda t: shingle_set(t, shingle)):
+            rep = found[0]
+            links = [(rep[i], rep[j]) for i, j in _linked(cell[0], *found, percent)]
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*links, strict=True)], ["a", "b"])
 
-    sort = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL, "rep")
+    sort = lambda df: df.repartition(*CELL).sortWithinPartitions(*CELL, "side", "rep")
     known = members.select("rep", "root", "n", "bits", "bands").dropDuplicates(["rep"])
-    wanted = sort(_cells(members)).select(*CELL, *columns).mapInArrow(need, f"bucket bigint, c1 int, c2 int, rep {kind}, block int")
+    wanted = sort(_cells(members)).select(*CELL, *columns).mapInArrow(need, f"bucket bigint, row int, col int, rep {kind}, main boolean, side int")
     wanted = saved(wanted, "cells")
     whole = wanted.join(known, "rep").join(texts.withColumnRenamed("key", "rep"), "rep")
     return sort(whole).select(*CELL, *columns, "text").mapInArrow(compare, f"a {kind}, b {kind}")
 
 
+def _mixed(several: DataFrame, reps: DataFrame, hot: DataFrame) -> DataFrame:
+    """Members (see ``across``) of the buckets whose members are in several components."""
+    sized = several.join(reps.select("rep", "n"), "rep")
+    parts = sized.groupBy("bucket", "root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    of = parts.groupBy("bucket").agg(F.count("*").alias("roots"), F.max(F.struct("m", "w", "root")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"))
+    # as many blocks as members or their shingles ask for
+    blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    of = of.where("roots > 1").select(
+        "bucket", F.col("top.root").alias("top"), blocks(F.col("m") - F.col("top.m"), F.col("w") - F.col("top.w")).alias("rows"), blocks(F.col("m"), F.col("w")).alias("cols")
+    )
+    found = attached(several, saved(of, "mixed-buckets"), "bucket", hot).where("top IS NOT NULL")
+    found = found.select("bucket", "rep", "root", (F.col("root") == F.col("top")).alias("main"), "rows", "cols")
+    return saved(found.join(reps.select("rep", "n", "bits", "bands"), "rep"), "mixed")
+
+
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
     """``key, n_shingles, component_id, kept`` for every row of ``docs``."""
     rows = saved(signatures(docs, key, text, shingle), "signatures")
     sets = rows.where("n > 0 AND key IS NOT NULL")
     # equal sets have equal signatures
-    reps = sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    reps = sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     reps = saved(reps, "classes")
     bands = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1")
-    met = saved(bands.join(buckets, "bucket"), "buckets")
+    buckets = saved(bands.groupBy("bucket").agg(F.min("rep").alias("leader"), F.count("*").alias("members")).where("members > 1"), "bucket-leaders")
+    often = hot_from(BANDS * reps.count())
+    hot = buckets.where(F.col("members") > often)
+    met = saved(attached(bands, buckets, "bucket", hot).where("leader IS NOT NULL"), "buckets")
     texts = docs.select(F.col(key).alias("key"), text_of(text).alias("text"))
-    texts = saved(texts.join(met.select(F.col("rep").alias("key")).distinct(), "key", "left_semi"), "texts")
+    texts = saved(texts.join(met.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]), "texts")
 
+    first = met.where("rep <> leader").groupBy(F.col("leader").alias("a"), F.col("rep").alias("b")).agg(F.max("members").alias("members"))
     bits = lambda side: reps.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
-    may = lambda pairs: pairs.join(bits("a"), "a").join(bits("b"), "b").where(possible(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b").distinct()
-    first = saved(may(met.where("rep <> leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()), "pairs")
+    # a leader of hot buckets has many pairs; any other has fewer than BANDS times those of a bucket that isn't hot
+    leaders = hot.select(F.col("leader").alias("a")).distinct()
+    first = attached(first, bits("a"), "a", leaders).join(bits("b"), "b")
+    first = saved(first.where(possible(F.col("bits_a"), F.col("bits_b"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b", "members"), "pairs")
     links = saved(confirmed(first, texts, percent, shingle).select("a", "b"), "links-1")
     roots = components(links)
 
     # a bucket of two has had its only pair compared
     several = met.where("members > 2").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = several.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
-    left = saved(several.join(mixed, "bucket").join(reps.select("rep", "n", "bits", "bands"), "rep"), "mixed")
+    left = _mixed(saved(several.select("bucket", "rep", "root"), "several"), reps, hot)
     more = saved(across(left, texts, percent, shingle), "links-2")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
 
-    classes = reps.select("digest", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    classes = classes.select("digest", F.coalesce("root", "rep").alias("component"))
-    out = rows.select("key", "n", "digest").join(classes, "digest", "left")
+    classes = reps.select("digest", "rep", "copies").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    classes = saved(classes.select("digest", F.coalesce("root", "rep").alias("component"), "copies"), "components")
+    common = classes.where(F.col("copies") > hot_from(rows.count()))
+    out = attached(rows.select("key", "n", "digest"), classes.drop("copies"), "digest", common)
     component = F.coalesce("component", "key")
     return out.select(
         F.col("key").alias(key),
