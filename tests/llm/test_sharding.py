@@ -1,3 +1,4 @@
+import hashlib
 import zlib
 from collections import Counter
 
@@ -56,3 +57,32 @@ def test_empty(empty):
 def test_repeated_rows(spark):
     rows = [(1, "a", None, "s", 1)] * 5 + [(None, None, None, None, None)] * 2
     check(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), rows, 3)
+
+
+def test_against_plain_placement(docs, corpus):
+    """Ranks, fractions and cuts by sorting everything in one list."""
+    digest = lambda x: hashlib.md5(f"17:{x}".encode()).hexdigest()
+    by_source = {}
+    for i, t, _, source, _ in corpus:
+        data = (t or "").encode()
+        by_source.setdefault("" if source is None else "=" + source, []).append((digest(i), i, zlib.crc32(data), len(data) + 16))
+    everything = []
+    for s, rows in by_source.items():
+        u = (int(digest(s)[:6], 16) + 0.5) / 2**24
+        everything += [((r + u) / len(rows), s, o, i) for r, (o, i, *_) in enumerate(sorted(rows))]
+    everything.sort()
+    n = len(everything)
+    for shards in (1, 7, 40):
+        want = {}
+        for p, (*_, i) in enumerate(everything):
+            shard = p * shards // n
+            want[i] = (shard, p - -(-shard * n // shards))
+        assert {r.doc_id: (r.shard, r.slot) for r in sh.interleaved(docs, shards).collect()} == want
+
+
+def test_hot_keys_and_tiny_sources(spark, monkeypatch):
+    monkeypatch.setattr(sh, "BUCKET_ROWS", 5)
+    rows = [(None, "a", None, "s", 1)] * 300 + [(7, "b", None, "s", 1)] * 200 + [(1000 + i, "c", None, f"t{i}", 1) for i in range(300)]
+    got = check(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint"), rows, 8)
+    each = [sum(r.source == "s" and r.shard == j for r in got) for j in range(8)]
+    assert max(each) - min(each) <= 30  # sources of one row are spread over all shards
