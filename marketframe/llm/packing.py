@@ -24,11 +24,9 @@ from marketframe.llm.common import saved, text_of
 
 CAPACITY = 1024
 #: Items that a task packs at once.
-ITEMS = 30_000
+ITEMS = 8_000
 #: Bins filled to this share are done.
 NEARLY_FULL = 0.98
-#: Texts of more characters go to the tokenizers library itself, in pieces of work that it can take.
-LONG = 1_000_000
 
 
 def byte_bpe_encoder(json_file: str, ranks_file: str, pattern: str):
@@ -36,7 +34,8 @@ def byte_bpe_encoder(json_file: str, ranks_file: str, pattern: str):
 
     ``ranks_file`` holds the same vocabulary as ``json_file``; the ids are the
     same and come several times faster. Special strings are recognised in the
-    text, as the tokenizers library does by default.
+    text, as the tokenizers library does by default. Texts that the faster form
+    refuses (millions of blanks in a row) are encoded by the library itself.
     """
 
     def load():
@@ -55,11 +54,12 @@ def byte_bpe_encoder(json_file: str, ranks_file: str, pattern: str):
         slow: list[Tokenizer] = []
 
         def encode(text: str):
-            if len(text) <= LONG:
+            try:
                 return fast.encode_to_numpy(text, allowed_special="all")
-            if not slow:
-                slow.append(Tokenizer.from_file(json_file))
-            return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+            except ValueError:
+                if not slow:
+                    slow.append(Tokenizer.from_file(json_file))
+                return np.asarray(slow[0].encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
         return encode
 
@@ -156,11 +156,11 @@ def _round(items: DataFrame, number: int, parts: int, capacity: int) -> DataFram
 
 
 def packed(made: DataFrame, capacity: int = CAPACITY, key: str = "doc_id") -> DataFrame:
-    """``made`` (see ``pieces``, without ids) with ``sequence_id`` and ``offset``."""
+    """``made`` (see ``pieces``, without ids; a table, not a plan to be run anew) with ``sequence_id`` and ``offset``."""
     member = F.struct(F.col(key).alias("key"), "piece", "start", "length", "ids_crc32")
-    items = made.select(
-        F.col("length").alias("fill"), F.array(member).alias("members"), F.xxhash64(key, "piece", "ids_crc32").alias("deal")
-    )
+    # equal rows are dealt by their places in the table too, so that they don't meet in one task
+    deal = F.xxhash64(key, "piece", "ids_crc32", F.monotonically_increasing_id())
+    items = made.select(F.col("length").alias("fill"), F.array(member).alias("members"), deal.alias("deal"))
     n, number, done = made.count(), 0, []
     while True:
         parts = max(1, -(-n // ITEMS))

@@ -20,9 +20,16 @@ def test_ids_are_those_of_the_library(corpus):
         assert fast(t).tolist() == slow.encode(t, add_special_tokens=False).ids
 
 
-def test_long_texts_take_the_library(monkeypatch):
-    monkeypatch.setattr(pk, "LONG", 10)
-    assert LOAD()("some longer text <|endoftext|>").tolist() == Tokenizer.from_file(JSON).encode("some longer text <|endoftext|>").ids
+def test_texts_that_the_fast_form_refuses():
+    text = " " * 3_000_000 + "x<|endoftext|>"
+    assert LOAD()(text).tolist() == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
+
+
+def test_equal_rows_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(pk, "ITEMS", 100)
+    made = pk.pieces(spark.createDataFrame([(None, "a b c")] * 1000, "doc_id bigint, text string"), LOAD, 2, 64)
+    first = pk.packed(made, 64).groupBy("sequence_id").count().toPandas()
+    assert first["count"].sum() == 1000 and len(first) <= 1000 * made.first().length / 64 * 1.1 + 1
 
 
 @pytest.mark.parametrize("n", [1, 1023, 1024, 1025, 2048, 5000])
