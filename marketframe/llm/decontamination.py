@@ -3,11 +3,13 @@
 Items of the benchmark are sets of five-word shingles. A document leaks an item
 if it holds at least 80 % of the item's shingles. Since documents are far longer
 than items, resemblance says nothing and containment is searched directly: items
-are partitioned by the size of their sets, and each size has a sketch of the
-smallest hashes (bottom-k MinHash) just long enough that a document with enough
-of the item must hold one of them: of n shingles n - ceil(0.8 n) may be missing,
-so the k = n - ceil(0.8 n) + 1 smallest can't all be. No leak is lost. Documents
-that meet a sketch are compared with the item, shingle by shingle.
+are partitioned by the size of their sets, and each partition has its own law.
+An item of n shingles in a partition that asks for t hits has a sketch of its
+n - ceil(0.8 n) + t smallest hashes (bottom-k MinHash); as a document with enough
+of the item lacks at most n - ceil(0.8 n) of them, it holds t at least, so no
+leak is lost. Small items can ask for one hit only; larger ones ask for more, so
+a long document that shares a common phrase with many items is a candidate of
+few. Candidates are compared with the item, shingle by shingle.
 
 All of it is DataFrame operations. The sketches are broadcast while they have at
 most ``BROADCAST_ROWS`` rows; beyond that they are joined by a shuffle.
@@ -70,12 +72,22 @@ def need(size: Column, percent: int = PERCENT) -> Column:
     return F.floor((size * percent + 99) / 100).cast("int")
 
 
+def size_class(n: Column) -> Column:
+    """The partition of an item: sizes from one power of two to the next."""
+    return F.floor(F.log2(n)).cast("int")
+
+
+def hits(of: Column) -> Column:
+    """How many hashes of a sketch a document must hold, by the item's size class."""
+    return F.greatest(F.lit(1), of - 1)
+
+
 def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``h, item, size_class``: the smallest hashes of each item, as many as its size asks for."""
-    one = items.select("item", "n", F.explode(F.array_distinct("hashes")).alias("h"))
+    """``h, item, size_class``: the smallest hashes of each item, as many as its size and its class ask for."""
+    one = items.select("item", "n", size_class(F.col("n")).alias("size_class"), F.explode(F.array_distinct("hashes")).alias("h"))
     rank = F.row_number().over(Window.partitionBy("item").orderBy("h"))
-    least = one.withColumn("rank", rank).where(F.col("rank") <= F.col("n") - need(F.col("n"), percent) + 1)
-    return least.select("h", "item", F.floor(F.log2("n")).cast("int").alias("size_class"))
+    most = F.col("n") - need(F.col("n"), percent) + hits(F.col("size_class"))
+    return one.withColumn("rank", rank).where(F.col("rank") <= most).select("h", "item", "size_class")
 
 
 def leaks(
@@ -100,7 +112,8 @@ def leaks(
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).where("key IS NOT NULL")
     met = rows.select("key", F.explode(_of_lengths(shingle_hashes, F.col("text"), lengths)).alias("h"))
     met = met.join(F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch, "h")
-    candidates = saved(met.select("key", "item").distinct(), "leak-candidates")
+    held = met.select("key", "item", "size_class", "h").distinct().groupBy("key", "item", "size_class").agg(F.count("*").alias("held"))
+    candidates = saved(held.where(F.col("held") >= hits(F.col("size_class"))).select("key", "item"), "leak-candidates")
     compared = (
         # candidates grow with the corpus, so they are never broadcast
         rows.join(candidates.groupBy("key").agg(F.collect_set("item").alias("found")).hint("merge"), "key")

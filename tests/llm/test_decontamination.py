@@ -90,9 +90,25 @@ def test_sketch_length(spark):
     from pyspark.sql import functions as F
 
     items = bench.select(F.col("item_id").alias("item"), dc.shingle_hashes(F.col("text")).alias("hashes")).withColumn("n", F.size("hashes"))
-    assert dc.sketches(items).count() == 50 - 40 + 1
+    assert dc.sketches(items).count() == 50 - 40 + 4  # sizes from 32 to 63 ask for four hits
 
 
 def test_no_python_in_the_plan(spark, docs):
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
     assert not re.search("Python|Pandas|Arrow", dc.leaks(docs, bench)._jdf.queryExecution().toString())
+
+
+def test_size_partitions(spark):
+    """A document that holds just enough of an item has the hits that the item's size class asks for."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    for n in (5, 9, 12, 20, 36, 68, 132):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        shingle_count = n - 4
+        cut = shingle_count - -(-80 * shingle_count // 100)  # so many shingles may go
+        docs = spark.createDataFrame([(1, " ".join(words[cut:])), (2, " ".join(words[: n - cut])), (3, " ".join(words[cut + 1 :]))], "doc_id bigint, text string")
+        got = dc.leaks(docs, spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string"))
+        assert {r.doc_id for r in got.collect()} == {1, 2}, n
+    sizes = spark.createDataFrame([(1,), (7,), (8, ), (16,), (64,)], "n int").select("n", dc.hits(dc.size_class(F.col("n"))).alias("hits"))
+    assert [tuple(r) for r in sizes.orderBy("n").collect()] == [(1, 1), (7, 1), (8, 2), (16, 3), (64, 5)]
