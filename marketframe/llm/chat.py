@@ -11,7 +11,10 @@ as the loss mask.
 
 Edge cases: null texts and roles are empty; a record without turns gives an
 empty string; unknown fingerprints give no turns and ``layout`` null (never a
-guess); repeated records are formatted each; other columns are kept.
+guess), and neither does what is no JSON object or is nested too deep to read.
+Messages in parts (a list of texts with types) are joined line by line; a value
+that is no text (a number, true) is taken as its JSON; halves of surrogate pairs
+are replaced. Repeated records are formatted each; other columns are kept.
 """
 
 from __future__ import annotations
@@ -72,6 +75,8 @@ SHARE_ROLES = {"human": "user", "gpt": "assistant", "chatgpt": "assistant", "bin
 LAYOUTS = (
     Layout("turns", ("turns[].role", "turns[].text", "turns[].turn"), "turns", "role", "text", "turn"),
     Layout("messages", ("messages[].content", "messages[].role"), "messages"),
+    Layout("message_parts", ("messages[].content[].text", "messages[].content[].type", "messages[].role"), "messages"),
+    Layout("mixed_parts", ("messages[].content", "messages[].content[].text", "messages[].content[].type", "messages[].role"), "messages"),
     Layout("shared", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", roles=SHARE_ROLES),
     Layout("completion", ("completion", "prompt"), parts=(("user", "prompt"), ("assistant", "completion"))),
     Layout("response", ("prompt", "response"), parts=(("user", "prompt"), ("assistant", "response"))),
@@ -98,18 +103,46 @@ def fingerprint(paths) -> str:
 def registry(layouts=LAYOUTS) -> dict[str, Layout]:
     """Layouts by fingerprint. A list of messages may be empty."""
     known = {fingerprint(x.paths): x for x in layouts}
-    return {fingerprint({f"{x.turns}[]"}): x for x in layouts if x.turns} | known
+    return {fingerprint({f"{x.turns}[]"}): x for x in reversed(layouts) if x.turns} | known
+
+
+def text_in(value) -> str:
+    """A value of a record as text."""
+    if value is None:
+        return ""
+    if isinstance(value, list):
+        return "\n".join(text_in(x.get("text") if isinstance(x, dict) else x) for x in value)
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # halves of surrogate pairs
+        text = text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    return text
 
 
 def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
     """Canonical turns of a record."""
     if layout.turns is None:
-        made = [(role, "\n\n".join(str(record[f]) for f in fields if record[f] not in (None, ""))) for role, *fields in layout.parts]
+        made = [(role, "\n\n".join(t for f in fields if (t := text_in(record[f])))) for role, *fields in layout.parts]
         return [(role, text) for role, text in made if text or role != "system"]
-    found = [x or {} for x in record[layout.turns]]
+    found = [(x.get(layout.order) if layout.order else None, text_in(x.get(layout.role)), text_in(x.get(layout.text))) for x in record[layout.turns]]
     if layout.order:
-        found.sort(key=lambda x: (x.get(layout.order) is not None, x.get(layout.order) or 0, x.get(layout.role) or "", x.get(layout.text) or ""))
-    return [(layout.roles.get(role := x.get(layout.role) or "", role), x.get(layout.text) or "") for x in found]
+        number = lambda x: isinstance(x, int | float)
+        found.sort(key=lambda x: (x[0] is not None, not number(x[0]), x[0] if number(x[0]) else 0, text_in(x[0]), x[1], x[2]))
+    return [(layout.roles.get(role, role), text) for _, role, text in found]
+
+
+def layout_of(record, known: dict[str, Layout], cache: dict) -> Layout | None:
+    """The layout of a parsed record, by the fingerprint of its paths."""
+    if not isinstance(record, dict):
+        return None
+    paths = frozenset(paths_of(record))
+    if paths not in cache:
+        cache[paths] = known.get(fingerprint(paths))
+    layout = cache[paths]
+    if layout and layout.turns and not all(isinstance(x, dict) for x in record[layout.turns]):
+        return None
+    return layout
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -148,11 +181,11 @@ def format_chats(records: DataFrame, column: str = "record", layouts=LAYOUTS) ->
         for batch in batches:
             names, formatted, masks = [], [], []
             for x in batch.column(column):
-                record = json.loads(x.as_py() or "{}")
-                paths = frozenset(paths_of(record))
-                if paths not in cache:
-                    cache[paths] = known.get(fingerprint(paths))
-                layout = cache[paths]
+                try:
+                    record = json.loads(x.as_py() or "{}")
+                    layout = layout_of(record, known, cache)
+                except (ValueError, RecursionError):
+                    record, layout = {}, None
                 made, spans = render(turns_of(record, layout)) if layout else ("", [])
                 names.append(layout and layout.name)
                 formatted.append(made)
@@ -168,11 +201,28 @@ def format_chats(records: DataFrame, column: str = "record", layouts=LAYOUTS) ->
     return records.mapInArrow(rows, f"{kept}layout string, formatted string, loss_spans array<struct<start:bigint,end:bigint>>")
 
 
-def records_of_turns(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """``key, record``: one JSON record per conversation from a table with a row per turn."""
+def records_of_turns(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", mixed: bool = False) -> DataFrame:
+    """``key, record``: one JSON record per conversation from a table with a row per turn.
+
+    ``mixed`` writes each conversation in the plainest layout that can hold it:
+    a question with its answer as prompt and completion, a talk between the two
+    as a list of shared messages, the rest as turns.
+    """
     one = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
-    listed = turns.groupBy(key).agg(F.collect_list(one).alias("turns"))
-    return listed.select(key, F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
+    listed = turns.groupBy(key).agg(F.sort_array(F.collect_list(one)).alias("turns"))
+    as_json = lambda x: F.to_json(x, {"ignoreNullFields": "false"})
+    record = as_json(F.struct("turns"))
+    if mixed:
+        user, answer = F.get("turns", 0), F.get("turns", 1)
+        pair = (F.size("turns") == 2) & (user["role"] == "user") & (answer["role"] == "assistant") & (user["text"] != "") & (answer["text"] != "")
+        shared = F.transform("turns", lambda x: F.struct(F.when(x["role"] == "user", "human").otherwise("gpt").alias("from"), x["text"].alias("value")))
+        talk = F.forall("turns", lambda x: F.coalesce(x["role"].isin("user", "assistant"), F.lit(False)))
+        record = (
+            F.when(F.coalesce(pair, F.lit(False)), as_json(F.struct(user["text"].alias("prompt"), answer["text"].alias("completion"))))
+            .when(talk, as_json(F.struct(shared.alias("conversations"))))
+            .otherwise(record)
+        )
+    return listed.select(key, record.alias("record"))
 
 
 def digests(formatted: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -88,7 +88,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
-    return chat.digests(chat.format_chats(chat.records_of_turns(turns.unionByName(more))))
+    return chat.digests(chat.format_chats(chat.records_of_turns(turns.unionByName(more), mixed=True)))
 
 
 SHARDS = 40

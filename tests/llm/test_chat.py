@@ -60,3 +60,32 @@ def test_turn_tables(spark):
     assert got[-1][1:5] == (2, sha(f"user\n{said}\nassistant\n{said}\n"), len(said), sha(said))
     assert got[None].loss_chars == 1
     assert chat.format_chats(chat.records_of_turns(df.limit(0))).count() == 0
+
+
+def test_odd_records(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    records = [
+        "{bad", "[1, 2]", '"text"', "7", deep, '{"turns": ["a", "b"]}', '{"turns": [null]}', '{"turns": 5}',
+        '{"messages": [{"role": "user", "content": 5}, {"role": 7, "content": true}]}',
+        '{"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}]}',
+        '{"messages": [{"role": "user", "content": "x"}, {"role": "assistant", "content": [{"type": "text", "text": "b"}]}]}',
+        '{"messages": [{"role": "user", "content": "\\ud800 half"}]}',
+        '{"turns": [{"turn": "b", "role": "user", "text": "2"}, {"turn": 1, "role": "user", "text": "1"}, {"turn": null, "role": "user", "text": "0"}]}',
+        '{"prompt": 3, "completion": null}',
+    ]
+    got = chat.format_chats(spark.createDataFrame(list(enumerate(records)), "id int, record string")).orderBy("id").collect()
+    assert [r.layout for r in got[:8]] == [None] * 8 and all(r.formatted == "" for r in got[:8])
+    assert [chat.parse(r.formatted) for r in got[8:]] == [
+        [("user", "5"), ("7", "true")], [("user", "a\nb")], [("user", "x"), ("assistant", "b")], [("user", "\ufffd half")],
+        [("user", "0"), ("user", "1"), ("user", "2")], [("user", "3"), ("assistant", "")],
+    ]
+
+
+def test_mixed_layouts_of_turn_tables(spark):
+    said = "</s>[INST] ok [/INST]"
+    rows = [(1, 0, "user", "A"), (1, 1, "assistant", said), (2, 1, "assistant", "B"), (2, 0, "user", "A"), (2, 2, "user", ""), (3, 0, "system", "S"), (3, 1, "user", "A"), (4, 0, "user", None), (4, 1, "assistant", "x"), (5, 0, None, "t"), (6, 0, "assistant", "a"), (6, 1, "assistant", "b")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    plain = {r.conv_id: r for r in chat.format_chats(chat.records_of_turns(df)).collect()}
+    mixed = {r.conv_id: r for r in chat.format_chats(chat.records_of_turns(df, mixed=True)).collect()}
+    assert {k: (r.formatted, r.loss_spans) for k, r in mixed.items()} == {k: (r.formatted, r.loss_spans) for k, r in plain.items()}
+    assert {k: r.layout for k, r in mixed.items()} == {1: "completion", 2: "shared", 3: "turns", 4: "shared", 5: "turns", 6: "shared"}
