@@ -79,15 +79,18 @@ def hot_from(total: int) -> int:
     return max(FEW, total // HOT_KEYS)
 
 
-def attached(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+def attached(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``rows`` left joined with ``values`` (one narrow row per key) on ``key``.
 
     ``hot``: the keys with more than ``hot_from`` rows, of which there are at
     most ``HOT_KEYS``. Their values are broadcast, and their rows, like those
     without a key, are spread over the tasks of the shuffle that joins the rest.
+    ``known``: the values of the hot keys, where ``values`` hasn't them.
     """
     names = [c for c in values.columns if c != key]
-    known = values.join(F.broadcast(hot.select(key)), key, "left_semi").select(F.col(key).alias("__hot"), F.struct(*names).alias("__known"))
+    if known is None:
+        known = values.join(F.broadcast(hot.select(key)), key, "left_semi")
+    known = known.select(F.col(key).alias("__hot"), F.struct(*names).alias("__known"))
     found = rows.join(F.broadcast(known), F.col(key) == F.col("__hot"), "left")
     alone = F.col("__hot").isNotNull() | F.col(key).isNull()
     salted = found.withColumn("__salt", F.when(alone, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).otherwise(F.lit(0)))

@@ -1,27 +1,31 @@
 """Removal of long repeats by column-wise construction over many documents.
 
 Every byte that lies in a string of ``LENGTH`` bytes which also starts anywhere
-else is removed. Documents are cut into segments by content: each window of
+else is removed. Equal texts are grouped first and stand as one, which all goes
+if it is long enough. Texts are cut into segments by content: each window of
 ``LENGTH`` bytes has an anchor, its least hashed gram, and consecutive windows
 with the same anchor form a segment. Equal windows have equal anchors at the
 same distance, so windows of segments with different anchors need never be
-compared, and segments are dealt to tasks by their anchor. Equal segments are
-counted; of the others with a shared anchor one each enters the construction.
+compared, and segments are dealt to tasks by their anchor. Equal segments (by a
+128-bit cryptographic digest) are counted; of the others with a shared anchor
+one each enters the construction.
 
 There, segments that share an anchor are lined up at it and read column by
-column from the right: each round inserts one symbol of every segment, which
-updates the order of all suffixes that start in the column (the collection's
-Burrows-Wheeler transform, by column) by a stable sort on the symbol, and the
-common prefixes of neighbours by range minima. A suffix whose common prefix with
-a neighbour reaches ``LENGTH`` starts a repeated window. The columns are written
-to a scratch file once and read in sequence; only the current order and common
-prefixes are in memory. The file is anonymous, local to the task, and gone when
-the task ends; nothing else reads it.
+column from the right: each round inserts one symbol of every segment, read in
+place, and updates the order of all suffixes that start in the column by a
+stable sort on the symbol, and their common prefixes by range minima; the
+symbols before the suffixes, in that order, are the column of the collection's
+(positional) Burrows-Wheeler transform. A suffix whose common prefix with a
+neighbour reaches ``LENGTH`` starts a repeated window. A round reads order and
+common prefixes of the one before in sequence and nothing older; both are held
+by the task, since at most ``GROUPS`` segments and one more anchor's are lined up
+at once.
 
 Copies are pre-aggregated within each task before they are dealt. An anchor that
 very many different segments share (the end of a passage that a third of all
-documents quote) is split by the bytes that blocks of its windows hold, down to
-single windows, which are counted with map-side combining.
+documents quote) is split by the bytes that blocks of its windows hold, so that
+its parts go through the construction in many tasks; where even single windows
+are too many, they hold equal bytes, and are counted with map-side combining.
 
 Edge cases: null texts are empty; texts shorter than ``LENGTH`` bytes keep all;
 equal rows are copies of each other, so both lose what is long enough; rows with
@@ -31,14 +35,14 @@ character, as the text is taken as bytes.
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.llm.common import saved, text_of
+from marketframe.llm.common import attached, hot_from, saved, text_of
 
 LENGTH = 200
 GRAM = 24
@@ -62,25 +66,25 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the grams at every place, and of the 128 bytes at every place."""
+def gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of the grams at every place."""
     h, w = {1: _BYTES[data]}, 1
-    while w < 128:
+    while w < 16:
         h[2 * w] = h[w][:-w] * _STEPS[w.bit_length()] + h[w][w:]
         w *= 2
     n = len(data) - GRAM + 1
-    return _mix(h[16][:n] * _STEPS[10] + h[8][16 : 16 + n]), h[128]
+    return _mix(h[16][:n] * _STEPS[10] + h[8][16 : 16 + n])
 
 
 def segments(data: np.ndarray, ends: np.ndarray, last: int | None = None) -> tuple[np.ndarray, ...]:
-    """(start, windows, anchor hash, content hash) of the segments of concatenated texts.
+    """(start, windows, anchor hash) of the segments of concatenated texts.
 
     ``ends``: where each text ends. Only windows that start before ``last`` count.
     """
-    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
+    none = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64))
     if len(data) < LENGTH:
         return none
-    grams, long = gram_hashes(data)
+    grams = gram_hashes(data)
     # the least gram of each window, the leftmost of equal ones: the high bits of the hash, then the place
     least, w, span = (grams & ~_POSITION) | np.arange(len(grams), dtype=np.uint64), 1, LENGTH - GRAM + 1
     while w < 128:
@@ -96,13 +100,11 @@ def segments(data: np.ndarray, ends: np.ndarray, last: int | None = None) -> tup
         return none
     cuts = np.flatnonzero((np.diff(p) != 1) | (np.diff(anchor[p]) != 0)) + 1
     start, windows = p[np.concatenate(([0], cuts))], np.diff(np.concatenate(([0], cuts, [len(p)])))
-    end = start + windows + LENGTH - 1
-    content = long[start] * _STEPS[0] + long[np.minimum(start + 128, end - 128)] * _STEPS[3] + long[end - 128] * _STEPS[11]
-    return start, windows, grams[anchor[start]], _mix(content + windows.astype(np.uint64))
+    return start, windows, grams[anchor[start]]
 
 
 def text_segments(raw: list[bytes]) -> tuple[np.ndarray, ...]:
-    """(text number, start, windows, anchor hash, content hash) of the segments of texts."""
+    """(text number, start, windows, anchor hash) of the segments of texts."""
     out, i = [], 0
     while i < len(raw):
         j, size = i, 0
@@ -115,68 +117,72 @@ def text_segments(raw: list[bytes]) -> tuple[np.ndarray, ...]:
             # a long text in parts; windows belong to the part that they start in
             for at in range(0, size, CHUNK):
                 part = np.frombuffer(raw[i], np.uint8, min(size - at, CHUNK + LENGTH - 1), at)
-                s, w, m, c = segments(part, np.array([len(part)]), CHUNK)
-                out.append((np.full(len(s), i), s + at, w, m, c))
+                s, w, m = segments(part, np.array([len(part)]), CHUNK)
+                out.append((np.full(len(s), i), s + at, w, m))
         else:
-            s, w, m, c = segments(np.frombuffer(b"".join(raw[i:j]), np.uint8), ends)
+            s, w, m = segments(np.frombuffer(b"".join(raw[i:j]), np.uint8), ends)
             of = np.searchsorted(ends, s, side="right")
-            out.append((of + i, s - begins[of], w, m, c))
+            out.append((of + i, s - begins[of], w, m))
         i = j
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), *segments(np.zeros(0, np.uint8), np.zeros(0)))
 
 
-def repeated_windows(group: np.ndarray, texts: list[bytes], shift: np.ndarray) -> list[np.ndarray]:
-    """For each segment the windows that are found in another segment of its group.
+def rounds(group: np.ndarray, texts: list[bytes], shift: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(column, order, common) of every round of the construction, the last column first.
 
     ``group``: a number for each anchor; ``shift``: how far the anchor is from
-    the segment's start. Column x holds each segment's byte at x - its anchor.
+    the segment's start. Column x of a segment is its byte at x from the anchor.
+    ``order``: the segments by group and by what they hold from the column on,
+    those without a byte there first; ``common``: how many bytes each shares with
+    the one before it in the order.
     """
     n = len(texts)
     length = np.array([len(t) for t in texts])
-    left, right = int(shift.max()), int((length - shift).max())
-    flagged: list[list[np.ndarray]] = [[], []]
-    with tempfile.TemporaryFile() as file:
-        # columns of symbols, 0 where a segment has no byte; written in blocks of rows, read column by column
-        width = left + right
-        columns = np.zeros((width, n), dtype=np.uint16)
-        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
-        row = np.repeat(np.arange(n), length)
-        place = np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length) + (left - shift)[row]
-        columns[place, row] = flat
-        columns.tofile(file)
-        del columns, flat, row, place
-        order = np.argsort(group, kind="stable")
-        common = np.zeros(n, dtype=np.int32)  # with the one before in the order
-        key_of = np.cumsum(np.concatenate(([0], np.diff(group[order]) != 0)))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = key_of
-        for x in range(width - 1, -1, -1):
-            file.seek(2 * n * x)
-            symbol = np.fromfile(file, dtype=np.uint16, count=n)
-            now = symbol[order]
-            key = rank[order] * 512 + now
-            by = np.argsort(key, kind="stable")
-            same = np.zeros(n, dtype=bool)
-            same[1:] = (key[by][1:] == key[by][:-1]) & (now[by][1:] > 0)
-            new = np.zeros(n, dtype=np.int32)
-            at = np.flatnonzero(same)
-            if len(at):
-                # the least common prefix from after the one neighbour to the other, in the old order
-                bounds = np.empty(2 * len(at), dtype=np.int64)
-                bounds[0::2], bounds[1::2] = by[at - 1] + 1, by[at] + 1
-                # the last bound may lie behind the end
-                new[at] = np.minimum.reduceat(np.append(common, 0), bounds)[0::2] + 1
-            order, common = order[by], new
-            hit = common >= LENGTH
-            if hit.any():
-                both = hit.copy()
-                both[:-1] |= hit[1:]
-                who = order[both]
-                flagged[0].append(who)
-                flagged[1].append(x - left + shift[who])
-    found: list[np.ndarray] = [np.zeros(0, np.int64)] * n
-    if flagged[0]:
-        who, where = np.concatenate(flagged[0]), np.concatenate(flagged[1])
+    data = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    begin = np.cumsum(length) - length + shift  # where the anchor is
+    order = np.argsort(group, kind="stable")
+    common = np.zeros(n, dtype=np.int32)
+    key_of = np.cumsum(np.concatenate(([0], np.diff(group[order]) != 0)))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = key_of * 512
+    for x in range(int((length - shift).max()) - 1, -int(shift.max()) - 1, -1):
+        # the symbol that each segment inserts: 0 where it has no byte
+        has = (x >= -shift[order]) & (x < (length - shift)[order])
+        now = np.where(has, data[np.where(has, begin[order] + x, -1)].astype(np.int64) + 1, 0)
+        key = rank[order] + now
+        by = np.argsort(key, kind="stable")
+        same = np.zeros(n, dtype=bool)
+        same[1:] = (key[by][1:] == key[by][:-1]) & (now[by][1:] > 0)
+        new = np.zeros(n, dtype=np.int32)
+        at = np.flatnonzero(same)
+        if len(at):
+            # the least common prefix from after the one neighbour to the other, in the order of the round before
+            bounds = np.empty(2 * len(at), dtype=np.int64)
+            bounds[0::2], bounds[1::2] = by[at - 1] + 1, by[at] + 1
+            # the last bound may lie behind the end
+            new[at] = np.minimum.reduceat(np.append(common, 0), bounds)[0::2] + 1
+        order, common = order[by], new
+        yield x, order, common
+
+
+def transform(texts: list[bytes], shift: np.ndarray, x: int, order: np.ndarray) -> list[int]:
+    """The column of the Burrows-Wheeler transform that goes with the order of column ``x``: the byte before each suffix, -1 where there is none."""
+    at = [int(shift[i]) + x - 1 for i in order]
+    return [texts[i][p] if 0 <= p < len(texts[i]) else -1 for i, p in zip(order.tolist(), at, strict=True)]
+
+
+def repeated_windows(group: np.ndarray, texts: list[bytes], shift: np.ndarray) -> list[np.ndarray]:
+    """For each segment the windows that are found in another segment of its group (see ``rounds``)."""
+    who_of, where_of = [], []
+    for x, order, common in rounds(group, texts, shift):
+        hit = common >= LENGTH
+        if hit.any():
+            hit[:-1] |= hit[1:]
+            who_of.append(order[hit])
+            where_of.append(x + shift[order[hit]])
+    found: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
+    if who_of:
+        who, where = np.concatenate(who_of), np.concatenate(where_of)
         o = np.lexsort((where, who))
         who, where = who[o], where[o]
         cuts = np.flatnonzero(np.diff(who)) + 1
@@ -187,7 +193,7 @@ def repeated_windows(group: np.ndarray, texts: list[bytes], shift: np.ndarray) -
 
 def anchor_shift(text: bytes) -> int:
     """Where in a segment its anchor is: the leftmost least gram among those that all its windows hold."""
-    grams, _ = gram_hashes(np.frombuffer(text, np.uint8))
+    grams = gram_hashes(np.frombuffer(text, np.uint8))
     windows = len(text) - LENGTH + 1
     held = grams[windows - 1 : LENGTH - GRAM + 1] & ~_POSITION
     return windows - 1 + int(np.argmin(held))
@@ -199,9 +205,8 @@ def _runs(windows: np.ndarray) -> list[tuple[int, int]]:
     return [(int(r[0]), int(r[-1])) for r in np.split(windows, cuts)] if len(windows) else []
 
 
-def _packed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``k, v, z``: the key, a hash of the text (keys may repeat), and the text as compressed bytes for the shuffle."""
-    kind = docs.schema[key].dataType.simpleString()
+def grouped_texts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``v, z, n``: a digest of each different text, its bytes, compressed for the shuffles, and how many rows have it."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -209,57 +214,78 @@ def _packed_texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         to = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            z = [to.compress(t.as_py().encode()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("v"), pa.array(z, pa.binary())], ["k", "v", "z"])
+            raw = [t.as_py().encode() for t in batch.column("text")]
+            v = [hashlib.blake2b(r, digest_size=16).digest() for r in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()), pa.array([to.compress(r) for r in raw], pa.binary())], ["v", "z"])
+
+    packed = docs.select(text_of(text).alias("text")).mapInArrow(rows, "v binary, z binary")
+    return packed.groupBy("v").agg(F.first("z").alias("z"), F.count("*").alias("n"))
+
+
+def digests(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``k, v``: the key of each row and the digest of its text."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            v = [hashlib.blake2b(t.as_py().encode(), digest_size=16).digest() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(v, pa.binary())], ["k", "v"])
 
-    return _keyed(docs, key, text).mapInArrow(rows, f"k {kind}, v int, z binary")
+    return docs.select(F.col(key).alias("k"), text_of(text).alias("text")).mapInArrow(rows, f"k {kind}, v binary")
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    content = text_of(text)
-    return docs.select(F.col(key).alias("k"), F.hash(content).alias("v"), content.alias("text"))
+CONTENT = ("m", "c", "d")
 
 
-def shared_segments(docs: DataFrame, key: str, text: str) -> DataFrame:
+def shared_segments(texts: DataFrame) -> DataFrame:
     """Segments whose anchor occurs twice or more.
 
-    ``k, v, start, windows``: where; ``twice``: the whole segment occurs again;
+    ``v, start, windows``: where; ``twice``: the whole segment occurs again;
     ``anchor``: not null if it is to be compared with others of that anchor.
     """
-    kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
 
+        unpack = zstandard.ZstdDecompressor()
         met: set[tuple[int, int]] = set()
         for batch in batches:
-            of, start, windows, m, c = text_segments([t.as_py().encode() for t in batch.column("text")])
+            raw = [unpack.decompress(z.as_py()) for z in batch.column("z")]
+            of, start, windows, m = text_segments(raw)
             if not len(of):
                 continue
+            parts = zip(of.tolist(), start.tolist(), (start + windows + LENGTH - 1).tolist(), strict=True)
+            content = b"".join([hashlib.blake2b(raw[i][s:e], digest_size=16).digest() for i, s, e in parts])
+            c, d = np.frombuffer(content, np.uint64).reshape(-1, 2).T
             # all but the first of equal segments in a task are known to occur twice, and so is that first one; they
             # are dealt at random, so that the copies of a frequent text don't meet in one task
-            pair = np.stack((m, c), axis=1)
-            order = np.lexsort((c, m))
-            equal = (pair[order][1:] == pair[order][:-1]).all(axis=1)
+            order = np.lexsort((d, c))
+            equal = (c[order][1:] == c[order][:-1]) & (d[order][1:] == d[order][:-1])
             again, first = np.zeros(len(of), bool), np.zeros(len(of), bool)
             again[order[1:][equal]] = True
             first[order[:-1][equal]] = True
+            first |= batch.column("n").to_numpy()[of] > 1
             sure = again.copy()
             for i in np.flatnonzero(first & ~again):
-                mark = (int(m[i]), int(c[i]))
+                mark = (int(c[i]), int(d[i]))
                 if mark in met:
                     sure[i] = True  # a twin of it went out as known to occur twice
                 elif len(met) < 500_000:
                     met.add(mark)
             deal = np.where(sure, _mix(m + c + start.astype(np.uint64) * _STEPS[5] + of.astype(np.uint64)), m)
-            arrays = [batch.column("k").take(pa.array(of)), batch.column("v").take(pa.array(of)), pa.array(start), pa.array(windows)]
-            arrays += [pa.array(x.view(np.int64)) for x in (deal, m, c)] + [pa.array(np.where(sure, 2, np.where(first, 1, 0)).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "v", "start", "windows", "deal", "m", "c", "known"])
-
-    schema = f"k {kind}, v int, start bigint, windows bigint"
-    rows = _keyed(docs, key, text).mapInArrow(cut, f"{schema}, deal bigint, m bigint, c bigint, known int")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "deal").sortWithinPartitions("deal", "m", "c")
+            arrays = [batch.column("v").take(pa.array(of)), pa.array(start), pa.array(windows)]
+            arrays += [pa.array(x.view(np.int64)) for x in (deal, m, np.ascontiguousarray(c), np.ascontiguousarray(d))] + [pa.array(np.where(sure, 2, np.where(first, 1, 0)).astype(np.int32))]
+            out = pa.RecordBatch.from_arrays(arrays, ["v", "start", "windows", "deal", *CONTENT, "known"])
+            for i in range(0, out.num_rows, 10_000):
+                yield out.slice(i, 10_000)
+
+    schema = "v binary, start bigint, windows bigint"
+    rows = texts.mapInArrow(cut, f"{schema}, deal bigint, m bigint, c bigint, d bigint, known int")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "deal").sortWithinPartitions("deal", *CONTENT)
     return dealt.mapInArrow(_classified, f"{schema}, twice boolean, anchor bigint")
 
 
@@ -284,7 +310,7 @@ def _whole_groups(batches: Iterator, by: str, least: int = 1) -> Iterator:
 
 
 def _classified(batches: Iterator) -> Iterator:
-    """The rows whose anchor occurs twice, marked (see ``shared_segments``); rows come sorted by deal, m and c.
+    """The rows whose anchor occurs twice, marked (see ``shared_segments``); rows come sorted by deal, anchor and content.
 
     An anchor with very many rows is passed on in parts: what is known of it
     so far (that it has several contents, that a content occurred before) goes
@@ -303,8 +329,8 @@ def _classified(batches: Iterator) -> Iterator:
             yield from _marked(held.slice(0, cut), many)
             held, many = held.slice(cut), False
         if held.num_rows > HELD:
-            c = held.column("c").to_numpy()
-            last = int(np.flatnonzero(c != c[-1])[-1]) + 1 if (c != c[-1]).any() else 0
+            other = np.logical_or.reduce([(x := held.column(name).to_numpy()) != x[-1] for name in CONTENT])
+            last = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
             if last:
                 many = True
                 yield from _marked(held.slice(0, last), many)
@@ -323,11 +349,11 @@ def _marked(batch, many: bool) -> Iterator:
     """Rows of whole groups; ``many``: the first group is known to have several contents."""
     import pyarrow as pa
 
-    deal, m, c = (batch.column(x).to_numpy().view(np.uint64) for x in ("deal", "m", "c"))
+    deal, m, c, d = (batch.column(x).to_numpy().view(np.uint64) for x in ("deal", *CONTENT))
     known = batch.column("known").to_numpy()
     sure = known == 2
     new_group = np.concatenate(([True], deal[1:] != deal[:-1]))
-    new_content = new_group | np.concatenate(([True], (c[1:] != c[:-1]) | (m[1:] != m[:-1])))
+    new_content = new_group | np.concatenate(([True], (c[1:] != c[:-1]) | (d[1:] != d[:-1]) | (m[1:] != m[:-1])))
     g, t = np.cumsum(new_group) - 1, np.cumsum(new_content) - 1
     size, contents = np.bincount(g), np.bincount(g, weights=new_content)
     if many:
@@ -338,15 +364,19 @@ def _marked(batch, many: bool) -> Iterator:
     keep = np.flatnonzero(shared)
     at = pa.array(keep)
     anchor = pa.array(m.view(np.int64)[keep], mask=~enter[keep])
-    columns = [batch.column(x).take(at) for x in ("k", "v", "start", "windows")]
-    out = pa.RecordBatch.from_arrays([*columns, pa.array(twice[keep]), anchor], ["k", "v", "start", "windows", "twice", "anchor"])
+    columns = [batch.column(x).take(at) for x in ("v", "start", "windows")]
+    out = pa.RecordBatch.from_arrays([*columns, pa.array(twice[keep]), anchor], ["v", "start", "windows", "twice", "anchor"])
     for i in range(0, out.num_rows, 10_000):
         yield out.slice(i, 10_000)
 
 
-def _fetched(places: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
-    """``places`` (k, v, start, windows, twice, anchor) with the bytes of the segments."""
-    listed = places.groupBy("k", "v").agg(F.collect_list(F.struct("start", "windows", "twice", "anchor")).alias("parts"))
+SEGMENT = "v binary, start bigint, twice boolean, anchor bigint, segment binary"
+SEGMENT_COLUMNS = ("v", "start", "twice", "anchor", "segment")
+
+
+def _fetched(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """``places`` (v, start, windows, twice, anchor) with the bytes of the segments."""
+    listed = places.groupBy("v").agg(F.collect_list(F.struct("start", "windows", "twice", "anchor")).alias("parts"))
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -366,17 +396,16 @@ def _fetched(places: DataFrame, texts: DataFrame, kind: str) -> DataFrame:
                     texts_of = {i: of.decompress(z[i].as_py())}
                 made.append(texts_of[i][s : s + w + LENGTH - 1])
             at = pa.array(row)
-            arrays = [batch.column("k").take(at), batch.column("v").take(at), flat.field("start"), flat.field("twice"), flat.field("anchor"), pa.array(made, pa.binary())]
-            out = pa.RecordBatch.from_arrays(arrays, ["k", "v", "start", "twice", "anchor", "segment"])
+            arrays = [batch.column("v").take(at), flat.field("start"), flat.field("twice"), flat.field("anchor"), pa.array(made, pa.binary())]
+            out = pa.RecordBatch.from_arrays(arrays, SEGMENT_COLUMNS)
             for i in range(0, out.num_rows, 10_000):
                 yield out.slice(i, 10_000)
 
-    joined = listed.join(texts, listed.k.eqNullSafe(texts.k) & (listed.v == texts.v))
-    return joined.select(listed.k, listed.v, "z", "parts").mapInArrow(rows, f"k {kind}, v int, start bigint, twice boolean, anchor bigint, segment binary")
+    return listed.join(texts, "v").select("v", "z", "parts").mapInArrow(rows, SEGMENT)
 
 
-def _compared(fetched: DataFrame, kind: str) -> DataFrame:
-    """``k, v, first, last``: byte spans of repeated windows of segments that don't occur twice as a whole."""
+def _compared(fetched: DataFrame) -> DataFrame:
+    """``v, first, last``: byte spans of repeated windows of segments that don't occur twice as a whole."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -394,15 +423,14 @@ def _compared(fetched: DataFrame, kind: str) -> DataFrame:
                         first.append(start[i] + a)
                         last.append(start[i] + b + LENGTH)
             at = pa.array(of, pa.int64())
-            arrays = [batch.column(x).take(at) for x in ("k", "v")] + [pa.array(first, pa.int64()), pa.array(last, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["k", "v", "first", "last"])
+            yield pa.RecordBatch.from_arrays([batch.column("v").take(at), pa.array(first, pa.int64()), pa.array(last, pa.int64())], ["v", "first", "last"])
 
     parts = int(fetched.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = fetched.repartition(parts, "anchor").sortWithinPartitions("anchor")
-    return dealt.mapInArrow(rows, f"k {kind}, v int, first bigint, last bigint")
+    return dealt.mapInArrow(rows, "v binary, first bigint, last bigint")
 
 
-def _split(segments: DataFrame, width: int, kind: str) -> DataFrame:
+def _split(segments: DataFrame, width: int) -> DataFrame:
     """Segments cut into blocks of ``width`` windows, with an anchor of their own for each block and content.
 
     Windows are told apart by how far their anchor is from their start, and a
@@ -412,8 +440,6 @@ def _split(segments: DataFrame, width: int, kind: str) -> DataFrame:
     """
 
     def rows(batches: Iterator) -> Iterator:
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
@@ -432,12 +458,12 @@ def _split(segments: DataFrame, width: int, kind: str) -> DataFrame:
                     anchors.append(int.from_bytes(digest, "little", signed=True))
                     parts.append(text[first : last + LENGTH])
             take = pa.array(of, pa.int64())
-            arrays = [batch.column("k").take(take), batch.column("v").take(take), pa.array(start, pa.int64()), batch.column("twice").take(take), pa.array(anchors, pa.int64()), pa.array(parts, pa.binary())]
-            out = pa.RecordBatch.from_arrays(arrays, ["k", "v", "start", "twice", "anchor", "segment"])
+            arrays = [batch.column("v").take(take), pa.array(start, pa.int64()), batch.column("twice").take(take), pa.array(anchors, pa.int64()), pa.array(parts, pa.binary())]
+            out = pa.RecordBatch.from_arrays(arrays, SEGMENT_COLUMNS)
             for i in range(0, out.num_rows, 10_000):
                 yield out.slice(i, 10_000)
 
-    return segments.mapInArrow(rows, f"k {kind}, v int, start bigint, twice boolean, anchor bigint, segment binary")
+    return segments.mapInArrow(rows, SEGMENT)
 
 
 def _parted(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -448,42 +474,14 @@ def _parted(segments: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _equal_windows(windows: DataFrame) -> DataFrame:
-    """Spans of single windows, split so far that an anchor is the content, that occur twice: counted with map-side combining."""
-    key = [F.col("anchor"), F.xxhash64("segment").alias("x")]
-    keyed = windows.select("k", "v", "start", "twice", *key)
-    again = saved(keyed.groupBy("anchor", "x").count().where("count > 1").drop("count"), "equal-windows")
-    found = keyed.where("NOT twice").join(again, ["anchor", "x"], "left_semi")
-    return found.select("k", "v", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("last"))
-
+    """Spans of single windows, split so far that an anchor stands for one content, that occur twice: counted by their bytes with map-side combining."""
+    again = saved(windows.groupBy("anchor", "segment").count().where("count > 1").drop("count"), "equal-windows")
+    found = windows.where("NOT twice").join(again, ["anchor", "segment"], "left_semi")
+    return found.select("v", F.col("start").alias("first"), (F.col("start") + LENGTH).alias("last"))
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_bytes, n_removed, n_spans, kept, spans`` for every row of ``docs``.
 
-    ``kept``: the bytes that stay; ``spans``: the maximal removed runs.
-    """
-    kind = docs.schema[key].dataType.simpleString()
-    shared = saved(shared_segments(docs, key, text), "segments")
-    texts = _packed_texts(docs, key, text)
-    # rows with equal key and text are one document here: any of them gives the bytes
-    places = shared.where("anchor IS NOT NULL")
-    hot = saved(places.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
-    fetched = _fetched(places, texts, kind)
-    if hot.isEmpty():
-        compared = _compared(fetched, kind)
-    else:
-        # an anchor that very many different segments share is split by content, twice if need be, then window by window
-        fetched = saved(fetched, "fetched")
-        few, many = [fetched.join(hot, "anchor", "left_anti")], fetched.join(hot.select("anchor"), "anchor", "left_semi")
-        for width in (32, 4):
-            some, many = _parted(saved(_split(many.select("k", "v", "start", "twice", "anchor", "segment"), width, kind), f"split-{width}"))
-            few.append(some)
-        single = saved(_split(many.select("k", "v", "start", "twice", "anchor", "segment"), 1, kind), "split-1")
-        rows_of = few[0].select("k", "v", "start", "twice", "anchor", "segment")
-        for x in few[1:]:
-            rows_of = rows_of.unionByName(x.select("k", "v", "start", "twice", "anchor", "segment"))
-        compared = _compared(rows_of, kind).unionByName(_equal_windows(single))
-    whole = shared.where("twice").select("k", "v", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("last"))
-    marks = whole.unionByName(compared).groupBy("k", "v").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+def _removed(texts: DataFrame) -> DataFrame:
+    """``v, n_bytes, kept, spans`` of texts ``v, z, n, marks``; a text that several rows have goes as a whole if it is long enough."""
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -493,10 +491,13 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         spans_type = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
         for batch in batches:
             size, kept, spans = [], [], []
-            for z, m in zip(batch.column("z"), batch.column("marks").to_pylist(), strict=True):
+            for z, n, m in zip(batch.column("z"), batch.column("n").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 data = of.decompress(z.as_py())
+                found = sorted((x["first"], x["last"]) for x in m or ())
+                if n > 1:
+                    found = [(0, len(data))] if len(data) >= LENGTH else []
                 joined: list[list[int]] = []
-                for a, b in sorted((x["first"], x["last"]) for x in m or ()):
+                for a, b in found:
                     if joined and a <= joined[-1][1]:
                         joined[-1][1] = max(joined[-1][1], b)
                     else:
@@ -508,9 +509,46 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
                 size.append(len(data))
                 kept.append(b"".join([*parts, data[at:]]))
                 spans.append([{"first": a, "last": b} for a, b in joined])
-            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], ["k", "n_bytes", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column("v"), pa.array(size, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], ["v", "n_bytes", "kept", "spans"])
+
+    return texts.select("v", "z", "n", "marks").mapInArrow(rows, f"v binary, n_bytes bigint, kept binary, spans {SPANS}")
+
 
-    joined = texts.join(marks, texts.k.eqNullSafe(marks.k) & (texts.v == marks.v), "left")
-    out = joined.select(texts.k, "z", "marks").mapInArrow(rows, f"k {kind}, n_bytes bigint, kept binary, spans array<struct<first:bigint,last:bigint>>")
+SPANS = "array<struct<first:bigint,last:bigint>>"
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, n_bytes, n_removed, n_spans, kept, spans`` for every row of ``docs``.
+
+    ``kept``: the bytes that stay; ``spans``: the maximal removed runs.
+    """
+    texts = saved(grouped_texts(docs, text), "texts")
+    shared = saved(shared_segments(texts), "segments")
+    places = shared.where("anchor IS NOT NULL")
+    hot = saved(places.groupBy("anchor").count().where(F.col("count") > HOT).select("anchor", F.lit(True).alias("hot")), "hot-anchors")
+    fetched = _fetched(places, texts)
+    if hot.isEmpty():
+        compared = _compared(fetched)
+    else:
+        # an anchor that very many different segments share is split by content, twice if need be, then window by window
+        fetched = saved(fetched, "fetched")
+        few, many = [fetched.join(hot, "anchor", "left_anti")], fetched.join(hot.select("anchor"), "anchor", "left_semi")
+        for width in (32, 4):
+            some, many = _parted(saved(_split(many.select(*SEGMENT_COLUMNS), width), f"split-{width}"))
+            few.append(some)
+        single = saved(_split(many.select(*SEGMENT_COLUMNS), 1), "split-1")
+        rows_of = few[0].select(*SEGMENT_COLUMNS)
+        for x in few[1:]:
+            rows_of = rows_of.unionByName(x.select(*SEGMENT_COLUMNS))
+        compared = _compared(rows_of).unionByName(_equal_windows(single))
+    whole = shared.where("twice").select("v", F.col("start").alias("first"), (F.col("start") + F.col("windows") + LENGTH - 1).alias("last"))
+    marks = whole.unionByName(compared).groupBy("v").agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+
+    # the texts of very many rows keep fewer than LENGTH bytes, so their results are narrow
+    often = hot_from(docs.count())
+    common = texts.where(F.col("n") > often)
+    known = _removed(common.withColumn("marks", F.lit(None).cast(SPANS)))
+    rest = _removed(texts.where(F.col("n") <= often).join(marks, "v", "left"))
+    out = attached(digests(docs, key, text), rest, "v", common, known)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["last"] - x["first"])
     return out.select(F.col("k").alias(key), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), "kept", "spans")

@@ -1,5 +1,7 @@
 import collections
+import os.path
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -65,7 +67,7 @@ def test_long_text_in_parts(spark, monkeypatch):
     rng = random.Random(5)
     a = "".join(rng.choice("abcdef") for _ in range(5000))
     raw = [a.encode(), (a[1000:1900] + "Z" + a[300:700]).encode(), b""]
-    of, start, windows, m, c = rp.text_segments(raw)
+    of, start, windows, m = rp.text_segments(raw)
     covered = sorted((int(i), int(s) + k) for i, s, w in zip(of, start, windows, strict=True) for k in range(w))
     assert covered == [(i, p) for i, b in enumerate(raw) for p in range(len(b) - rp.LENGTH + 1)]
 
@@ -74,7 +76,7 @@ def test_equal_windows_share_their_anchor():
     rng = random.Random(6)
     a = bytes(rng.choice(b"ab") for _ in range(600))
     raw = [a, b"x" * 37 + a[100:500] + b"yy"]
-    of, start, windows, m, c = rp.text_segments(raw)
+    of, start, windows, m = rp.text_segments(raw)
     anchor = {(int(i), int(s) + k): int(h) for i, s, w, h in zip(of, start, windows, m, strict=True) for k in range(w)}
     for p in range(100, 301):
         assert anchor[0, p] == anchor[1, p - 100 + 37]
@@ -110,3 +112,34 @@ def test_empty(empty):
 
 def test_string_keys(docs):
     assert rp.repeats(docs.withColumn("doc_id", F.col("doc_id").cast("string"))).where("n_removed > 0").count() > 5
+
+
+def test_rounds_keep_the_transform_and_common_prefixes():
+    """Every round's order, transform and common prefixes against sorting the suffixes."""
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 14))) for _ in range(40)]
+    shift = np.array([rng.randrange(len(t)) for t in texts])
+    group = np.array([rng.randrange(4) for _ in texts])
+    suffix = lambda i, x: texts[i][shift[i] + x :] if 0 <= shift[i] + x else b""
+    seen = []
+    for x, order, common in rp.rounds(group, texts, shift):
+        seen.append(x)
+        rest = [(int(group[i]), suffix(i, x)) for i in order]
+        assert sorted(rest) == rest
+        for a, b, n in zip(rest, rest[1:], common[1:]):
+            assert n == (len(os.path.commonprefix([a[1], b[1]])) if a[0] == b[0] else 0)
+        before = [texts[i][shift[i] + x - 1] if 0 < shift[i] + x <= len(texts[i]) else -1 for i in order]
+        assert rp.transform(texts, shift, x, order) == before
+    assert seen == list(range(max(len(t) - s for t, s in zip(texts, shift)) - 1, -max(shift) - 1, -1))
+
+
+def test_many_equal_rows_take_no_longer(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    text, part = word(3000), word(250)
+    rows = [(1, text)] * 3000 + [(None, text)] * 3000 + [(2, word(50) + part), (3, part + word(60)), (4, text[500:900] + word(10))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    began = time.time()
+    got = rp.repeats(df).groupBy("doc_id", "n_removed", "n_spans").count().collect()
+    assert {(r.doc_id, r.n_removed, r.n_spans, r["count"]) for r in got} == {(1, 3000, 1, 3000), (None, 3000, 1, 3000), (2, 250, 1, 1), (3, 250, 1, 1), (4, 400, 1, 1)}
+    assert time.time() - began < 60
