@@ -50,6 +50,28 @@ def with_norm_cdf(df: DataFrame, of: dict[str, str]) -> DataFrame:
     return df.drop(*temporary)
 
 
+def norm_cdf_array(x):
+    """The same approximation on a numpy array."""
+    import numpy as np
+
+    def ratio(v, top, bottom):
+        num, den = top[-1] * v, v
+        for p, q in zip(top[:-2], bottom[:-1], strict=True):
+            num, den = (num + p) * v, (den + q) * v
+        return (num + top[-2]) / (den + bottom[-1])
+
+    a = np.abs(x) / math.sqrt(2)
+    q = np.minimum(a * a, 700.0)
+    out = np.empty_like(a)
+    near, far = a <= 0.46875, a > 4
+    middle = ~near & ~far
+    out[near] = 1 - a[near] * ratio(q[near], ERF_P, ERF_Q)
+    out[middle] = np.exp(-q[middle]) * ratio(a[middle], ERFC_P, ERFC_Q)
+    r = 1 / q[far]
+    out[far] = np.exp(-q[far]) / a[far] * (1 / math.sqrt(math.pi) - r * ratio(r, FAR_P, FAR_Q))
+    return np.where(x > 0, 1 - 0.5 * out, 0.5 * out)
+
+
 def norm_pdf(x: Column) -> Column:
     return F.exp(-x * x / 2) / math.sqrt(2 * math.pi)
 

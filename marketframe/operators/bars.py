@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,15 +68,52 @@ def daily_bars(df: DataFrame, groups: Sequence[str], ts: str, zone: str = "Ameri
 def described(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.2, 0.4, 0.6, 0.8), exact: bool = True) -> DataFrame:
     """A row per column: count, nulls, mean, deviation, least, percentiles (values of the column) and greatest.
 
-    ``exact=False`` takes percentiles from a sketch, for tables of any size.
+    Exact percentiles are found by rank: values are counted in ranges, which a
+    sketch cuts, and the one that holds a percentile is cut again until it has at
+    most ``RANGE_ROWS`` rows or one value, so no task orders more than that.
+    ``exact=False`` takes the sketch's own values.
     """
-    if not exact:
-        rank = lambda c, p: F.percentile_approx(c, p)
-    else:
-        rank = lambda c, p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY `{c}`)")
     stats = {"count": F.count, "null_count": lambda c: F.count_if(F.isnull(c)), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
-    struct = lambda c: F.struct(F.lit(c).alias("column"), *[f(c).cast("bigint" if "count" in n else "double").alias(n) for n, f in stats.items()], *[rank(c, p).cast("double").alias(f"p{round(100 * p)}") for p in percentiles])
-    return df.agg(F.array(*map(struct, cols)).alias("all")).select(F.inline("all"))
+    cast = lambda c, n, f: f(c).cast("bigint" if "count" in n else "double").alias(n)
+    sketch = lambda c: F.percentile_approx(c, list(percentiles)).cast("array<double>").alias("ranks")
+    struct = lambda c: F.struct(F.lit(c).alias("column"), *[cast(c, n, f) for n, f in stats.items()], sketch(c))
+    found = df.agg(F.array(*map(struct, cols)).alias("all")).select(F.inline("all"))
+    if exact:
+        known = found.collect()  # a row per column
+        found = df.sparkSession.createDataFrame([(*row[:-1], _exact_percentiles(df, row, percentiles)) for row in known], found.schema)
+    return found.select("column", *stats, *[F.col("ranks")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(percentiles)])
+
+
+#: Rows that are ordered at once when a percentile is found by rank.
+RANGE_ROWS = 100_000
+
+
+def _exact_percentiles(df: DataFrame, row, percentiles: Sequence[float]) -> list[float] | None:
+    """The values at ceil(p * count) in order, for one column (see ``described``)."""
+    if not row["count"]:
+        return None
+    values = df.select(F.col(row["column"]).cast("double").alias("x")).where("x IS NOT NULL")
+    return [_ranked(values, max(1, math.ceil(round(p * row["count"], 9)))) for p in percentiles]
+
+
+def _ranked(values: DataFrame, rank: int) -> float:
+    """The value of that rank: the range that holds it is narrowed by the cuts of a sketch until it is small."""
+    inside = values
+    while True:
+        ends = inside.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.percentile_approx("x", [i / 64 for i in range(1, 64)], 10_000).alias("cuts")).first()
+        if ends.lo == ends.hi:
+            return ends.lo
+        if ends.n <= RANGE_ROWS:
+            each = inside.groupBy("x").count().withColumn("upto", F.sum("count").over(Window.orderBy("x")))
+            return each.where(F.col("upto") >= rank).agg(F.min("x")).first()[0]
+        cuts = sorted({ends.lo, *ends.cuts} - {ends.hi})
+        upto = inside.agg(*[F.count_if(F.col("x") <= c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
+        below = max((i for i, n in enumerate(upto) if n < rank), default=None)
+        above = min((i for i, n in enumerate(upto) if n >= rank), default=None)
+        if below is not None:
+            inside, rank = inside.where(F.col("x") > cuts[below]), rank - upto[below]
+        if above is not None:
+            inside = inside.where(F.col("x") <= cuts[above])
 
 
 def trading_days(df: DataFrame, ts: str) -> DataFrame:

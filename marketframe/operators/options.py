@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.dates import from_nanos
-from marketframe.functions.math import norm_pdf, with_norm_cdf
+from marketframe.functions.math import norm_cdf_array, norm_pdf, with_norm_cdf
 
 NANOS_PER_DAY = 86_400_000_000_000
 DAYS_PER_YEAR = 365
@@ -69,8 +69,15 @@ def moneyness(df: DataFrame, spot: str = "stock_close", strike: str = "strike_pr
 
 
 def _with_terms(df: DataFrame, spot: str, strike: str, t: str, rate: float, sigma: str) -> DataFrame:
-    """Columns that price and Greeks share; null unless spot, strike, time and volatility are positive."""
-    s, k, years, v = F.col(spot), F.col(strike), F.col(t), F.col(sigma)
+    """Columns that price and Greeks share; null unless spot, strike, time and volatility are positive.
+
+    The inputs pass through a generator of one row, which the optimiser doesn't
+    look through: their expressions would be repeated wherever a term uses them,
+    and the generated code would grow too long for the virtual machine to compile.
+    """
+    inputs = F.struct(*[F.col(c).cast("double").alias(n) for n, c in zip(INPUTS, (spot, strike, t, sigma), strict=True)])
+    df = df.select("*", F.inline(F.array(inputs)))
+    s, k, years, v = map(F.col, INPUTS)
     ok = (s > 0) & (k > 0) & (years > 0) & (v > 0)
     df = df.withColumn("__rt", F.when(ok, F.sqrt(years)))
     df = df.withColumn("__d1", (F.log(s / k) + (rate + v * v / 2) * years) / (v * F.col("__rt")))
@@ -80,12 +87,13 @@ def _with_terms(df: DataFrame, spot: str, strike: str, t: str, rate: float, sigm
     return df.withColumn("__k", F.when(F.col("__rt").isNotNull(), k * F.exp(-rate * years)))
 
 
-TERMS = ("__rt", "__d1", "__d2", "__n1", "__n2", "__k")
+INPUTS = ("__s", "__x", "__t", "__v")
+TERMS = (*INPUTS, "__rt", "__d1", "__d2", "__n1", "__n2", "__k")
 
 
 def add_price(df: DataFrame, rate: float = 0.01, spot: str = "stock_close", strike: str = "strike_price", t: str = "t", sigma: str = "implied_vol", kind: str = "opt_type", to: str = "price") -> DataFrame:
     """Black-Scholes prices; null unless spot, strike, time and volatility are positive."""
-    n1, n2, k, s = F.col("__n1"), F.col("__n2"), F.col("__k"), F.col(spot)
+    n1, n2, k, s = F.col("__n1"), F.col("__n2"), F.col("__k"), F.col("__s")
     call, put = s * n1 - k * n2, k * (1 - n2) - s * (1 - n1)
     df = _with_terms(df, spot, strike, t, rate, sigma)
     return df.withColumn(to, F.when(F.col(kind) == "c", call).when(F.col(kind) == "p", put)).drop(*TERMS)
@@ -97,7 +105,7 @@ GREEKS = ("delta", "gamma", "theta", "vega")
 def add_greeks(df: DataFrame, rate: float = 0.01, spot: str = "stock_close", strike: str = "strike_price", t: str = "t", sigma: str = "implied_vol", kind: str = "opt_type") -> DataFrame:
     """delta, gamma, theta (a calendar day) and vega (a volatility point); null where the price is."""
     df = _with_terms(df, spot, strike, t, rate, sigma)
-    n1, n2, root, s, v = F.col("__n1"), F.col("__n2"), F.col("__rt"), F.col(spot), F.col(sigma)
+    n1, n2, root, s, v = F.col("__n1"), F.col("__n2"), F.col("__rt"), F.col("__s"), F.col("__v")
     call, carry, decay, pdf = F.col(kind) == "c", rate * F.col("__k"), F.col("__decay"), F.col("__pdf")
     df = df.withColumn("__pdf", norm_pdf(F.col("__d1"))).withColumn("__decay", -s * pdf * v / (2 * root))
     known = {
@@ -110,20 +118,12 @@ def add_greeks(df: DataFrame, rate: float = 0.01, spot: str = "stock_close", str
     return df.withColumns({n: F.when(valid, x) for n, x in known.items()}).drop("__pdf", "__decay", *TERMS)
 
 
-def _cdf(x):
-    """The normal distribution function on arrays."""
-    import math
-
-    import numpy as np
-
-    return 0.5 * np.vectorize(math.erfc, otypes=[float])(-x / math.sqrt(2))
-
-
 def implied_vols(price_, s, k, t, r, call):
     """Volatilities that give the prices, as arrays; NaN outside the no-arbitrage bounds and for what isn't positive.
 
     Bisection on all rows at once narrows each to a bracket, Newton steps kept
-    in the bracket finish.
+    in the bracket finish. A row is done when its own steps end, whatever the
+    rows beside it do.
     """
     import numpy as np
 
@@ -137,32 +137,36 @@ def implied_vols(price_, s, k, t, r, call):
     if not len(i):
         return out
     p, s, k, t, call, discounted = (x[i] for x in (price_, s, k, t, call, discounted))
-    root = np.sqrt(t)
+    root, money = np.sqrt(t), np.log(s / k) + r * t
 
-    def value(v):
-        d1 = (np.log(s / k) + (r + v * v / 2) * t) / (v * root)
-        c = s * _cdf(d1) - discounted * _cdf(d1 - v * root)
-        return np.where(call, c, c - s + discounted), d1
+    def value(v, at):
+        spread = v * root[at]
+        d1 = money[at] / spread + spread / 2
+        c = s[at] * norm_cdf_array(d1) - discounted[at] * norm_cdf_array(d1 - spread)
+        return np.where(call[at], c, c - s[at] + discounted[at]), d1
 
+    every = np.arange(len(i))
     a, b = np.full(len(i), 1e-6), np.full(len(i), 1.0)
+    at = every
     for _ in range(12):  # widen until the price lies below
-        short = value(b)[0] < p
-        if not short.any():
+        at = at[value(b[at], at)[0] < p[at]]
+        if not len(at):
             break
-        b = np.where(short, 2 * b, b)
-    v = (a + b) / 2
+        b[at] *= 2
+    v, at = (a + b) / 2, every
     for step in range(60):
-        now, d1 = value(v)
-        a, b = np.where(now < p, v, a), np.where(now < p, b, v)
-        slope = s * root * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi)
+        now, d1 = value(v[at], at)
+        low, high = np.where(now < p[at], v[at], a[at]), np.where(now < p[at], b[at], v[at])
+        a[at], b[at] = low, high
+        slope = s[at] * root[at] * np.exp(-d1 * d1 / 2) / np.sqrt(2 * np.pi)
         with np.errstate(all="ignore"):
-            newton = v - (now - p) / slope
-        inside = (newton > a) & (newton < b) & (step >= 4)
-        new = np.where(inside, newton, (a + b) / 2)
-        if np.max(np.abs(new - v)) < 1e-12:
-            v = new
+            newton = v[at] - (now - p[at]) / slope
+        new = np.where((newton > low) & (newton < high) & (step >= 3), newton, (low + high) / 2)
+        moved = np.abs(new - v[at]) >= 1e-12
+        v[at] = new
+        at = at[moved]
+        if not len(at):
             break
-        v = new
     out[i] = v
     return out
 
@@ -197,12 +201,15 @@ def adjusted_vol(atm: Column, strike: Column, atm_strike: Column, skew: Column,
 
 
 def scenarios(legs: DataFrame, spots: DataFrame) -> DataFrame:
-    """Each leg at each spot of a grid. The grid is a short list of prices, a parameter, so it is sent to every task."""
-    rows = spots.limit(MAX_SPOTS + 1).collect()
-    if len(rows) > MAX_SPOTS:
+    """Each leg at each spot of a grid.
+
+    The grid is a short list of prices, a parameter; its rows are counted, up to
+    ``MAX_SPOTS``, before they are sent to every task.
+    """
+    grid = spots.select(F.col(spots.columns[0]).cast("double").alias(spots.columns[0]))
+    if grid.limit(MAX_SPOTS + 1).count() > MAX_SPOTS:
         raise ValueError(f"a grid has at most {MAX_SPOTS} spots")
-    grid = F.array(*[F.lit(float(r[0])) for r in rows])
-    return legs.withColumn(spots.columns[0], F.explode(grid))
+    return legs.crossJoin(F.broadcast(grid))
 
 
 MAX_SPOTS = 10_000

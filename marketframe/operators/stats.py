@@ -56,9 +56,9 @@ def _cumulative(sources: dict[str, Column], w, attr: str, affix: str) -> list[Co
     out = []
     for name, x in sources.items():
         held = x.isNotNull()
-        out.append(F.when(held, F.avg(x).over(so_far)).alias(stat_name(attr, name, "mean", affix)))
-        out.append(F.when(held, F.stddev_samp(x).over(so_far)).alias(stat_name(attr, name, "std", affix)))
-    out.append(F.count(next(iter(sources.values()))).over(so_far).alias(stat_name(attr, "cuml", "n", affix)))
+        out.append(F.when(held, F.avg(x).over(so_far)).alias(stat_name(attr, name, "cuml_mean", affix)))
+        out.append(F.when(held, F.stddev_samp(x).over(so_far)).alias(stat_name(attr, name, "cuml_std", affix)))
+    out.append(F.count(next(iter(sources.values()))).over(so_far).alias(stat_name(attr, "count", "cuml_n", affix)))
     return out
 
 
@@ -73,11 +73,11 @@ def cumulative_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[st
 
 
 def offset_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], attr: str, affix: str = "") -> KeyedTable:
-    """As ``cumulative_stats``, of the rows before each row."""
+    """As ``cumulative_stats``, of the rows before each row, under the names of the shifted columns."""
     require(table.df.columns, [*groups, *cols])
     w = _ordered(table, groups)
-    lagged = table.df.withColumns({f"__{c}": F.lag(c, 1).over(w) for c in cols})
-    out = _cumulative({c: F.col(f"__{c}") for c in cols}, w, attr, affix)
+    lagged = table.df.withColumns({f"shifted_{c}_1": F.lag(c, 1).over(w) for c in cols})
+    out = _cumulative({f"shifted_{c}_1": F.col(f"shifted_{c}_1") for c in cols}, w, attr, affix)
     return KeyedTable(lagged.select(*table.primary_key, *out), table.primary_key, table.primary_key)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,10 +111,23 @@ GAPPY = "WITH e AS (SELECT event_id, ts, user_id, event_type, CASE WHEN event_ty
 
 @query(GAPPY + "SELECT * FROM (SELECT unnest(['event_id', 'event_type', 'value']) AS name, unnest([count(*) - count(event_id), count(*) - count(event_type), count(*) - count(value)]) AS nulls FROM e) WHERE nulls > 0")
 def p3_null_columns(spark, sf_dir):
-    wanted = ("event_id", "event_type", "value")
-    counted = gappy(spark, sf_dir).df.agg(*[F.count_if(F.isnull(c)).alias(c) for c in wanted])
-    one = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("nulls")) for c in wanted])
-    return counted.select(F.inline(one)).where("nulls > 0")
+    found = gappy(spark, sf_dir).null_counts(["event_id", "event_type", "value"])
+    return spark.createDataFrame([(c, n) for c, n in found.items() if n], "name string, nulls bigint")
+
+
+def _passes(check: Callable[[], None]) -> bool:
+    try:
+        check()
+    except ValueError:
+        return False
+    return True
+
+
+@query(GAPPY + "SELECT * FROM (SELECT unnest(['event_id', 'user_id', 'value']) AS name, unnest([count(*) = count(event_id), count(*) = count(user_id), count(*) = count(value)]) AS passed FROM e)")
+def p5_null_check(spark, sf_dir):
+    """Which columns pass the check that raises for nulls."""
+    checked = gappy(spark, sf_dir)
+    return spark.createDataFrame([(c, _passes(lambda c=c: checked.check_nulls([c]))) for c in ("event_id", "user_id", "value")], "name string, passed boolean")
 
 
 @query(GAPPY + "SELECT * FROM e WHERE value IS NULL OR user_id IS NULL")
@@ -180,16 +195,16 @@ def w1_shifted(spark, sf_dir):
     return stats.shifted(gappy(spark, sf_dir), ["user_id"], ["value"], 3).df.select("event_id", *[f"shifted_value_{i}" for i in (1, 2, 3)])
 
 
-@query(GAPPY + """SELECT event_id, CASE WHEN value IS NOT NULL THEN round(avg(value) OVER w, 8) END AS u_value_mean,
-CASE WHEN value IS NOT NULL THEN round(stddev_samp(value) OVER w, 8) END AS u_value_std, count(value) OVER w AS u_cuml_n
+@query(GAPPY + """SELECT event_id, CASE WHEN value IS NOT NULL THEN round(avg(value) OVER w, 8) END AS u_value_cuml_mean,
+CASE WHEN value IS NOT NULL THEN round(stddev_samp(value) OVER w, 8) END AS u_value_cuml_std, count(value) OVER w AS u_count_cuml_n
 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w2_cumulative_stats(spark, sf_dir):
     return rounded(stats.cumulative_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u").df, 8)
 
 
 @query(GAPPY + """, s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM e)
-SELECT event_id, CASE WHEN x IS NOT NULL THEN round(avg(x) OVER w, 8) END AS u_value_mean,
-CASE WHEN x IS NOT NULL THEN round(stddev_samp(x) OVER w, 8) END AS u_value_std, count(x) OVER w AS u_cuml_n
+SELECT event_id, CASE WHEN x IS NOT NULL THEN round(avg(x) OVER w, 8) END AS u_shifted_value_1_cuml_mean,
+CASE WHEN x IS NOT NULL THEN round(stddev_samp(x) OVER w, 8) END AS u_shifted_value_1_cuml_std, count(x) OVER w AS u_count_cuml_n
 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w3_offset_stats(spark, sf_dir):
     return rounded(stats.offset_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u").df, 8)
@@ -469,13 +484,6 @@ def j4_join_stocks(spark, sf_dir):
     return rounded(chain(spark, sf_dir).select("ticker", "window_start", "quantity", "close", "stock_close", "moneyness"))
 
 
-@query()
-def x4_implied_vol(spark, sf_dir):
-    """Prices at known volatilities, inverted."""
-    priced = options.add_price(chain(spark, sf_dir).withColumn("sigma", 0.1 + F.col("vol")), sigma="sigma", to="close")
-    return options.add_implied_vol(priced).select("ticker", "window_start", "close", "sigma", "implied_vol")
-
-
 def _sql_horner(x: str, top: tuple, bottom: tuple) -> str:
     num, den = f"{top[-1]!r}::DOUBLE * {x}", x
     for p, q in zip(top[:-2], bottom[:-1], strict=True):
@@ -507,13 +515,32 @@ CASE WHEN opt_type = 'c' THEN decay - carry * n2 ELSE decay + carry * (1 - n2) E
 _FULL = CHAIN + ", c AS (SELECT x.*, s.stock_close, (epoch(expiration_date)::BIGINT * 1000000000 - window_start) / 86400000000000 / 365 AS t, 0.1 + vol AS sigma FROM x LEFT JOIN s USING (underlying, window_start)), "
 
 
-@query(_FULL + _sql_greeks("c", "stock_close", "sigma", 0.01) + "SELECT ticker, window_start, quantity, round(delta, 6) + 0.0 AS delta, round(gamma, 6) + 0.0 AS gamma, round(theta, 6) + 0.0 AS theta, round(vega, 6) + 0.0 AS vega FROM g")
+_INVALID = "NOT coalesce(stock_close > 0 AND t > 0 AND sigma > 0, false)"
+
+
+@query(_FULL + _sql_greeks("c", "stock_close", "sigma", 0.01) + f"""SELECT ticker, window_start, quantity, round(delta, 6) + 0.0 AS delta, round(gamma, 6) + 0.0 AS gamma, round(theta, 6) + 0.0 AS theta, round(vega, 6) + 0.0 AS vega FROM g
+UNION ALL SELECT ticker, window_start, quantity, NULL, NULL, NULL, NULL FROM c WHERE {_INVALID}""")
 def x5_greeks(spark, sf_dir):
     known = chain(spark, sf_dir).withColumn("implied_vol", 0.1 + F.col("vol"))
-    known = known.where("stock_close > 0 AND t > 0")  # on the inputs: a condition on a Greek would be computed twice
     return rounded(options.add_greeks(known).select("ticker", "window_start", "quantity", "delta", "gamma", "theta", "vega"))
 
 
+_PRICED = _FULL + _sql_greeks("c", "stock_close", "sigma", 0.01) + """, k AS (SELECT *, strike_price * exp(-0.01 * t) AS d FROM g),
+v AS (SELECT *, CASE WHEN opt_type = 'c' THEN stock_close * n1 - d * n2 ELSE d * (1 - n2) - stock_close * (1 - n1) END AS price,
+greatest(CASE WHEN opt_type = 'c' THEN stock_close - d ELSE d - stock_close END, 0) AS low FROM k) """
+
+
+@query(_PRICED + f"""SELECT ticker, window_start, quantity, round(price, 6) + 0.0 AS close, CASE WHEN price - low > 0.01 THEN round(sigma, 6) END AS implied_vol FROM v
+UNION ALL SELECT ticker, window_start, quantity, NULL, NULL FROM c WHERE {_INVALID}""")
+def x4_implied_vol(spark, sf_dir):
+    """Prices at known volatilities, inverted; shown where the price has a time value that tells the volatility."""
+    priced = options.add_price(chain(spark, sf_dir).withColumn("sigma", 0.1 + F.col("vol")), sigma="sigma", to="close")
+    found = options.add_implied_vol(priced)
+    d = F.col("strike_price") * F.exp(-0.01 * F.col("t"))
+    low = F.greatest(F.when(F.col("opt_type") == "c", F.col("stock_close") - d).otherwise(d - F.col("stock_close")), F.lit(0.0))
+    return rounded(found.select("ticker", "window_start", "quantity", "close", F.when(F.col("close") - low > 0.01, F.col("implied_vol")).alias("implied_vol")))
+
+
 @query(CHAIN + "SELECT ticker, window_start, round(0.1 + vol + (strike_price / 100 - 1) * -0.2 + (strike_price / 100 * strike_price / 100 - 1) * 0.05, 6) AS vol FROM x")
 def x7_adjusted_vol(spark, sf_dir):
     of = options.adjusted_vol(0.1 + F.col("vol"), F.col("strike_price"), F.lit(100.0), F.lit(-0.2), F.lit(0.05))
@@ -595,14 +622,14 @@ def x11_parsed(spark, sf_dir):
 
 
 @query("""SELECT 'e' || o_orderkey AS id, 'b' || l_linenumber AS bookmaker_key, 'm' || (l_partkey % 3) AS market_key, 's' || l_suppkey AS outcome_name, l_extendedprice AS outcome_price
-FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 10 = 0""")
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
 def s14_landed_odds(spark, sf_dir):
     """Order lines as saved odds responses: written as JSON, read with the payload's schema, flattened."""
     text = lambda c: F.col(c).cast("string")
     outcome = F.struct(F.concat(F.lit("s"), text("l_suppkey")).alias("name"), F.col("l_extendedprice").alias("price"))
     market = F.struct(F.concat(F.lit("m"), (F.col("l_partkey") % 3).cast("string")).alias("key"), F.lit("").alias("last_update"), F.array(outcome).alias("outcomes"))
     book = F.struct(F.concat(F.lit("b"), text("l_linenumber")).alias("key"), F.lit("").alias("title"), F.array(market).alias("markets"))
-    found = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").groupBy("l_orderkey").agg(F.collect_list(book).alias("bookmakers"))
+    found = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(book).alias("bookmakers"))
     path = scratch(spark, "landing")
     found.join(table(spark, sf_dir, "orders").select("o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat(F.lit("e"), text("l_orderkey")).alias("id"), "bookmakers").write.json(path)
     events = spark.read.schema(nested.nullable(nested.EVENT)).json(path)
@@ -615,10 +642,80 @@ def s14_landed_odds(spark, sf_dir):
 @query("SELECT event_id, event_type AS ticker, value FROM events WHERE ts::DATE BETWEEN DATE '2024-01-05' AND DATE '2024-01-08'")
 def s4_read_days(spark, sf_dir):
     """Events written as a lake of day files, of which a range is read."""
-    root, events = scratch(spark, "lake"), table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ticker"), "value", F.col("ts").cast("date").alias("date"))
-    for day in lake.days("2024-01-04", "2024-01-09"):
-        events.where(F.col("date") == F.lit(day).cast("date")).drop("date").write.parquet(lake.day_path(root, lake.STOCKS, day))
-    return lake.read_days(spark, root, lake.STOCKS, "2024-01-05", "2024-01-08")
+    return lake.read_days(spark, event_lake(spark, sf_dir), lake.STOCKS, "2024-01-05", "2024-01-08")
+
+
+def event_lake(spark, sf_dir, categories: tuple[str, ...] = (lake.STOCKS,)) -> str:
+    """A lake of day files of all events; in the options category under other ids."""
+    root = scratch(spark, "lake")
+    events = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("ticker"), "value", F.col("ts").cast("date").alias("date"))
+    for category in categories:
+        own = events if category == lake.STOCKS else events.withColumn("event_id", -F.col("event_id"))
+        lake.write_days(own, root, category)
+    return root
+
+
+@query("SELECT event_id, event_type AS ticker, value FROM events WHERE ts::DATE = DATE '2024-01-09'")
+def s1_read_day(spark, sf_dir):
+    return lake.read_day(spark, event_lake(spark, sf_dir), lake.STOCKS, "2024-01-09")
+
+
+@query("SELECT 'stock' AS kind, event_id, event_type AS ticker, value FROM events WHERE ts::DATE = DATE '2024-01-09' UNION ALL SELECT 'option', -event_id, event_type, value FROM events WHERE ts::DATE = DATE '2024-01-09'")
+def s3_stocks_and_options(spark, sf_dir):
+    root = event_lake(spark, sf_dir, (lake.STOCKS, lake.OPTIONS))
+    stocks, options_ = lake.read_stocks_and_options_day(spark, root, "2024-01-09")
+    return stocks.withColumn("kind", F.lit("stock")).unionByName(options_.withColumn("kind", F.lit("option")))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS ticker, o_totalprice AS amount, date_trunc('day', o_orderdate)::TIMESTAMP AS ex_dividend_date FROM orders WHERE o_orderstatus IN ('F', 'P')")
+def s5_dividends(spark, sf_dir):
+    """Orders as dividends of their status, a file for each; two of the statuses and one that has no file are read."""
+    root = scratch(spark, "dividends")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("ticker"), F.col("o_totalprice").alias("amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("ex_dividend_date"))
+    lake.write_tickers(df, root, "dividends_by_ticker")
+    return lake.read_dividends(spark, root, ["F", "P", "none"])
+
+
+@query("SELECT c_custkey, c_mktsegment AS ticker, c_acctbal AS surprise FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def s6_earnings(spark, sf_dir):
+    root = scratch(spark, "earnings")
+    lake.write_tickers(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("ticker"), F.col("c_acctbal").alias("surprise")), root, "earnings_by_ticker")
+    return lake.read_earnings(spark, root, ["BUILDING", "MACHINERY", "none"])
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def s8_read_tree(spark, sf_dir):
+    """Parts in a tree of folders by size, beside files of another suffix, read by suffix."""
+    root = scratch(spark, "tree")
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", (F.col("p_size") % 5).alias("a"), (F.col("p_size") % 3).alias("b"))
+    df.write.partitionBy("a", "b").mode("append").parquet(root)
+    df.select("p_partkey").write.mode("append").csv(f"{root}/other")
+    return lake.read_tree(spark, root, ".parquet").select("p_partkey", "p_name", "p_size")
+
+
+@query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def s10_s11_write_and_read(spark, sf_dir):
+    """Suppliers written as CSV, read, written as parquet, read."""
+    first, second = scratch(spark, "table") + ".csv", scratch(spark, "table") + ".parquet"
+    tables.write_table(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_acctbal"), first)
+    tables.write_table(tables.read_table(spark, first), second)
+    return tables.read_table(spark, second).select(F.col("s_suppkey").cast("bigint").alias("s_suppkey"), "s_name", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 0")
+def s12_database_table(spark, sf_dir):
+    """Customers in a database, appended and read over JDBC; the condition is the database's to check.
+
+    The database is the one that comes with Spark, in the memory of a local
+    master; on a cluster a ``Database`` names a server.
+    """
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("the embedded database is within the driver; name a server on a cluster")
+    base = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    found = tables.Database(f"jdbc:derby:memory:customers{uuid.uuid4().hex};create=true", "customers", base)
+    found.write(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal").coalesce(2))
+    read = found.query(spark, 'SELECT * FROM customers WHERE "c_acctbal" > 0')
+    return read.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "c_name", "c_acctbal")
 
 
 @query("SELECT event_type AS ticker, strftime(ts, '%Y-%m-%d')::DATE AS date, count(*) AS n FROM events GROUP BY ALL")
@@ -664,11 +761,12 @@ def mixed(spark, sf_dir) -> DataFrame:
 
 MIXED = f"""WITH p AS (SELECT event_id, user_id, value, {_FOLD} AS fold, (user_id % 10)::DOUBLE AS u FROM events),
 w AS (SELECT *, exp(u / 10) / (exp(u / 10) + exp(0.5)) AS w1, u AS m1, 50 - u AS m2, 10 + u AS s1, 20.0 AS s2 FROM p),
-q AS (SELECT *, w1 * m1 + (1 - w1) * m2 AS pred, ln(w1 * exp(-pow((value - m1) / s1, 2) / 2) / s1 / sqrt(2 * pi()) + (1 - w1) * exp(-pow((value - m2) / s2, 2) / 2) / s2 / sqrt(2 * pi())) AS log_prob FROM w WHERE abs(value - m2) < 500) """
+z AS (SELECT *, ln(w1) - pow((value - m1) / s1, 2) / 2 - ln(s1) - ln(2 * pi()) / 2 AS la, ln(1 - w1) - pow((value - m2) / s2, 2) / 2 - ln(s2) - ln(2 * pi()) / 2 AS lb FROM w),
+q AS (SELECT *, w1 * m1 + (1 - w1) * m2 AS pred, greatest(la, lb) + ln(1 + exp(-abs(la - lb))) AS log_prob FROM z) """
 
 
 def with_likelihood(spark, sf_dir) -> DataFrame:
-    df = mixed(spark, sf_dir).where(F.abs(F.col("value") - F.col("means")[1]) < 500)
+    df = mixed(spark, sf_dir)
     c = F.col
     return df.withColumns({"pred": mixture.mixture_mean(c("logits"), c("means")), "log_prob": mixture.mixture_log_prob(c("value"), c("logits"), c("means"), c("scales"))})
 
@@ -698,31 +796,129 @@ def _shape(df: DataFrame, family: str) -> mixture.Shape:
     return mixture.Shape(len(df.select("features").first()[0]), 8, 2, family)
 
 
+HIDDEN, COMPONENTS = 3, 2
+
+
+def _ruled(features: int, family: str, models: int = 1) -> mixture.Fitted:
+    """Models whose parameters follow a rule that SQL can repeat: weight (i, c) of layer n of model j is sin(7n + 5j + 3i + c) / 8."""
+    shape = mixture.Shape(features, HIDDEN, COMPONENTS, family)
+    thetas = []
+    for j in range(models):
+        layers = [np.sin(7 * n + 5 * j + 3 * np.arange(a + 1)[:, None] + np.arange(b)) / 8 for n, (a, b) in enumerate(shape.layers().values())]
+        thetas.append(np.concatenate([x.reshape(-1) for x in layers]))
+    return mixture.Fitted(shape, thetas)
+
+
+def _sql_mixture(family: str, model: int = 0) -> str:
+    """CTEs that end in ``p``: vec_id, y, w1, w2, m1, m2 (s1, s2), pred and log_prob for the rows of ``f`` (vec_id, y, x)."""
+    weight = lambda n, i, c: f"{float(np.sin(7 * n + 5 * model + 3 * i + c) / 8)!r}::DOUBLE"
+    first = lambda c: f"list_dot_product(x, list_transform(range(64), lambda i: sin({5 * model + c} + 3 * i) / 8)) + {weight(0, 64, c)}"
+    plain = lambda n, names, c: " + ".join([*(f"{x} * {weight(n, i, c)}" for i, x in enumerate(names)), weight(n, len(names), c)])
+    names = lambda n: [f"h{n}{c}" for c in range(HIDDEN)]
+    ctes = ["l1 AS (SELECT vec_id, y, " + ", ".join(f"{first(c)} AS h1{c}" for c in range(HIDDEN)) + " FROM f)"]
+    for n in (1, 2):
+        ctes.append(f"l{n + 1} AS (SELECT vec_id, y, " + ", ".join(f"{plain(n, names(n), c)} AS h{n + 1}{c}" for c in range(HIDDEN)) + f" FROM l{n})")
+    ctes.append("z AS (SELECT vec_id, y, " + ", ".join(f"tanh(h3{c}) AS z{c}" for c in range(HIDDEN)) + " FROM l3)")
+    soft = lambda x: f"(greatest({x}, 0) + ln(1 + exp(-abs({x}))) + 1e-6)"
+    heads = ["logits", "means"] + (["scales"] if family == "normal" else [])
+    raw = {(h, c): plain(3 + n, [f"z{i}" for i in range(HIDDEN)], c) for n, h in enumerate(heads) for c in range(COMPONENTS)}
+    out = [f"{raw['logits', c]} AS a{c + 1}" for c in range(COMPONENTS)]
+    out += [f"{raw['means', c] if family == 'normal' else soft('(' + raw['means', c] + ')')} AS m{c + 1}" for c in range(COMPONENTS)]
+    if family == "normal":
+        out += [f"{soft('(' + raw['scales', c] + ')')} AS s{c + 1}" for c in range(COMPONENTS)]
+    ctes.append(f"r AS (SELECT vec_id, y, {', '.join(out)} FROM z)")
+    ctes.append("w AS (SELECT *, 1 / (1 + exp(a2 - a1)) AS w1, 1 / (1 + exp(a1 - a2)) AS w2 FROM r)")
+    if family == "normal":
+        part = lambda c: f"ln(w{c}) - pow((y - m{c}) / s{c}, 2) / 2 - ln(s{c}) - ln(2 * pi()) / 2"
+    else:
+        part = lambda c: f"ln(w{c}) + y * ln(m{c}) - m{c} - lgamma(y + 1)"
+    ctes.append(f"e AS (SELECT *, {part(1)} AS la, {part(2)} AS lb FROM w)")
+    ctes.append("p AS (SELECT *, w1 * m1 + w2 * m2 AS pred, greatest(la, lb) + ln(1 + exp(-abs(la - lb))) AS log_prob FROM e)")
+    return ", ".join(ctes) + " "
+
+
+_VECTORS = "WITH f AS (SELECT vec_id, label::DOUBLE AS y, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings), "
+_SHOWN = "SELECT vec_id, round(a1, 5) + 0.0 AS logit_1, round(m1, 5) + 0.0 AS mean_1, round(m2, 5) + 0.0 AS mean_2, round(pred, 5) + 0.0 AS pred FROM p"
+
+
+def _parameters_of(df: DataFrame) -> DataFrame:
+    return rounded(df.select("vec_id", F.col("logits")[0].alias("logit_1"), F.col("means")[0].alias("mean_1"), F.col("means")[1].alias("mean_2"), "pred"), 5)
+
+
+@query(_VECTORS + _sql_mixture("normal") + _SHOWN)
+def m2_normal_parameters(spark, sf_dir):
+    return _parameters_of(mixture.scored(labelled(spark, sf_dir), _ruled(64, "normal")))
+
+
+@query(_VECTORS + _sql_mixture("poisson") + _SHOWN)
+def m3_poisson_parameters(spark, sf_dir):
+    return _parameters_of(mixture.scored(labelled(spark, sf_dir), _ruled(64, "poisson")))
+
+
+@query(_VECTORS + _sql_mixture("normal") + "SELECT vec_id, round(pred, 5) + 0.0 AS pred, round(log_prob, 5) + 0.0 AS log_prob FROM p")
+def m6_predictions(spark, sf_dir):
+    """Predictions and likelihoods of a model that was saved and loaded."""
+    path = scratch(spark, "model")
+    mixture.save(spark, _ruled(64, "normal"), path)
+    fitted = mixture.load(spark, path)
+    found = mixture.log_prob(mixture.scored(labelled(spark, sf_dir), fitted), fitted.shape)
+    return rounded(found.select("vec_id", "pred", "log_prob"), 5)
+
+
+@query(f"SELECT layer, i, c, round(value, 9) + 0.0 AS value FROM (VALUES {', '.join(f'({n}, {name!r}, {a}, {b})' for n, (name, (a, b)) in enumerate(mixture.Shape(64, HIDDEN, COMPONENTS).layers().items()))}) l(n, layer, a, b), LATERAL (SELECT unnest(range(a + 1)) AS i), LATERAL (SELECT unnest(range(b)) AS c), LATERAL (SELECT sin(7 * n + 3 * i + c) / 8 AS value) WHERE EXISTS (SELECT 1 FROM embeddings)")
+def s15_saved_model(spark, sf_dir):
+    """The parameters of a model as a table, after saving and loading it."""
+    path = scratch(spark, "model")
+    mixture.save(spark, _ruled(len(labelled(spark, sf_dir).first().features), "normal"), path)
+    found = mixture.parameters(spark, mixture.load(spark, path))
+    return found.select("layer", F.col("row").cast("bigint").alias("i"), F.col("col").cast("bigint").alias("c"), (F.round("value", 9) + 0.0).alias("value"))
+
+
+MODELS = 3
+_EACH = "".join(f", t{j} AS (WITH {_sql_mixture('normal', j)} SELECT {j} AS model, * FROM p)" for j in range(MODELS))
+_MODELS = _VECTORS.rstrip(", ") + _EACH + f", t AS ({' UNION ALL '.join(f'SELECT * FROM t{j}' for j in range(MODELS))}) "
+_VECTOR_FOLD = f"(('0x' || substr(md5('42:' || vec_id), 1, 8))::UBIGINT % {MODELS})"
+
+
+@query(_MODELS + f"SELECT model AS fold, round(avg(abs(y - pred)), 5) AS mae, round(-avg(log_prob), 5) AS nll FROM t WHERE model = {_VECTOR_FOLD} GROUP BY model")
+def m7_fold_errors(spark, sf_dir):
+    """The errors of given models of a k-fold evaluation, each on its own fold."""
+    fitted = _ruled(64, "normal", MODELS)
+    own = mixture.scored(mixture.folds(labelled(spark, sf_dir), "vec_id", MODELS), fitted).where("model = fold")
+    return rounded(mixture.fold_metrics(mixture.log_prob(own, fitted.shape), "y", "pred", "log_prob"), 5)
+
+
+@query(_MODELS + "SELECT vec_id, round(avg(pred), 5) + 0.0 AS pred, round(avg(a1), 5) + 0.0 AS logit_1, round(avg(m2), 5) + 0.0 AS mean_2 FROM t GROUP BY vec_id")
+def m8_ensemble_scores(spark, sf_dir):
+    out = mixture.ensemble_scores(labelled(spark, sf_dir), _ruled(64, "normal", MODELS), "vec_id")
+    return rounded(out.select("vec_id", "pred", F.col("logits")[0].alias("logit_1"), F.col("means")[1].alias("mean_2")), 5)
+
+
 @query()
 def m4_fit_normal(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    fitted = mixture.fit(df, _shape(df, "normal"), epochs=10)
+    fitted = mixture.fit(df, _shape(df, "normal"))
     return mixture.log_prob(mixture.scored(df, fitted), fitted.shape).select("vec_id", "pred", "log_prob")
 
 
 @query()
 def m3_fit_poisson(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    fitted = mixture.fit(df, _shape(df, "poisson"), epochs=5)
+    fitted = mixture.fit(df, _shape(df, "poisson"))
     return mixture.log_prob(mixture.scored(df, fitted), fitted.shape).select("vec_id", "pred", "log_prob")
 
 
 @query()
 def m7_kfold(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    return mixture.kfold(df, _shape(df, "normal"), "vec_id", k=3, epochs=5, patience=3)[1]
+    return mixture.kfold(df, _shape(df, "normal"), "vec_id")[1]
 
 
 @query()
 def m8_kfold_predictions(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    split = mixture.folds(df, "vec_id", 3)
-    fitted = mixture.fit(split, _shape(df, "normal"), fold="fold", models=3, epochs=5, patience=3)
+    split = mixture.folds(df, "vec_id", 5)
+    fitted = mixture.fit(split, _shape(df, "normal"), fold="fold", models=5, epochs=20, patience=5)
     return mixture.ensemble_scores(df, fitted, "vec_id").select("vec_id", "pred", F.size("means").alias("components"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from datetime import date, timedelta
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,39 @@ def read_stocks_and_options_day(spark: SparkSession, root: str, day: str) -> tup
     return read_day(spark, root, STOCKS, day), read_day(spark, root, OPTIONS, day)
 
 
+def _moved(spark: SparkSession, df: DataFrame, by: str, staging: str, target_of) -> None:
+    """One write, partitioned by a column of texts; each partition's folder is then renamed to ``target_of`` its value.
+
+    Renaming is one call to the file system per value, no job.
+    """
+    df.write.partitionBy(by).parquet(staging)
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(staging).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.listStatus(path(staging)):
+        name = found.getPath().getName()
+        if name.startswith(f"{by}="):
+            target = path(target_of(unquote(name.partition("=")[2])))
+            fs.mkdirs(target.getParent())
+            if fs.exists(target):
+                fs.delete(target, True)
+            if not fs.rename(found.getPath(), target):
+                raise OSError(f"can't move {name} to {target}")
+    fs.delete(path(staging), True)
+
+
+def write_days(df: DataFrame, root: str, category: str, day: str = "date", agg_key: str = DAY_AGGREGATES) -> None:
+    """``df`` as day files of the lake, in one job; days that are there already are replaced."""
+    dated = df.withColumn(day, F.date_format(day, "yyyy-MM-dd")).where(F.col(day).isNotNull())
+    _moved(df.sparkSession, dated, day, f"{root}/{category}/_staging-{uuid.uuid4().hex}", lambda d: day_path(root, category, d, agg_key))
+
+
+def write_tickers(df: DataFrame, root: str, folder: str, ticker: str = "ticker") -> None:
+    """``df`` as one file per ticker below ``folder`` (``dividends_by_ticker``, ``earnings_by_ticker``), in one job."""
+    there = df.where(F.col(ticker).isNotNull())
+    _moved(df.sparkSession, there, ticker, f"{root}/_staging-{uuid.uuid4().hex}", lambda t: f"{root}/{folder}/{t}.parquet")
+
+
 def days(start: str, end: str) -> list[str]:
     """Dates from start to end, both included."""
     first, last = date.fromisoformat(start), date.fromisoformat(end)

@@ -66,11 +66,11 @@ def test_formats():
 
 
 def test_copies(spark, tmp_path):
-    df = spark.createDataFrame([(1, "Alice"), (2, "Bob")], "id int, name string")
+    df = spark.createDataFrame([(1, "birch"), (2, "cedar")], "id int, name string")
     csv, parquet = tables.Files(str(tmp_path / "t.csv")), tables.Files(str(tmp_path / "t.parquet"))
     csv.write(df)
     tables.copy_table(spark, csv, parquet)
-    assert sorted(map(tuple, parquet.read(spark).collect())) == [(1, "Alice"), (2, "Bob")]
+    assert sorted(map(tuple, parquet.read(spark).collect())) == [(1, "birch"), (2, "cedar")]
     tables.write_table(df, str(tmp_path / "u.csv"))
     assert tables.read_table(spark, str(tmp_path / "u.csv")).count() == 2
     with pytest.raises(ValueError):
@@ -84,7 +84,7 @@ def test_database(spark, tmp_path):
     base = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     db = tables.Database(url, "people", base)
     csv = tables.Files(str(tmp_path / "p.csv"))
-    csv.write(spark.createDataFrame([(10, "Hello"), (20, "World")], "id int, val string"))
+    csv.write(spark.createDataFrame([(10, "north"), (20, "south")], "id int, val string"))
     tables.copy_table(spark, csv, db)
     tables.copy_table(spark, csv, db)
     assert db.read(spark).count() == 4
