@@ -93,9 +93,11 @@ def attached(rows: DataFrame, values: DataFrame, key: str, hot: DataFrame, known
     known = known.select(F.col(key).alias("__hot"), F.struct(*names).alias("__known"))
     found = rows.join(F.broadcast(known), F.col(key) == F.col("__hot"), "left")
     alone = F.col("__hot").isNotNull() | F.col(key).isNull()
-    salted = found.withColumn("__salt", F.when(alone, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).otherwise(F.lit(0)))
-    rest = values.select(key, F.lit(0).cast("bigint").alias("__salt"), F.struct(*names).alias("__rest"))
-    joined = salted.join(rest, [key, "__salt"], "left")
+    salt = F.when(alone, 1 + F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))).otherwise(F.lit(0))
+    # one struct as the key: a constant of its own on the right side would be folded into a condition on the left
+    salted = found.withColumn("__at", F.struct(F.col(key), salt.alias("salt")))
+    rest = values.select(F.struct(F.col(key), F.lit(0).cast("bigint").alias("salt")).alias("__at"), F.struct(*names).alias("__rest"))
+    joined = salted.join(rest, "__at", "left")
     return joined.select(*[F.col(c) for c in rows.columns], *[F.coalesce(F.col(f"__known.{c}"), F.col(f"__rest.{c}")).alias(c) for c in names])
 
 
