@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import chat, decontamination, near_dup, packing, quality, repeats, secret_scan, sharding, token_counts, toxicity
+from marketframe.llm import chat, decontamination, near_dup, packing, quality, repeats, secret_scan, sharding, spelling, token_counts, toxicity
 from marketframe.llm.common import new_path, saved
 
 
@@ -101,6 +101,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -113,6 +117,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dup": op8_near_dup,
         "op9_chat_formatting": op9_chat_formatting,
         "op10_sharding": op10_sharding,
+        "op11_spelling_variants": op11_spelling_variants,
     }
 
 
