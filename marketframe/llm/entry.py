@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import chat, decontamination, near_dup, packing, quality, repeats, secret_scan, sharding, spelling, token_counts, toxicity
+from marketframe.llm import chat, decontamination, near_dup, packing, quality, repair, repeats, secret_scan, sharding, spelling, token_counts, toxicity
 from marketframe.llm.common import new_path, saved
 
 
@@ -105,6 +105,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    audits, rows = repair.repaired(repair.damaged(turns))
+    found = audits.join(repair.digests(rows), "conv", "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return turns.select("conv_id", repair.conv_key().alias("conv")).distinct().join(found, "conv", "left").select(
+        "conv_id", *zero.values(), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -118,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_chat_formatting": op9_chat_formatting,
         "op10_sharding": op10_sharding,
         "op11_spelling_variants": op11_spelling_variants,
+        "op12_conversation_repair": op12_conversation_repair,
     }
 
 
