@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketframe.llm import chat, decontamination, near_dup, packing, quality, repair, repeats, secret_scan, sharding, spelling, token_counts, toxicity
+from marketframe.llm import chat, decontamination, near_dup, packing, pii, quality, repair, repeats, secret_scan, sharding, spelling, token_counts, toxicity
 from marketframe.llm.common import new_path, saved
 
 
@@ -115,6 +115,14 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(table(spark, sf_dir, "documents"))
+    name = lambda x: F.element_at(F.array(*map(F.lit, pii.KINDS)), x["kind"] + 1)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", name(x), x["start"], x["end"])), ",")
+    n = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("bigint").alias(f"n_{pii.KINDS[k]}")
+    return found.select("doc_id", *map(n, range(len(pii.KINDS))), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -129,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_spelling_variants": op11_spelling_variants,
         "op12_conversation_repair": op12_conversation_repair,
+        "op13_personal_data": op13_personal_data,
     }
 
 
