@@ -1,7 +1,7 @@
 """Secret scans with a recursive decoding worklist.
 
-Every text is a first layer. Encoded stretches of a layer (percent escapes,
-``\\uXXXX`` / ``\\xXX`` escapes, base64, and gzip, zlib, bzip2, xz, Zstandard or
+Every text is a first layer. Encoded stretches of a layer (``%XX`` and
+``%uXXXX``, ``\\uXXXX``, ``\\u{X}``, ``\\UXXXXXXXX`` and ``\\xXX`` escapes, base64, and gzip, zlib, bzip2, xz, Zstandard or
 raw deflate data inside decoded layers) are decoded into new layers, which are
 scanned and searched for encoded stretches in turn until no layer gives a new
 one, at any depth. A layer whose content was seen before in the same text at the
@@ -17,7 +17,8 @@ Runs of the base64 alphabet may be glued to path segments or words and wrapped
 over lines, so each is joined over its line breaks and decoded at all four
 offsets. Compressed data may begin at any byte of a decoded layer and be
 followed by more; raw deflate data, which has no mark of its own, must fill a
-base64 run. Cut data give what they hold before the cut. Decoded bytes are taken
+base64 run. Cut or damaged data give what they hold before the cut or the damage, as
+far as their codec gives it out, a wrong checksum costs nothing. Decoded bytes are taken
 as Latin-1, a character each: the rules are ASCII, so bytes that are no UTF-8
 hide nothing, and each character maps to its place. An escape sign that is
 itself escaped four times or more is peeled in one step.
@@ -26,7 +27,8 @@ Edge cases: a null text is empty; an empty one has no spans. All layers of a
 text together may have ``most`` characters and ``PER_CHARACTER`` for each of the
 text's own; what would go beyond is not decoded but reported as a span of kind
 ``...>oversize``. Where base64 runs on into a word without padding, a span can
-end with the characters of that word.
+end with the characters of that word. Not decoded are UTF-16 in base64, and base64
+wrapped by a backslash and a letter.
 """
 
 from __future__ import annotations
@@ -56,14 +58,15 @@ LONG_HEX = re.compile(r"[0-9a-f]{32}")
 #: Rough tests on whole columns, in linear time: a text without a match has no span and no layer.
 MAYBE_SECRET = r"(?i:password|passwd|secret|token|apikey|api_key)|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
 #: A run of base64 has 15 characters at least: 11 bytes of zlib data can inflate to 32 hex digits, the plain secrets have 14 bytes or more.
-MAYBE_CODED = r"%[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|(?:[A-Za-z0-9+/_-](?:[ \t]*[\r\n][ \t\r\n]*)?){15}"
+MAYBE_CODED = r"%u?[0-9A-Fa-f]{2}|\\u\{?[0-9A-Fa-f]|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2}|(?:[A-Za-z0-9+/_-](?:[ \t]*[\r\n][ \t\r\n]*)?){15}"
 WORTH = re.compile(f"{MAYBE_SECRET}|{MAYBE_CODED}")
 
 #: An escape sign that is escaped four times or more, by either kind of escapes, is peeled in one step.
-PERCENT_ONE = re.compile(r"%(?:(?:25|5[cC](?:u005[cC]|x5[cC])*(?:u0025|x25)){4,})?([0-9A-Fa-f]{2})")
+PERCENT_ONE = re.compile(r"%(?:(?:25|5[cC](?:u005[cC]|x5[cC])*(?:u0025|x25)){4,})?(?:u([0-9A-Fa-f]{4})|([0-9A-Fa-f]{2}))")
 PERCENT = re.compile(f"(?:{PERCENT_ONE.pattern})+")
-ESCAPE = re.compile(r"\\(?:(?:u005[cC]|x5[cC]|(?:u0025|x25)(?:25)*5[cC]){4,})?(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2}))")
+ESCAPE = re.compile(r"\\(?:(?:u005[cC]|x5[cC]|(?:u0025|x25)(?:25)*5[cC]){4,})?(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|u\{0*([0-9A-Fa-f]{1,6})\}|U([0-9A-Fa-f]{8}))")
 ESCAPES = re.compile(f"(?:{ESCAPE.pattern})+")
+SURROGATES = re.compile("[\ud800-\udfff]")
 LEAST = 15
 BASE64 = re.compile(
     r"(?<![A-Za-z0-9+/_-])(?=(?:[A-Za-z0-9+/_-](?:[ \t]*+[\r\n][ \t\r\n]*+)?){15})"
@@ -85,6 +88,9 @@ HEADS = re.compile(
 
 CODECS = {1: "gzip", 2: "bzip2", 3: "xz", 4: "zstd", None: "zlib"}
 
+#: Damaged data that gave less hold no secret: the shortest has 14 characters.
+LEAST_LEFT = 14
+
 #: Characters that all layers of a text may have together, and how many more for each character of the text.
 MOST, PER_CHARACTER = 32_000_000, 64
 
@@ -183,14 +189,15 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode, name: str) -> Layer | N
 
 def _percent(m: re.Match):
     found = list(PERCENT_ONE.finditer(m[0]))
-    text = bytes.fromhex("".join([x[1] for x in found])).decode("latin-1")
+    text = "".join([chr(int(x[1] or x[2], 16)) for x in found])
+    text = SURROGATES.sub("�", text)
     return text, [(i, m.start() + x.start(), m.start() + x.end()) for i, x in enumerate(found)]
 
 
 def _escapes(m: re.Match):
     units, spots = [], []
     for x in ESCAPE.finditer(m[0]):
-        units.append(int(x[1] or x[2], 16))
+        units.append(min(int(x[1] or x[2] or x[3] or x[4], 16), 0x10FFFF))
         spots.append((m.start() + x.start(), m.start() + x.end()))
     text, where, i = [], [], 0
     while i < len(units):
@@ -203,22 +210,40 @@ def _escapes(m: re.Match):
     return "".join(text), where
 
 
-def _inflate(codec: str, raw: bytes, at: int, budget: Budget) -> tuple[bytes, int] | None:
-    """Data that begin at ``at``, unpacked, and where they end; None if they are broken. OverflowError beyond the budget.
-
-    Data are fed in small parts, so that a false start costs little.
-    """
-    zstd = codec == "zstd"
-    if zstd:
+def _decompressor(codec: str):
+    if codec == "zstd":
         import zstandard
 
-        d = zstandard.ZstdDecompressor().decompressobj()
-    else:
-        d = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "deflate": lambda: zlib.decompressobj(-15), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[codec]()
-    out, size = [], 64
+        return zstandard.ZstdDecompressor().decompressobj()
+    new = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "deflate": lambda: zlib.decompressobj(-15), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}
+    return new[codec]()
+
+
+def _before_damage(codec: str, raw: bytes, begin: int, last: int, end: int, budget: Budget) -> bytes:
+    """What zlib gives out of ``raw[last:end]``, the part it failed in, before it fails."""
+    d, out = _decompressor(codec), []
+    d.decompress(raw[begin:last])
+    try:
+        for at in range(last, end):
+            if data := d.decompress(raw[at : at + 1]):
+                budget.spend(len(data))
+                out.append(data)
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
+def _inflate(codec: str, raw: bytes, at: int, budget: Budget) -> tuple[bytes, int, bool] | None:
+    """Data that begin at ``at``, unpacked, where they end, and whether they are whole; None if there are none. OverflowError beyond the budget.
+
+    Data are fed in small parts, so that a false start costs little. Data that
+    are cut or damaged, or whose checksum is wrong, give what they hold before.
+    """
+    zstd, begin = codec == "zstd", at
+    d, out, size, last = _decompressor(codec), [], 64, at
     try:
         while at < len(raw) and not d.eof:
-            part = raw[at : at + size]
+            last, part = at, raw[at : at + size]
             at, size = at + len(part), min(2 * size, 256 if zstd else 1 << 16)
             budget.spend(len(part))
             data = d.decompress(part) if zstd else d.decompress(part, budget.left + 1)
@@ -226,15 +251,21 @@ def _inflate(codec: str, raw: bytes, at: int, budget: Budget) -> tuple[bytes, in
                 continue
             budget.spend(len(data))
             out.append(data)
-    except (zlib.error, lzma.LZMAError, OSError, EOFError, ValueError):
-        return None
+    except zlib.error as e:
+        # a wrong checksum comes after good data; other damage may be a false start, which the first parts tell
+        if "header" not in str(e) and (out or " check" in str(e)):
+            out.append(_before_damage(codec, raw, begin, last, at, budget))
+        kept = b"".join(out)
+        return (kept, at, False) if len(kept) >= LEAST_LEFT else None
+    except (lzma.LZMAError, OSError, EOFError, ValueError):
+        kept = b"".join(out)
+        return (kept, at, False) if len(kept) >= LEAST_LEFT else None
     except Exception as e:  # zstandard's own error class has no other base
         if not zstd or isinstance(e, OverflowError):
             raise
-        return None
-    if not d.eof and codec in ("deflate", "zlib"):
-        return None  # without an end these are taken for something else
-    return (b"".join(out), at - len(d.unused_data)) if out else None
+        kept = b"".join(out)
+        return (kept, at, False) if len(kept) >= LEAST_LEFT else None
+    return (b"".join(out), at - len(d.unused_data), d.eof) if out else None
 
 
 def _streams(raw: bytes, budget: Budget, whole: bool) -> Iterator[tuple[str, bytes | None, int, int]]:
@@ -253,13 +284,16 @@ def _streams(raw: bytes, budget: Budget, whole: bool) -> Iterator[tuple[str, byt
         except OverflowError:
             yield codec, None, at, len(raw)
             return
-        data, done = got
-        yield codec, data, at, done
+        data, end, complete = got
+        if complete:
+            done = end  # else it may be a false start, and others follow within it
+        yield codec, data, at, end
     if whole and not done and raw:
         try:
             got = _inflate("deflate", raw, 0, budget)
         except OverflowError:
-            return  # without a mark of its own it may be anything
+            yield "deflate", None, 0, len(raw)
+            return
         if got and got[1] == len(raw):
             yield "deflate", got[0], 0, len(raw)
 

@@ -231,3 +231,31 @@ def test_random_chains():
         before = "é" * rng.randrange(3) + " " + rng.choice(["", "x/", "id: ", "k_"])
         text = f"{before}{coded} after"
         assert any(len(before) <= s < e <= len(before) + len(coded) and not k.endswith("oversize") for s, e, k in ss.scan(text)[1]), (kind, text[:80])
+
+
+def test_nothing_is_lost_silently():
+    """Beyond the budget, cut, damaged or with a wrong checksum: a span, or what was held."""
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("ghijklmnopq") for _ in range(6))
+    plain = " ".join([*(word() for _ in range(300)), SECRET, *(word() for _ in range(900))])
+    bomb = ("z" * 3_000_000 + SECRET).encode()
+    for pack, name in ((deflated, "deflate"), (gzip.compress, "gzip"), (zlib.compress, "zlib")):
+        assert [k for *_, k in ss.scan(b64(pack(bomb)), most=100_000)[1]] == ["base64>oversize"]
+        assert [k for *_, k in ss.scan(b64(pack(bomb)))[1]] == [f"base64>{name}>assign"]
+        packed = pack(plain.encode())
+        half = packed[: len(packed) * 3 // 4]
+        assert f"base64>{name}>assign" in [k for *_, k in ss.scan(b64(half))[1]], name
+    for pack, name, tail in ((gzip.compress, "gzip", 8), (zlib.compress, "zlib", 4)):
+        packed = bytearray(pack(SECRET.encode()))
+        packed[-tail] ^= 255
+        assert [k for *_, k in ss.scan(b64(bytes(packed)))[1]] == [f"base64>{name}>assign"]
+        packed = bytearray(pack(plain.encode()))
+        packed[-len(packed) // 4] ^= 255
+        assert f"base64>{name}>assign" in [k for *_, k in ss.scan(b64(bytes(packed)))[1]], name
+
+
+def test_more_escapes():
+    for coded in ("".join(f"\\u{{{ord(c):x}}}" for c in SECRET), "".join(f"\\U{ord(c):08x}" for c in SECRET), "".join(f"%u{ord(c):04x}" for c in SECRET), "%u0070assword=hunter2hunter2", "\\u{70}assword=hunter2hunter2 \\u{110000}\\UFFFFFFFF%uD800"):
+        assert re.search(ss.MAYBE_CODED, coded)
+        assert [k.rpartition(">")[2] for *_, k in only(coded, 0, len(coded))] == ["assign"]
+    assert only("x %u0070assword=hunter2hunter2", 2, 30)[0][:2] == (2, 30)
