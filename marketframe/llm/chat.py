@@ -96,6 +96,13 @@ def paths_of(value, prefix: str = "") -> set[str]:
     return {prefix}
 
 
+def filled(paths) -> set[str]:
+    """Paths with each empty list as what its path stands for elsewhere, or else as a plain value."""
+    empty = {p for p in paths if p.endswith("[]")}
+    full = set(paths) - empty
+    return full | {p.removesuffix("[]") for p in empty if not any(x.startswith(f"{p}.") for x in full)}
+
+
 def fingerprint(paths) -> str:
     return hashlib.sha256("\n".join(sorted(paths)).encode()).hexdigest()[:16]
 
@@ -138,7 +145,7 @@ def layout_of(record, known: dict[str, Layout], cache: dict) -> Layout | None:
         return None
     paths = frozenset(paths_of(record))
     if paths not in cache:
-        cache[paths] = known.get(fingerprint(paths))
+        cache[paths] = known.get(fingerprint(paths)) or known.get(fingerprint(filled(paths)))
     layout = cache[paths]
     if layout and layout.turns and not all(isinstance(x, dict) for x in record[layout.turns]):
         return None
@@ -170,8 +177,11 @@ def format_chats(records: DataFrame, column: str = "record", layouts=LAYOUTS) ->
     """``records`` with ``layout``, ``formatted`` and ``loss_spans`` in place of the JSON in ``column``.
 
     ``column`` is parsed once; fields that no layout knows change the
-    fingerprint, so pass only the conversation's own fields.
+    fingerprint, so pass only the conversation's own fields. Columns of these
+    names that ``records`` already has are replaced.
     """
+    made_here = ("layout", "formatted", "loss_spans")
+    records = records.select(column, *[f"`{f.name}`" for f in records.schema if f.name != column and f.name.lower() not in made_here])
 
     def rows(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -89,3 +89,21 @@ def test_mixed_layouts_of_turn_tables(spark):
     mixed = {r.conv_id: r for r in chat.format_chats(chat.records_of_turns(df, mixed=True)).collect()}
     assert {k: (r.formatted, r.loss_spans) for k, r in mixed.items()} == {k: (r.formatted, r.loss_spans) for k, r in plain.items()}
     assert {k: r.layout for k, r in mixed.items()} == {1: "completion", 2: "shared", 3: "turns", 4: "shared", 5: "turns", 6: "shared"}
+
+
+def test_clashing_names_and_empty_lists(spark):
+    records = [
+        '{"messages": [{"role": "user", "content": []}, {"role": "assistant", "content": "x"}]}',
+        '{"messages": [{"role": "user", "content": []}, {"role": "assistant", "content": [{"type": "text", "text": "y"}]}]}',
+        '{"messages": [{"role": "user", "content": []}]}', '{"prompt": [], "completion": "z"}', '{"messages": []}', '{"who": []}',
+    ]
+    df = spark.createDataFrame([(i, r, "a", 1.5, "c", "d") for i, r in enumerate(records)], "id int, record string, layout string, formatted double, loss_spans string, Layout2 string")
+    got = chat.format_chats(df).orderBy("id").collect()
+    assert [(r.layout, chat.parse(r.formatted)) for r in got] == [
+        ("messages", [("user", ""), ("assistant", "x")]), ("message_parts", [("user", ""), ("assistant", "y")]), ("messages", [("user", "")]),
+        ("completion", [("user", ""), ("assistant", "z")]), ("messages", []), (None, []),
+    ]
+    assert got[0].Layout2 == "d"
+    one = chat.format_chats(spark.createDataFrame([(records[0],)], "layout string"), "layout").collect()
+    assert one[0].layout == "messages" and len(one[0]) == 3
+    assert chat.format_chats(df.limit(0)).collect() == []
