@@ -4,11 +4,14 @@ A model maps a feature array to the parameters of a mixture of normal or Poisson
 distributions: three stacked linear layers, tanh, and a linear head for each
 parameter (softplus keeps scales and rates positive).
 
-Fitting is data-parallel. A step is one Spark job: each partition sums the
-gradients of its rows for all models at once, the sums are added up in the
-cluster, and the driver applies Adam to parameters that are the only thing it
-holds. The k models of a k-fold evaluation are fitted in the same passes: a row
-counts for every model but its own fold's, which it validates.
+Fitting is data-parallel, by local steps and averaging. A pass is one Spark job:
+rows are dealt evenly to tasks, each of which makes a step for every mini-batch
+of its rows from the model it was given; the models and Adam's moments that the
+tasks arrive at are averaged in the cluster, and the driver holds nothing but
+parameters. One task makes plain mini-batch descent; more make as many steps a
+pass as one task's rows allow. The k models of a k-fold evaluation are fitted in
+the same passes: a row counts for every model but its own fold's, which it
+validates.
 """
 
 from __future__ import annotations
@@ -185,48 +188,83 @@ class Fitted:
     history: list[dict] = field(default_factory=list)
 
 
-class Adam:
-    def __init__(self, size: int, rate: float):
-        self.m, self.v, self.t, self.rate = np.zeros(size), np.zeros(size), 0, rate
+#: Groups that partial sums are added up in before they reach the driver.
+ADDERS = 8
+#: Rows that one task holds and steps over in a pass.
+ROWS = 100_000
+#: Rows of a step.
+BATCH = 64
+
+
+@dataclass
+class Learner:
+    """A model being fitted: its parameters, Adam's moments, and how many steps it has made."""
+
+    theta: np.ndarray
+    m: np.ndarray
+    v: np.ndarray
+    t: int = 0
 
-    def step(self, theta: np.ndarray, g: np.ndarray) -> np.ndarray:
+    @classmethod
+    def new(cls, theta: np.ndarray) -> Learner:
+        return cls(theta, np.zeros_like(theta), np.zeros_like(theta))
+
+    def step(self, g: np.ndarray, rate: float) -> None:
         self.t += 1
         self.m = 0.9 * self.m + 0.1 * g
         self.v = 0.999 * self.v + 0.001 * g * g
-        return theta - self.rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
+        self.theta = self.theta - rate * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8)
 
+    def sweep(self, shape: Shape, x: np.ndarray, y: np.ndarray, order: np.ndarray, batch: int, rate: float, l2: float) -> float:
+        """One step for each ``batch`` rows in ``order``; the sum of the losses that the rows had when they were used."""
+        total = 0.0
+        for at in range(0, len(order), batch):
+            rows = order[at : at + batch]
+            loss, g = loss_and_gradient(shape, self.theta, x[rows], y[rows])
+            self.step(g / len(rows) + l2 * self.theta, rate)
+            total += loss
+        return total
 
-#: Groups that partial sums are added up in before they reach the driver.
-ADDERS = 8
 
+@dataclass(frozen=True)
+class Schedule:
+    """How a fit steps: rows a step, sweeps of a task over its rows in a pass, rates of the sweeps of a pass, and whether it only measures."""
+
+    batch: int
+    rates: tuple[float, ...]
+    l2: float
+    seed: int
 
-def _pass(data: DataFrame, shape: Shape, thetas: list[np.ndarray], active: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """For each active model: (gradient sum, [train loss, train rows, validation loss, validation rows])."""
-    shared = data.sparkSession.sparkContext.broadcast((thetas, active))
 
-    def partial(batches: Iterator) -> Iterator:
+def _pass(data: DataFrame, shape: Shape, learners: dict[int, Learner], how: Schedule) -> dict[int, tuple[Learner, np.ndarray]]:
+    """For each model: the average of what the tasks made of it, weighted by their rows, and
+    [rows, train loss, rows stepped over, validation loss, validation rows, steps].
+
+    The validation loss is that of the model the pass began with.
+    """
+    shared = data.sparkSession.sparkContext.broadcast(learners)
+    size = shape.size()
+
+    def local(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        thetas, active = shared.value
-        sums = {j: [np.zeros(shape.size()), np.zeros(4)] for j in active}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.stack(batch.column("features").to_numpy(zero_copy_only=False)).astype(float)
-            y, fold = batch.column("y").to_numpy(), batch.column("fold").to_numpy()
-            for j in active:
-                own = fold == j
-                if (~own).any():
-                    loss, g = loss_and_gradient(shape, thetas[j], x[~own], y[~own])
-                    sums[j][0] += g
-                    sums[j][1][:2] += loss, (~own).sum()
-                if own.any():
-                    loss, _ = loss_and_gradient(shape, thetas[j], x[own], y[own], gradient=False)
-                    sums[j][1][2:] += loss, own.sum()
-        adder = TaskContext.get().partitionId() % ADDERS
-        rows = [(j, adder, np.concatenate(s).tolist()) for j, s in sums.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([adder] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))], ["model", "adder", "sums"])
+        part, parts = TaskContext.get().partitionId(), [b for b in batches if b.num_rows]
+        adder, rows = part % ADDERS, []
+        if parts:
+            x = np.concatenate([np.stack(b.column("features").to_numpy(zero_copy_only=False)).astype(float) for b in parts])
+            y, fold = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("y", "fold"))
+        for j, given in shared.value.items() if parts else ():
+            own, learner = fold == j, Learner(given.theta, given.m, given.v, given.t)
+            held = loss_and_gradient(shape, given.theta, x[own], y[own], gradient=False)[0] if own.any() else 0.0
+            mine, train = np.flatnonzero(~own), 0.0
+            for i, rate in enumerate(how.rates if len(mine) else ()):
+                order = mine[np.random.default_rng([how.seed, given.t, part, i]).permutation(len(mine))]
+                train += learner.sweep(shape, x, y, order, how.batch, rate, how.l2)
+            n = len(mine)
+            facts = [n, train, n * len(how.rates), held, own.sum(), learner.t - given.t]
+            rows.append((j, np.concatenate([n * learner.theta, n * learner.m, n * learner.v, [n * learner.t], facts])))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([adder] * len(rows), pa.int32()), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64()))], ["model", "adder", "sums"])
 
     def add(table):
         import pyarrow as pa
@@ -234,53 +272,63 @@ def _pass(data: DataFrame, shape: Shape, thetas: list[np.ndarray], active: list[
         total = np.sum(np.stack(table.column("sums").to_numpy()), axis=0)
         return pa.table({"model": pa.array([table.column("model")[0].as_py()], pa.int32()), "sums": pa.array([total.tolist()], pa.list_(pa.float64()))})
 
-    parts = data.mapInArrow(partial, "model int, adder int, sums array<double>")
+    parts = data.mapInArrow(local, "model int, adder int, sums array<double>")
     # ADDERS rows per model reach the driver, whatever the number of partitions
     added = parts.groupBy("model", "adder").applyInArrow(add, "model int, sums array<double>").collect()
     shared.unpersist()
     out = {}
-    for j in active:
-        total = np.sum([np.array(r.sums) for r in added if r.model == j], axis=0)
-        out[j] = (total[:-4], total[-4:])
+    for j, given in learners.items():
+        total = np.sum([np.zeros(3 * size + 7), *(np.array(r.sums) for r in added if r.model == j)], axis=0)
+        facts, n = total[-6:], total[-6]
+        if n and how.rates:
+            mean = total[:-6] / n
+            given = Learner(mean[:size], mean[size : 2 * size], mean[2 * size : 3 * size], round(mean[-1]))
+        out[j] = given, facts
     return out
 
 
+def _dealt(df: DataFrame, features: str, y: str, fold: str | None) -> DataFrame:
+    """The rows of a fit, dealt evenly to tasks of at most about ``ROWS`` rows, whatever is in them."""
+    data = df.select(F.col(features).cast("array<double>").alias("features"), F.col(y).cast("double").alias("y"), (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold")).dropna()
+    data = data.where(~F.exists("features", lambda x: x.isNull()))
+    return data.repartition(max(1, -(-data.count() // ROWS))).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def fit(
     df: DataFrame, shape: Shape, features: str = "features", y: str = "y", fold: str | None = None, models: int = 1, epochs: int = 100, rate: float = 0.01,
-    l2: float = 0.0, patience: int | None = None, seed: int = 42,
+    l2: float = 0.0, patience: int | None = None, seed: int = 42, batch: int = BATCH, sweeps: int = 1, anneal: bool = False,
 ) -> Fitted:
     """Fit one model per fold. Model j learns from rows whose ``fold`` isn't j and is validated on those whose is.
 
-    Without ``fold`` one model learns from all rows. With ``patience`` a model
-    whose validation loss hasn't improved for that many epochs stops; the best
-    parameters seen are kept, as copies. Rows with a null feature or target are
-    left out.
+    Without ``fold`` one model learns from all rows. An epoch is a pass over the
+    rows in one Spark job: each task makes an Adam step for each ``batch`` of its
+    rows, ``sweeps`` times over, and the tasks' models are averaged. With
+    ``anneal`` the rate falls evenly to 0. With ``patience`` a model whose
+    validation loss (of the averaged model) hasn't improved for that many epochs
+    stops; the best parameters seen are kept. A last pass validates what the last
+    epoch made. Rows with a null feature or target are left out.
     """
-    data = df.select(F.col(features).cast("array<double>").alias("features"), F.col(y).cast("double").alias("y"), (F.col(fold) if fold else F.lit(-1)).cast("int").alias("fold")).dropna()
-    data = data.where(~F.exists("features", lambda x: x.isNull())).persist(StorageLevel.MEMORY_AND_DISK)
+    data = _dealt(df, features, y, fold)
     try:
-        thetas = [shape.first(seed + j) for j in range(models)]
-        adams = [Adam(shape.size(), rate) for _ in range(models)]
-        best, best_loss, waited = [t.copy() for t in thetas], [math.inf] * models, [0] * models
-        active, history = list(range(models)), []
-        for epoch in range(epochs):
-            got = _pass(data, shape, thetas, active)
-            row = {"epoch": epoch, "train": {}, "validation": {}}
-            still = []
-            for j in active:
-                g, (train, n, held, m) = got[j]
-                row["train"][j], row["validation"][j] = (train / n if n else math.nan), (held / m if m else math.nan)
+        learners = {j: Learner.new(shape.first(seed + j)) for j in range(models)}
+        thetas = [x.theta for x in learners.values()]
+        best, best_loss, waited, history = list(thetas), [math.inf] * models, [0] * models, []
+        for epoch in range(epochs + (fold is not None)):
+            falls = lambda i, epoch=epoch: 1 - (epoch * sweeps + i) / (epochs * sweeps) if anneal else 1.0
+            rates = tuple(rate * falls(i) for i in range(sweeps)) if epoch < epochs else ()
+            got = _pass(data, shape, learners, Schedule(batch, rates, l2, seed))
+            row, still = {"epoch": epoch, "train": {}, "validation": {}, "steps": {}}, {}
+            for j, (after, (_, train, seen, held, m, steps)) in got.items():
+                row["train"][j], row["validation"][j], row["steps"][j] = (train / seen if seen else math.nan), (held / m if m else math.nan), int(steps)
                 if m and held / m < best_loss[j]:
-                    best_loss[j], best[j], waited[j] = held / m, thetas[j].copy(), 0
+                    best_loss[j], best[j], waited[j] = held / m, learners[j].theta, 0
                 elif m:
                     waited[j] += 1
                 if patience is not None and waited[j] >= patience:
                     continue
-                if n:
-                    thetas[j] = adams[j].step(thetas[j], g / n + l2 * thetas[j])
-                still.append(j)
+                thetas[j], still[j] = after.theta, after
             history.append(row)
-            if not (active := still):
+            if not (learners := still):
                 break
         kept = [best[j] if patience is not None and best_loss[j] < math.inf else thetas[j] for j in range(models)]
         return Fitted(shape, kept, history)

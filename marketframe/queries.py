@@ -897,14 +897,22 @@ def m8_ensemble_scores(spark, sf_dir):
 @query()
 def m4_fit_normal(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    fitted = mixture.fit(df, _shape(df, "normal"))
+    fitted = mixture.fit(df, _shape(df, "normal"), epochs=10, batch=32)
     return mixture.log_prob(mixture.scored(df, fitted), fitted.shape).select("vec_id", "pred", "log_prob")
 
 
+@query("SELECT round(avg(label::DOUBLE), 2) AS mean, round(stddev_pop(label::DOUBLE), 2) AS scale FROM embeddings")
+def m4_fit_moments(spark, sf_dir):
+    """One component without features: the fit must arrive at the mean and the deviation of the target."""
+    df = labelled(spark, sf_dir).select("vec_id", F.array(F.lit(0.0)).alias("features"), "y")
+    fitted = mixture.fit(df, mixture.Shape(1, 2, 1), epochs=4, batch=mixture.ROWS, sweeps=400, rate=0.05, anneal=True)
+    return rounded(mixture.scored(df, fitted).select(F.col("means")[0].alias("mean"), F.col("scales")[0].alias("scale")), 2).distinct()
+
+
 @query()
 def m3_fit_poisson(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    fitted = mixture.fit(df, _shape(df, "poisson"))
+    fitted = mixture.fit(df, _shape(df, "poisson"), epochs=10, batch=32)
     return mixture.log_prob(mixture.scored(df, fitted), fitted.shape).select("vec_id", "pred", "log_prob")
 
 

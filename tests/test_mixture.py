@@ -88,3 +88,32 @@ def test_log_prob_matches_numpy(spark):
 def test_folds(spark):
     got = mx.folds(spark.range(1000), "id", 5).groupBy("fold").count().collect()
     assert {r.fold for r in got} == {0, 1, 2, 3, 4} and all(140 < r["count"] < 260 for r in got)
+
+
+def test_local_steps_are_averaged(spark, monkeypatch):
+    """Several tasks: each steps over its own rows, and the weighted mean of what they arrive at goes on."""
+    df = frame(spark, 300)
+    one = mx.fit(df, mx.Shape(2, 4, 2), epochs=3, rate=0.02, batch=5)
+    assert [h["steps"][0] for h in one.history] == [60, 60, 60]
+    monkeypatch.setattr(mx, "ROWS", 100)
+    three = mx.fit(df, mx.Shape(2, 4, 2), epochs=3, rate=0.02, batch=5)
+    assert [h["steps"][0] for h in three.history] == [60, 60, 60]
+    assert three.history[-1]["train"][0] < three.history[0]["train"][0] - 0.2
+    # steps of no size: the average of equal models is the model
+    still = mx.fit(df, mx.Shape(2, 4, 2), epochs=2, rate=0.0)
+    assert np.allclose(still.thetas[0], mx.Shape(2, 4, 2).first(42))
+
+
+def test_moments_of_one_component(spark):
+    """A normal component without features has the mean and the deviation of the target in closed form."""
+    y = np.random.default_rng(8).normal(2.5, 1.7, 500)
+    df = spark.createDataFrame([([0.0], float(v)) for v in y], "features array<double>, y double")
+    fitted = mx.fit(df, mx.Shape(1, 2, 1), epochs=2, batch=1000, sweeps=600, rate=0.05, anneal=True)
+    got = mx.scored(df, fitted).first()
+    assert got.means[0] == pytest.approx(y.mean(), abs=1e-3) and got.scales[0] == pytest.approx(y.std(), abs=1e-3)
+
+
+def test_no_rows(spark):
+    df = frame(spark, 5)
+    fitted = mx.fit(df.limit(0), mx.Shape(2, 3, 2), epochs=2)
+    assert np.allclose(fitted.thetas[0], mx.Shape(2, 3, 2).first(42)) and math.isnan(fitted.history[0]["train"][0])
