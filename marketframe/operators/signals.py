@@ -4,16 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketframe.operators.blocks import last_values, rows_before, running_sums
 from marketframe.operators.scan import automaton
 
 
-def _series(groups: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*groups).orderBy(*order)
-
-
 def in_range(df: DataFrame, col: str, low: float, high: float, to: str) -> DataFrame:
     """Whether ``low <= col <= high``."""
     return df.withColumn(to, F.col(col).between(low, high))
@@ -24,10 +21,10 @@ def fired_at(df: DataFrame, fires: dict[str, tuple[str, object]], ts: str) -> Da
     return df.withColumns({to: F.when(F.col(c) == value, F.col(ts)) for to, (c, value) in fires.items()})
 
 
-def forward_filled(df: DataFrame, cols: Sequence[str], groups: Sequence[str], order: Sequence[str]) -> DataFrame:
+def forward_filled(df: DataFrame, cols: Sequence[str], groups: Sequence[str], order: Sequence[str], block: Column | None = None) -> DataFrame:
     """The last value up to each row in place of nulls."""
-    w = _series(groups, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in cols})
+    found = last_values(df, groups, order, block, {f"__last{i}": c for i, c in enumerate(cols)}, own=True)
+    return found.withColumns({c: F.col(f"__last{i}") for i, c in enumerate(cols)}).drop(*[f"__last{i}" for i in range(len(cols))])
 
 
 def recent(df: DataFrame, ts: str, fired: dict[str, str], within: str = "10 MINUTES") -> DataFrame:
@@ -56,22 +53,23 @@ def positions(
     return walked.withColumn(to, F.when(F.col("__side") == 1, 1).when(F.col("__side") == 2, -1).otherwise(0)).drop("__side")
 
 
-def pct_change(df: DataFrame, col: str, groups: Sequence[str], order: Sequence[str], to: str) -> DataFrame:
+def pct_change(df: DataFrame, col: str, groups: Sequence[str], order: Sequence[str], to: str, block: Column | None = None) -> DataFrame:
     """The value over the last one before it, less 1; null for a null value."""
-    before = _series(groups, order).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(to, F.try_divide(F.col(col), F.last(col, ignorenulls=True).over(before)) - 1)
+    found = last_values(df, groups, order, block, {"__last": col}, own=False)
+    return found.withColumn(to, F.try_divide(F.col(col), F.col("__last")) - 1).drop("__last")
 
 
 def strategy_returns(
-    df: DataFrame, returns: str, position: str, groups: Sequence[str], order: Sequence[str], to: str = "strategy_return", total: str = "cumulative_return", lag_position: bool = False
-) -> DataFrame:
+    df: DataFrame, returns: str, position: str, groups: Sequence[str], order: Sequence[str], to: str = "strategy_return", total: str = "cumulative_return",
+    lag_position: bool = False, block: Column | None = None,
+) -> DataFrame:
     """Return times position, and its running sum, null where the product is.
 
     ``lag_position`` takes the position of the row before, which was held at the
     start of the period; otherwise the row's own.
     """
-    w = _series(groups, order)
-    held = F.lag(position, 1).over(w) if lag_position else F.col(position)
-    out = df.withColumn(to, F.col(returns) * held)
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return out.withColumn(total, F.when(F.col(to).isNotNull(), F.sum(to).over(so_far)))
+    held = F.col(position)
+    if lag_position:
+        df, held = rows_before(df, groups, order, block, [position], 1, "__rows"), F.get("__rows", F.lit(0))[position]
+    out = running_sums(df.withColumn(to, F.col(returns) * held).drop("__rows"), groups, order, block, {total: to})
+    return out.withColumn(total, F.when(F.col(to).isNotNull(), F.col(total)))

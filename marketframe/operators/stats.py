@@ -1,26 +1,28 @@
 """Grouped, cumulative, shifted and rolling statistics of keyed tables.
 
-All columns of a call share one window, so each operator costs one shuffle and
-one sort whatever the number of columns. Frames count rows, not values.
+All columns of a call share one shuffle of the rows, whatever their number.
+Frames count rows, not values. Ordered statistics take ``block``, an expression
+that cuts a series in parts along its order (its day, say), which are worked on
+in tasks of their own; without it a series is one task. Results are the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketframe.functions.columns import require, stat_name, union
 from marketframe.keyed import KeyedTable
+from marketframe.operators.blocks import moments_of, rows_before, running_moments
 
 
-def _ordered(table: KeyedTable, groups: Sequence[str]):
-    """A window by ``groups`` in the table's order, less what the groups fix."""
-    order = [c for c in table.order_by if c not in groups]
+def _order(table: KeyedTable, groups: Sequence[str]) -> list[str]:
+    """The columns that order a series: the table's, less what the groups fix."""
     if not groups:
         raise ValueError("an ordered statistic needs groups: without them all rows would meet in one task")
-    return Window.partitionBy(*groups).orderBy(*(order or groups))
+    return [c for c in table.order_by if c not in groups] or list(groups)
 
 
 def grouped_sums(table: KeyedTable, groups: Sequence[str], cols: Sequence[str]) -> KeyedTable:
@@ -43,68 +45,63 @@ def summary_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str],
     return KeyedTable(table.df.groupBy(*groups).agg(*out), tuple(groups), tuple(groups))
 
 
-def shifted(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], n: int = 1) -> KeyedTable:
+def shifted(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], n: int = 1, block: Column | None = None) -> KeyedTable:
     """The values 1 to ``n`` rows before, as ``shifted_col_i``."""
     require(table.df.columns, [*groups, *cols])
-    w = _ordered(table, groups)
-    more = {f"shifted_{c}_{i}": F.lag(c, i).over(w) for c in cols for i in range(1, n + 1)}
-    return table.with_df(table.df.withColumns(more))
+    found = rows_before(table.df, groups, _order(table, groups), block, cols, n, "__rows")
+    at = lambda i: F.get("__rows", F.size("__rows") - i)
+    return table.with_df(found.withColumns({f"shifted_{c}_{i}": at(i)[c] for c in cols for i in range(1, n + 1)}).drop("__rows"))
 
 
-def _cumulative(sources: dict[str, Column], w, attr: str, affix: str) -> list[Column]:
-    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _cumulative(df: DataFrame, table: KeyedTable, groups: Sequence[str], names: Sequence[str], attr: str, affix: str, block: Column | None) -> KeyedTable:
+    found = running_moments(df, groups, _order(table, groups), block, {f"__m{i}": c for i, c in enumerate(names)})
     out = []
-    for name, x in sources.items():
-        held = x.isNotNull()
-        out.append(F.when(held, F.avg(x).over(so_far)).alias(stat_name(attr, name, "cuml_mean", affix)))
-        out.append(F.when(held, F.stddev_samp(x).over(so_far)).alias(stat_name(attr, name, "cuml_std", affix)))
-    out.append(F.count(next(iter(sources.values()))).over(so_far).alias(stat_name(attr, "count", "cuml_n", affix)))
-    return out
+    for i, name in enumerate(names):
+        for part in ("mean", "std"):
+            out.append(F.when(F.col(name).isNotNull(), F.col(f"__m{i}")[part]).alias(stat_name(attr, name, f"cuml_{part}", affix)))
+    out.append(F.col("__m0")["n"].alias(stat_name(attr, "count", "cuml_n", affix)))
+    return KeyedTable(found.select(*table.primary_key, *out), table.primary_key, table.primary_key)
 
 
-def cumulative_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], attr: str, affix: str = "") -> KeyedTable:
+def cumulative_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], attr: str, affix: str = "", block: Column | None = None) -> KeyedTable:
     """Running mean, sample deviation and count up to each row: the key and the statistics.
 
     Where the value is null so are mean and deviation; the count carries on.
     """
     require(table.df.columns, [*groups, *cols])
-    out = _cumulative({c: F.col(c) for c in cols}, _ordered(table, groups), attr, affix)
-    return KeyedTable(table.df.select(*table.primary_key, *out), table.primary_key, table.primary_key)
+    return _cumulative(table.df, table, groups, cols, attr, affix, block)
 
 
-def offset_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], attr: str, affix: str = "") -> KeyedTable:
+def offset_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], attr: str, affix: str = "", block: Column | None = None) -> KeyedTable:
     """As ``cumulative_stats``, of the rows before each row, under the names of the shifted columns."""
-    require(table.df.columns, [*groups, *cols])
-    w = _ordered(table, groups)
-    lagged = table.df.withColumns({f"shifted_{c}_1": F.lag(c, 1).over(w) for c in cols})
-    out = _cumulative({f"shifted_{c}_1": F.col(f"shifted_{c}_1") for c in cols}, w, attr, affix)
-    return KeyedTable(lagged.select(*table.primary_key, *out), table.primary_key, table.primary_key)
+    lagged = shifted(table, groups, cols, 1, block).df
+    return _cumulative(lagged, table, groups, [f"shifted_{c}_1" for c in cols], attr, affix, block)
 
 
 def rolling_names(cols: Sequence[str], attr: str, window: int) -> dict[str, tuple[str, str]]:
     return {c: (stat_name(attr, c, "mean", f"rolling_{window}"), stat_name(attr, c, "std", f"rolling_{window}")) for c in cols}
 
 
-def rolling_stats(table: KeyedTable, over: Sequence[str], cols: Sequence[str], attr: str, window: int) -> KeyedTable:
+def rolling_stats(table: KeyedTable, over: Sequence[str], cols: Sequence[str], attr: str, window: int, block: Column | None = None) -> KeyedTable:
     """The table with mean and sample deviation of the ``window`` rows before each row; null until all have values."""
     require(table.df.columns, [*over, *cols])
-    before = _ordered(table, over).rowsBetween(-window, -1)
+    found = rows_before(table.df, over, _order(table, over), block, cols, window, "__rows")
     more = {}
-    for c, (mean, std) in rolling_names(cols, attr, window).items():
-        full = F.count(c).over(before) == window
-        more[mean] = F.when(full, F.avg(c).over(before))
-        more[std] = F.when(full, F.stddev_samp(c).over(before))
-    return table.with_df(table.df.withColumns(more))
+    for i, (c, (mean, std)) in enumerate(rolling_names(cols, attr, window).items()):
+        found = found.withColumn(f"__m{i}", moments_of("__rows", c))
+        full = F.col(f"__m{i}")["n"] == window
+        more |= {mean: F.when(full, F.col(f"__m{i}")["mean"]), std: F.when(full, F.col(f"__m{i}")["std"])}
+    return table.with_df(found.withColumns(more).drop("__rows", *[f"__m{i}" for i in range(len(cols))]))
 
 
-def grouped_rolling_stats(table: KeyedTable, over: Sequence[str], groups: Sequence[str], cols: Sequence[str], attr: str, window: int) -> KeyedTable:
+def grouped_rolling_stats(table: KeyedTable, over: Sequence[str], groups: Sequence[str], cols: Sequence[str], attr: str, window: int, block: Column | None = None) -> KeyedTable:
     """By group, the mean of the rolling means and the deviation of the mean of rolling deviations.
 
     The rolling statistics are added if they aren't there.
     """
     names = rolling_names(cols, attr, window)
     have = all(n in table.df.columns for pair in names.values() for n in pair)
-    df = (table if have else rolling_stats(table, over, cols, attr, window)).df
+    df = (table if have else rolling_stats(table, over, cols, attr, window, block)).df
     out = []
     for mean, std in names.values():
         out.append(F.avg(mean).alias(f"group_{mean}"))

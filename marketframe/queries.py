@@ -13,9 +13,10 @@ from marketframe.functions import dates
 from marketframe.functions import math as fm
 from marketframe.keyed import KeyedTable
 from marketframe.operators import bars, indicators, mixture, nested, options, signals, stats
+from marketframe.operators.blocks import rows_before
 from marketframe.plans.pipeline import Pipeline
 from marketframe.sources import lake, tables
-from marketframe.sources.scratch import scratch
+from marketframe.sources.scratch import scratch, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -192,14 +193,14 @@ def a2_summary_stats(spark, sf_dir):
 @query(GAPPY + """SELECT event_id, lag(value, 1) OVER w AS shifted_value_1, lag(value, 2) OVER w AS shifted_value_2, lag(value, 3) OVER w AS shifted_value_3
 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def w1_shifted(spark, sf_dir):
-    return stats.shifted(gappy(spark, sf_dir), ["user_id"], ["value"], 3).df.select("event_id", *[f"shifted_value_{i}" for i in (1, 2, 3)])
+    return stats.shifted(gappy(spark, sf_dir), ["user_id"], ["value"], 3, day_block()).df.select("event_id", *[f"shifted_value_{i}" for i in (1, 2, 3)])
 
 
 @query(GAPPY + """SELECT event_id, CASE WHEN value IS NOT NULL THEN round(avg(value) OVER w, 8) END AS u_value_cuml_mean,
 CASE WHEN value IS NOT NULL THEN round(stddev_samp(value) OVER w, 8) END AS u_value_cuml_std, count(value) OVER w AS u_count_cuml_n
 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w2_cumulative_stats(spark, sf_dir):
-    return rounded(stats.cumulative_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u").df, 8)
+    return rounded(stats.cumulative_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u", block=day_block()).df, 8)
 
 
 @query(GAPPY + """, s AS (SELECT *, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS x FROM e)
@@ -207,7 +208,7 @@ SELECT event_id, CASE WHEN x IS NOT NULL THEN round(avg(x) OVER w, 8) END AS u_s
 CASE WHEN x IS NOT NULL THEN round(stddev_samp(x) OVER w, 8) END AS u_shifted_value_1_cuml_std, count(x) OVER w AS u_count_cuml_n
 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def w3_offset_stats(spark, sf_dir):
-    return rounded(stats.offset_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u").df, 8)
+    return rounded(stats.offset_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u", block=day_block()).df, 8)
 
 
 ROLLING = """, r AS (SELECT event_id, event_type, CASE WHEN count(value) OVER w = 5 THEN avg(value) OVER w END AS m, CASE WHEN count(value) OVER w = 5 THEN stddev_samp(value) OVER w END AS s
@@ -216,12 +217,12 @@ FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PR
 
 @query(GAPPY + ROLLING + "SELECT event_id, round(m, 6) AS u_rolling_5_value_mean, round(s, 6) AS u_rolling_5_value_std FROM r")
 def w4_rolling_stats(spark, sf_dir):
-    return rounded(stats.rolling_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u", 5).df.select("event_id", "u_rolling_5_value_mean", "u_rolling_5_value_std"))
+    return rounded(stats.rolling_stats(gappy(spark, sf_dir), ["user_id"], ["value"], "u", 5, day_block()).df.select("event_id", "u_rolling_5_value_mean", "u_rolling_5_value_std"))
 
 
 @query(GAPPY + ROLLING + "SELECT event_type, round(avg(m), 6) AS group_u_rolling_5_value_mean, round(sqrt(avg(s * s) / nullif(count(s), 0)), 6) AS group_u_rolling_5_value_std FROM r GROUP BY event_type")
 def a3_grouped_rolling_stats(spark, sf_dir):
-    return rounded(stats.grouped_rolling_stats(gappy(spark, sf_dir), ["user_id"], ["event_type"], ["value"], "u", 5).df)
+    return rounded(stats.grouped_rolling_stats(gappy(spark, sf_dir), ["user_id"], ["event_type"], ["value"], "u", 5, day_block()).df)
 
 
 @query(DAILY + """, c AS (SELECT user_id, day, avg(value) AS m, stddev_samp(value) AS d FROM d GROUP BY ALL)
@@ -295,7 +296,7 @@ def day_block() -> Column:
 @query(f"""SELECT event_id, round(d, 6) + 0.0 AS delta, round(greatest(coalesce(d, 0), 0), 6) + 0.0 AS gain, round(greatest(coalesce(-d, 0), 0), 6) + 0.0 AS loss
 FROM (SELECT event_id, value - lag(value) OVER {OVER} AS d FROM events)""")
 def w5_changes(spark, sf_dir):
-    return rounded(indicators.changes(series(spark, sf_dir), "value", SERIES, ORDER).select("event_id", "delta", "gain", "loss"))
+    return rounded(indicators.changes(series(spark, sf_dir), "value", SERIES, ORDER, day_block()).select("event_id", "delta", "gain", "loss"))
 
 
 RSI = f"""WITH d AS (SELECT *, value - lag(value) OVER {OVER} AS d FROM events),
@@ -305,7 +306,7 @@ r AS (SELECT event_id, event_type, ts, value, CASE WHEN n < 14 THEN NULL WHEN l
 
 
 def with_rsi(spark, sf_dir) -> DataFrame:
-    return indicators.rsi(series(spark, sf_dir), "value", 14, SERIES, ORDER)
+    return indicators.rsi(series(spark, sf_dir), "value", 14, SERIES, ORDER, block=day_block())
 
 
 @query(RSI + 'SELECT event_id, round(rsi, 6) AS "RSI" FROM r')
@@ -350,10 +351,12 @@ c AS (SELECT *, CASE WHEN p <= 50 AND q > 50 THEN 1 WHEN p >= 50 AND q < 50 THEN
 
 
 def crossed(spark, sf_dir) -> DataFrame:
-    df = with_rsi(spark, sf_dir).withColumn("RSI", F.round("RSI", 4))
-    w = F.expr("avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
-    df = indicators.crossover(df.withColumn("mean", w), "RSI", 50, SERIES, ORDER, "half")
-    return indicators.crossover(df, "value", "mean", SERIES, ORDER, "own")
+    df = stored(with_rsi(spark, sf_dir), "rsi").withColumn("RSI", F.round("RSI", 4))
+    df = rows_before(df, SERIES, ORDER, day_block(), ["value"], 9, "last")
+    total = F.aggregate("last", F.col("value"), lambda s, x: s + x["value"])
+    df = stored(df.withColumn("mean", total / (F.size("last") + 1)).drop("last"), "rsi")
+    df = indicators.crossover(df, "RSI", 50, SERIES, ORDER, "half", day_block())
+    return indicators.crossover(df, "value", "mean", SERIES, ORDER, "own", day_block())
 
 
 @query(CROSSED + "SELECT event_id, half, own FROM c")
@@ -378,7 +381,7 @@ FIRES = {"up_at": ("half", 1), "over_at": ("own", 1), "down_at": ("half", -1), "
 
 
 def filled(spark, sf_dir) -> DataFrame:
-    return signals.forward_filled(signals.fired_at(crossed(spark, sf_dir), FIRES, "ts"), list(FIRES), SERIES, ORDER)
+    return signals.forward_filled(signals.fired_at(stored(crossed(spark, sf_dir), "crossed"), FIRES, "ts"), list(FIRES), SERIES, ORDER, day_block())
 
 
 @query(FILLED + "SELECT event_id, up_at, over_at, down_at, under_at FROM z")
@@ -401,7 +404,7 @@ def w11_recent_signals(spark, sf_dir):
 
 @query(GAPPY + f"""SELECT event_id, round(value / nullif(last_value(value IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1, 6) AS change FROM e""")
 def w12_pct_change(spark, sf_dir):
-    return rounded(signals.pct_change(gappy(spark, sf_dir).df, "value", ["user_id"], ["ts", "event_id"], "change").select("event_id", "change"))
+    return rounded(signals.pct_change(gappy(spark, sf_dir).df, "value", ["user_id"], ["ts", "event_id"], "change", day_block()).select("event_id", "change"))
 
 
 WALKED = RECENT.replace("WITH d AS", "WITH RECURSIVE d AS") + f""", n AS (SELECT event_id, event_type, ts, value, coalesce(up AND above, false) AS li, coalesce(down, false) AS lo, coalesce(down AND under, false) AS si, coalesce(up, false) AS so,
@@ -414,7 +417,7 @@ FROM p JOIN n ON n.event_type = p.event_type AND n.i = p.i + 1) """
 
 
 def positioned(spark, sf_dir) -> DataFrame:
-    return signals.positions(entries(spark, sf_dir), "go_long", "down", "go_short", "up", SERIES, ORDER, day_block())
+    return signals.positions(stored(entries(spark, sf_dir), "entries"), "go_long", "down", "go_short", "up", SERIES, ORDER, day_block())
 
 
 @query(WALKED + "SELECT event_id, position FROM p")
@@ -425,8 +428,8 @@ def w15_positions(spark, sf_dir):
 @query(WALKED + f""", q AS (SELECT *, value / nullif(lag(value) OVER {OVER}, 0) - 1 AS r, lag(position) OVER {OVER} AS held FROM p), u AS (SELECT *, r * held AS g FROM q)
 SELECT event_id, round(g, 6) + 0.0 AS strategy_return, CASE WHEN g IS NOT NULL THEN round(sum(g) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 6) + 0.0 END AS cumulative_return FROM u""")
 def w13_strategy_returns(spark, sf_dir):
-    moved = signals.pct_change(positioned(spark, sf_dir), "value", SERIES, ORDER, "r")
-    return rounded(signals.strategy_returns(moved, "r", "position", SERIES, ORDER, lag_position=True).select("event_id", "strategy_return", "cumulative_return"))
+    moved = stored(signals.pct_change(stored(positioned(spark, sf_dir), "positions"), "value", SERIES, ORDER, "r", day_block()), "moved")
+    return rounded(signals.strategy_returns(moved, "r", "position", SERIES, ORDER, lag_position=True, block=day_block()).select("event_id", "strategy_return", "cumulative_return"))
 
 
 # -- options
@@ -938,7 +941,7 @@ def flagship(spark, sf_dir) -> DataFrame:
     steps = Pipeline(
         [
             lambda t: t.deduped("first"),
-            lambda t: stats.rolling_stats(t, ["event_type"], ["value"], "e", 5),
+            lambda t: stats.rolling_stats(t, ["event_type"], ["value"], "e", 5, day_block()),
         ]
     )
     events = KeyedTable(table(spark, sf_dir, "events"), ("event_id",), ("event_id", "event_type", "user_id"), ("value",), ("ts", "event_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,15 @@ def scratch(spark: SparkSession, name: str) -> str:
         found = tempfile.mkdtemp(prefix="spark-scratch-")
         spark.sparkContext.setCheckpointDir(found)
     return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read again.
+
+    An operator that joins rows with summaries of themselves reads its input
+    twice, so a chain of them would read its source ever more often; between
+    them, this reads it once, and a lost executor costs no recomputation.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
