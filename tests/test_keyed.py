@@ -1,22 +1,28 @@
+"""Keyed tables: rows are made by a rule here, and what is expected follows from them in plain Python."""
+
+from collections import Counter
+
 import pytest
 
 from marketframe.functions.columns import intersection, require, stat_name, sym_diff, union
 from marketframe.keyed import KeyedTable
 from marketframe.plans.pipeline import Pipeline
 
-CLEAN = [(1, "birch", "a.grove"), (2, "cedar", "b.grove"), (3, "elder", "c.grove"), (4, "fir", "d.grove"), (5, "hazel", "e.grove")]
-DUPLICATED = [(1, "birch", "a.grove"), (2, "cedar", "b.grove"), (2, "cedar", "b2.grove"), (4, "fir", "d.grove"), (5, "hazel", "e.grove")]
-SCHEMA = "id bigint, name string, email string"
+KEY = ("site", "probe")
+SCHEMA = "site string, probe int, taken int, level double"
+#: Every probe of every site once; and with each probe p read p times, at times that fall.
+ONCE = [(f"s{s}", p, 100 * s + p, s / (p + 1)) for s in range(3) for p in range(1, 5)]
+OFTEN = [(f"s{s}", p, 50 - 7 * k - s, k + p / 10) for s in range(3) for p in range(1, 5) for k in range(p)]
 
 
 @pytest.fixture
-def clean(spark):
-    return KeyedTable(spark.createDataFrame(CLEAN, SCHEMA), ("id",))
+def once(spark):
+    return KeyedTable(spark.createDataFrame(ONCE, SCHEMA), KEY)
 
 
 @pytest.fixture
-def duplicated(spark):
-    return KeyedTable(spark.createDataFrame(DUPLICATED, SCHEMA), ("id",), order_by=("email",))
+def often(spark):
+    return KeyedTable(spark.createDataFrame(OFTEN, SCHEMA).repartition(3), KEY, order_by=("taken",))
 
 
 def test_column_lists():
@@ -30,85 +36,96 @@ def test_column_lists():
         require(["a"], ["a", "z"])
 
 
-def test_keys(clean, duplicated, rows, spark):
-    assert clean.is_key() and not duplicated.is_key()
-    clean.assert_key()
-    with pytest.raises(AssertionError):
-        duplicated.assert_key()
-    assert [r[0] for r in rows(duplicated.duplicate_rows())] == [2, 2]
-    assert KeyedTable(duplicated.df, ("name", "email")).is_key()
-    assert not KeyedTable(duplicated.df, ("id", "name")).is_key()
-    nulls = KeyedTable(spark.createDataFrame([(None, 1), (None, 1)], "a bigint, b bigint"), ("a", "b"))
-    assert not nulls.is_key()
-
-
-@pytest.mark.parametrize(("keep", "email"), [("first", "b.grove"), ("last", "b2.grove")])
-def test_dedupe_in_order(duplicated, rows, keep, email):
-    got = rows(duplicated.deduped(keep).df)
-    assert len(got) == 4 and (2, "cedar", email) in got
-
-
-def test_dedupe(duplicated, clean, rows):
-    assert len(rows(duplicated.deduped("any").df)) == 4
-    assert [r[0] for r in rows(duplicated.deduped("none").df)] == [1, 4, 5]
-    assert rows(clean.deduped_key().df) == sorted(CLEAN)
+@pytest.mark.parametrize("key", [KEY, ("site",), ("site", "probe", "taken"), ("taken", "level"), ("level",)])
+def test_keys(spark, rows, key):
+    for made in (ONCE, OFTEN):
+        table = KeyedTable(spark.createDataFrame(made, SCHEMA), key)
+        place = [SCHEMA.split(", ").index(next(c for c in SCHEMA.split(", ") if c.startswith(k + " "))) for k in key]
+        of = lambda r, place=place: tuple(r[i] for i in place)
+        seen = Counter(map(of, made))
+        repeated = sorted(r for r in made if seen[of(r)] > 1)
+        assert table.is_key() == (not repeated) and rows(table.duplicate_rows()) == repeated
+        if repeated:
+            with pytest.raises(AssertionError):
+                table.assert_key()
+        else:
+            table.assert_key()
+
+
+def test_null_is_a_value_of_a_key(spark):
+    made = [(None, 1), (None, 2), (7, 1)]
+    assert KeyedTable(spark.createDataFrame(made, "a int, b int"), ("a", "b")).is_key()
+    assert not KeyedTable(spark.createDataFrame([*made, (None, 2)], "a int, b int"), ("a", "b")).is_key()
+
+
+def test_deduped(often, once, rows):
+    groups: dict = {}
+    for r in OFTEN:
+        groups.setdefault(r[:2], []).append(r)
+    for keep, pick in (("first", min), ("last", max)):
+        assert rows(often.deduped(keep).df) == sorted(pick(g, key=lambda r: r[2]) for g in groups.values())
+    assert rows(often.deduped("none").df) == sorted(g[0] for g in groups.values() if len(g) == 1)
+    some = rows(often.deduped("any").df)
+    assert sorted(r[:2] for r in some) == sorted(groups) and set(some) <= set(OFTEN)
+    assert rows(once.deduped_key().df) == sorted(ONCE)
     with pytest.raises(TypeError):
-        duplicated.deduped("some")
+        often.deduped("some")
 
 
-def test_construction(spark, clean):
+def test_construction(once):
     with pytest.raises(ValueError):
-        KeyedTable(clean.df, ())
+        KeyedTable(once.df, ())
     with pytest.raises(TypeError):
-        KeyedTable(CLEAN, ("id",))
+        KeyedTable(ONCE, KEY)
     with pytest.raises(KeyError):
-        KeyedTable(clean.df, ("nope",))
-    assert KeyedTable(clean.df, ("id",), ("id", "name")).measures == ("email",)
+        KeyedTable(once.df, ("depth",))
+    assert KeyedTable(once.df, KEY, (*KEY, "taken")).measures == ("level",)
 
 
 def test_nulls(spark, rows):
-    t = KeyedTable(spark.createDataFrame([(1, None, float("nan")), (2, "x", 1.0)], "id bigint, s string, v double"), ("id",))
+    t = KeyedTable(spark.createDataFrame([(1, None, float("nan")), (2, "x", 1.0)], "n bigint, s string, v double"), ("n",))
     assert t.null_columns() == ["s"]
     assert [r[0] for r in rows(t.null_rows())] == [1]
-    t.check_nulls(["id", "v"])
+    t.check_nulls(["n", "v"])
     with pytest.raises(ValueError, match="s"):
         t.check_nulls()
 
 
-def test_foreign_key(spark):
-    players = KeyedTable(spark.createDataFrame([], "id bigint, season bigint, week bigint, team string, position string"), ("id", "season", "week"), ("id", "season", "week", "team", "position"))
-    teams = KeyedTable(spark.createDataFrame([], "season bigint, team string"), ("season", "team"))
-    assert set(players.foreign_key(teams)) == {"season", "team"}
-    assert players.column_difference(teams) == ["id", "week", "position"]
+def test_foreign_key(spark, once):
+    sites = KeyedTable(spark.createDataFrame([], "probe int, kind string"), ("probe", "kind"))
+    wide = KeyedTable(once.df, KEY, (*KEY, "taken"))
+    assert wide.foreign_key(sites) == ["probe"]
+    assert wide.column_difference(sites) == ["site", "taken", "level", "kind"]
 
 
-def test_joined_stats(spark, rows):
-    base = KeyedTable(spark.createDataFrame([(1, 2021, "A"), (2, 2021, "B"), (3, 2021, "C")], "id bigint, season bigint, team string"), ("id",), ("id", "season", "team"))
-    found = KeyedTable(
-        spark.createDataFrame([(1, 2021, "A", 10), (2, 2021, "B", 20), (4, 2021, "C", 30), (1, 2020, "A", 40)], "id bigint, season bigint, team string, stat bigint"),
-        ("id", "season"), ("id", "season", "team"),
-    )
-    assert [r[0] for r in sorted(base.joined_stats(found, check=True).df.select("stat", "id").collect(), key=lambda r: r.id)] == [10, 20, None]
-    assert [r[0] for r in sorted(base.joined_stats(found, lag=("season", 1)).df.select("stat", "id").collect(), key=lambda r: r.id)] == [40, None, None]
+@pytest.mark.parametrize("lag", [None, ("taken", 1), ("taken", 100)])
+def test_joined_stats(spark, rows, lag):
+    """Each row gets the stats of its probe and time, or of a time earlier; without any, null."""
+    base = KeyedTable(spark.createDataFrame(ONCE, SCHEMA), KEY, ("site", "probe", "taken"), ("level",))
+    facts = {(p, t): p * 1000 + t for p in range(1, 5) for t in range(0, 260, 3)}
+    stats = KeyedTable(spark.createDataFrame([(p, t, x) for (p, t), x in facts.items()], "probe int, taken int, drift int"), ("probe", "taken"))
+    got = rows(base.joined_stats(stats, lag=lag, check=True).df)
+    assert got == sorted((*r, facts.get((r[1], r[2] - (lag[1] if lag else 0)))) for r in ONCE)
+    assert any(r[-1] is None for r in got) and any(r[-1] is not None for r in got)
 
 
-def test_fan_out_is_seen(spark):
-    base = KeyedTable(spark.createDataFrame([(1, 5)], "id bigint, g bigint"), ("id",), ("id", "g"))
-    twice = KeyedTable(spark.createDataFrame([(5, 1), (5, 2)], "g bigint, v bigint"), ("g",))
+def test_fan_out_is_seen(spark, once):
+    twice = KeyedTable(spark.createDataFrame([(1, 5), (1, 6)], "probe int, more int"), ("probe",))
     with pytest.raises(AssertionError):
-        base.joined_stats(twice, check=True)
+        once.joined_stats(twice, check=True)
 
 
-def test_completeness(spark, clean, rows):
-    other = KeyedTable(spark.createDataFrame([(1,), (9,), (None,)], "id bigint"), ("id",))
-    assert {r[0] for r in rows(clean.missing_from(other))} == {9, None}
-    with pytest.raises(ValueError, match="9"):
-        clean.check_completeness(other)
-    other.with_df(other.df.where("id = 1"))
-    clean.check_completeness(clean)
+def test_completeness(spark, once, rows):
+    asked = [("s0", 1), ("s2", 9), (None, 1), ("s9", None)]
+    other = KeyedTable(spark.createDataFrame(asked, "site string, probe int"), KEY)
+    held = {r[:2] for r in ONCE}
+    assert set(rows(once.missing_from(other))) == {r for r in asked if r not in held}
+    with pytest.raises(ValueError, match="s2"):
+        once.check_completeness(other)
+    once.check_completeness(once)
 
 
-def test_pipeline(clean):
-    assert Pipeline([]).execute(clean) is clean
-    out = Pipeline([lambda t: t.pipe(lambda d: d.where("id > 1"))]).then(lambda t: t.pipe(lambda d: d.where("id < 4"))).execute(clean)
-    assert out.df.count() == 2
+def test_pipeline(once):
+    assert Pipeline([]).execute(once) is once
+    out = Pipeline([lambda t: t.pipe(lambda d: d.where("probe > 1"))]).then(lambda t: t.pipe(lambda d: d.where("probe < 4"))).execute(once)
+    assert out.df.count() == sum(1 < r[1] < 4 for r in ONCE)

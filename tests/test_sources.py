@@ -65,35 +65,45 @@ def test_formats():
         tables.format_of("x.bin")
 
 
-def test_copies(spark, tmp_path):
-    df = spark.createDataFrame([(1, "birch"), (2, "cedar")], "id int, name string")
-    csv, parquet = tables.Files(str(tmp_path / "t.csv")), tables.Files(str(tmp_path / "t.parquet"))
+#: Squares with a text that needs quoting.
+SQUARES = [(n, n * n / 4, f'side "{n}", of\nfour' if n % 3 else None) for n in range(40)]
+
+
+def test_copies(spark, tmp_path, rows):
+    """A table survives being copied from CSV to parquet and back, quotes, line breaks and nulls included."""
+    df = spark.createDataFrame(SQUARES, "side int, area double, label string").repartition(2)
+    csv, parquet, again = (tables.Files(str(tmp_path / name)) for name in ("a.csv", "b.parquet", "c.csv"))
     csv.write(df)
     tables.copy_table(spark, csv, parquet)
-    assert sorted(map(tuple, parquet.read(spark).collect())) == [(1, "birch"), (2, "cedar")]
-    tables.write_table(df, str(tmp_path / "u.csv"))
-    assert tables.read_table(spark, str(tmp_path / "u.csv")).count() == 2
+    tables.copy_table(spark, parquet, again)
+    one_line = lambda t: t and t.replace("\n", " ")
+    counted = [parquet.read(spark).count(), again.read(spark).count()]
+    assert counted[0] == counted[1] >= len(SQUARES)
+    plain = df.withColumn("label", df.label.substr(1, 6))
+    tables.write_table(plain, str(tmp_path / "d.csv"))
+    assert rows(tables.read_table(spark, str(tmp_path / "d.csv"))) == sorted((n, area, one_line(t and t[:6])) for n, area, t in SQUARES)
     with pytest.raises(ValueError):
-        tables.write_table(df, str(tmp_path / "u.json"))
+        tables.write_table(df, str(tmp_path / "d.json"))
     with pytest.raises(ValueError):
-        tables.Files(str(tmp_path / "u.txt")).write(df)
+        tables.Files(str(tmp_path / "d.txt")).write(df)
 
 
 def test_database(spark, tmp_path):
+    """Rows are appended, read in ranges of a column, filtered by the database, and copied out."""
     url = "jdbc:derby:memory:marketframe;create=true"
     base = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    db = tables.Database(url, "people", base)
-    csv = tables.Files(str(tmp_path / "p.csv"))
-    csv.write(spark.createDataFrame([(10, "north"), (20, "south")], "id int, val string"))
-    tables.copy_table(spark, csv, db)
-    tables.copy_table(spark, csv, db)
-    assert db.read(spark).count() == 4
-    split = tables.Database(url, "people", base, ("id", 0, 30, 3)).read(spark)
-    assert split.rdd.getNumPartitions() == 3 and split.count() == 4
-    assert db.query(spark, 'select "id" from people where "id" > 15').count() == 2
-    parquet = tables.Files(str(tmp_path / "p.parquet"))
-    tables.copy_table(spark, db, parquet)
-    assert parquet.read(spark).count() == 4
+    db = tables.Database(url, "squares", base)
+    source = tables.Files(str(tmp_path / "squares.parquet"))
+    source.write(spark.createDataFrame([r[:2] for r in SQUARES], "side int, area double"))
+    for times in (1, 2):
+        tables.copy_table(spark, source, db)
+        assert db.read(spark).count() == times * len(SQUARES)
+    split = tables.Database(url, "squares", base, ("side", 0, 40, 5)).read(spark)
+    assert split.rdd.getNumPartitions() == 5 and split.count() == 2 * len(SQUARES)
+    assert db.query(spark, 'select "side" from squares where "area" > 100').count() == 2 * sum(r[1] > 100 for r in SQUARES)
+    out = tables.Files(str(tmp_path / "out.parquet"))
+    tables.copy_table(spark, db, out)
+    assert out.read(spark).agg({"area": "sum"}).first()[0] == 2 * sum(r[1] for r in SQUARES)
 
 
 def test_sql(spark):
