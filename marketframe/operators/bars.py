@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketframe.functions.dates import session_label
+from marketframe.operators.scan import walked
 
 
 def ohlcv(df: DataFrame, keys: Sequence[str | Column], order: str, open: str = "open", high: str = "high", low: str = "low", close: str = "close", volume: str = "volume", extra: Sequence[Column] = ()) -> DataFrame:
@@ -19,37 +20,72 @@ def ohlcv(df: DataFrame, keys: Sequence[str | Column], order: str, open: str = "
     )
 
 
+#: Whole numbers up to here add up exactly.
+EXACT = float(2**53)
+
+
+def bar_starts(volumes, threshold: float):
+    """Where bars begin among ``volumes`` (an array; the first value is what the bar in progress has), in order.
+
+    For whole numbers that aren't negative each row's next bar is a binary
+    search in the running sums, and the bars that are reached are followed by
+    pointers over 1, 2, 4, ... of them. Other sums depend on the order of
+    additions, so there each bar's own running sum says where it ends.
+    """
+    import numpy as np
+
+    n = len(volumes)
+    sums = np.cumsum(volumes)
+    if np.all(volumes >= 0) and np.all(volumes == np.floor(volumes)) and sums[-1] < EXACT:
+        after = np.append(np.maximum(np.searchsorted(sums, sums - volumes + threshold, side="right"), np.arange(n) + 1), n)
+        levels = [after]
+        while levels[-1][0] < n:
+            levels.append(levels[-1][levels[-1]])
+        reached = np.zeros(1, dtype=np.int64)
+        for over in reversed(levels):
+            reached = np.unique(np.concatenate([reached, over[reached]]))
+        return reached[(reached > 0) & (reached < n)]
+    starts, at, width = [], 0, 64
+    while at < n:
+        own = np.cumsum(volumes[at : at + width])
+        beyond = np.flatnonzero(own[1:] > threshold)
+        if len(beyond):
+            at += int(beyond[0]) + 1
+            starts.append(at)
+            width = max(64, 2 * int(beyond[0]))
+        elif at + width >= n:
+            break
+        else:
+            width *= 2
+    return np.array(starts, dtype=np.int64)
+
+
 def volume_groups(df: DataFrame, session: Sequence[str], order: Sequence[str], volume: str, threshold: float, to: str = "bar") -> DataFrame:
     """``df`` with the number of the volume bar of each row within its session, from 0.
 
     A row whose volume would take the running total over ``threshold`` begins a
     new bar with that volume. Where a bar begins depends on the exact sum carried
     so far, so a session is walked in order: rows are dealt and sorted by
-    session, and each is streamed through with nothing but its running total.
-    A null volume counts as 0.
+    session, and a stretch at a time is cut by ``bar_starts``, with nothing
+    carried on but the running total. A null volume counts as 0.
     """
-    keys = list(session)
-
-    def walk(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        at, total, bar = None, 0.0, 0
-        for batch in batches:
-            bars = []
-            ids = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
-            for key, v in zip(ids, batch.column(volume).to_pylist(), strict=True):
-                v = v or 0
-                if key != at:
-                    at, total, bar = key, 0.0, 0
-                if total + v > threshold:
-                    total, bar = v, bar + 1
-                else:
-                    total += v
-                bars.append(bar)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bars, pa.int64())], [*batch.schema.names, to])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(walk, f"{fields}, `{to}` bigint")
+
+    def advance(state, columns):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        total, bar = state
+        own = pc.fill_null(columns[0].cast("double"), 0.0).to_numpy(zero_copy_only=False)
+        volumes = np.concatenate([[total], own])
+        starts = bar_starts(volumes, threshold)
+        begun = np.zeros(len(volumes), dtype=np.int64)
+        begun[starts] = 1
+        first = int(starts[-1]) if len(starts) else 0
+        # added up one by one, as the walk would
+        total = float(np.cumsum(volumes[first:])[-1])
+        return (total, bar + len(starts)), [bar + np.cumsum(begun)[1:]]
+
+    return walked(df, session, order, lambda _: (0.0, 0), advance, [volume], {to: "bigint"})
 
 
 def volume_bars(df: DataFrame, session: Sequence[str], order: str, threshold: float, price: str = "price", volume: str = "volume") -> DataFrame:
