@@ -58,6 +58,56 @@ def test_tree(spark, tmp_path):
         lake.read_tree(spark, str(tmp_path / "x"), ".orc", "orc")
 
 
+def test_a_lost_writer_loses_no_day(spark, root, monkeypatch):
+    """Stopped between its two renames, a writer leaves the old day readable; the next one goes on from there."""
+    new = spark.createDataFrame([("B", 9.0, "2024-01-02")], f"{STOCK}, date string")
+    calls, rename = [], lake._rename
+
+    def lost(fs, old, to):
+        calls.append(old)
+        if len(calls) == 2:
+            raise RuntimeError("lost")
+        rename(fs, old, to)
+
+    monkeypatch.setattr(lake, "_rename", lost)
+    with pytest.raises(RuntimeError):
+        lake.write_days(new, root, lake.STOCKS)
+    monkeypatch.undo()
+    both = lambda: (lake.read_day(spark, root, lake.STOCKS, "2024-01-02").first().ticker, lake.read_days(spark, root, lake.STOCKS, "2024-01-01", "2024-01-04").count())
+    assert both() == ("A", 2)
+    lake.write_days(new, root, lake.STOCKS)
+    assert both() == ("B", 2)
+    lake.write_days(new, root, lake.STOCKS)
+    assert both() == ("B", 2)
+
+
+def test_skipped_files_are_told(spark, root, tmp_path):
+    day = tmp_path / "lake" / lake.STOCKS / lake.DAY_AGGREGATES / "2024/01"
+    (day / "2024-01-03.parquet").write_bytes(b"no parquet at all")
+    (day / "2024-01-05.parquet").write_bytes(b"")
+    good = next((day / "2024-01-04.parquet").glob("part-*.parquet")).read_bytes()
+    (day / "2024-01-06.parquet").write_bytes(good[:4] + b"x" * (len(good) - 8) + good[-4:])
+    got = lake.skipped_days(spark, root, lake.STOCKS, "2024-01-01", "2024-01-06", schema=STOCK).orderBy("day").collect()
+    assert [(r.day, r.reason) for r in got] == [("2024-01-01", "missing"), ("2024-01-03", "no parquet file"), ("2024-01-05", "empty file"), ("2024-01-06", "broken")]
+    read = lake.read_days(spark, root, lake.STOCKS, "2024-01-01", "2024-01-06", schema=STOCK, skip_corrupt=True)
+    assert sorted(r.close for r in read.collect()) == [1.0, 2.0]
+    assert lake.skipped_days(spark, root, lake.STOCKS, "2023-05-01", "2023-05-02").count() == 2
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "a.parquet").write_bytes(b"?")
+    assert [r.reason for r in lake.skipped_files(spark, str(tmp_path / "bad")).collect()] == ["no parquet file"]
+    assert lake.skipped_files(spark, lake.day_path(root, lake.STOCKS, "2024-01-04")).count() == 0
+
+
+def test_malformed_lines_are_told(spark, tmp_path):
+    (tmp_path / "in/2024-03-01").mkdir(parents=True)
+    with gzip.open(tmp_path / "in/2024-03-01/x.csv.gz", "wt") as f:
+        f.write("ticker,close\nA,1.5\nB,much\nC,2\nD,3,4\n")
+    got = lake.malformed(spark, str(tmp_path / "in"), STOCK).collect()
+    assert sorted(r.line for r in got) == ["B,much", "D,3,4"] and all(r.path.endswith("x.csv.gz") for r in got)
+    taken = lake.csv_to_lake(spark, str(tmp_path / "in"), str(tmp_path / "out"), schema=STOCK)
+    assert sorted(r.ticker for r in taken.collect()) == ["A", "C"]
+
+
 def test_formats():
     assert tables.format_of("a/b.CSV.gz") == "csv" and tables.format_of("x.parquet") == "parquet"
     assert tables.format_of("x.bin", "text") == "text"
