@@ -182,5 +182,82 @@ FROM e GROUP BY conv_id
 """
 
 
+#: The CRC-32 of the text ``s``, by the table ``t`` that follows from the polynomial.
+CRC_TABLE = "(SELECT list(c ORDER BY i) FROM (SELECT i, list_reduce(range(8), lambda c, s: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(list_reduce({octets}, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE
+     k AS (SELECT {CRC_TABLE} AS t),
+     d AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWER}, '[a-zÀ-ÿ]+')) AS run FROM documents),
+     c AS (SELECT id, run, count(*) AS n FROM d WHERE length(run) >= 6 GROUP BY ALL),
+     h AS (SELECT run, n, {_crc("id || ':' || run")} AS h FROM c, k),
+     w AS (SELECT n, CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM h),
+     v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+     x AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)),
+     e AS (SELECT a.word AS a, b.word AS b FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+           UNION SELECT x.word, v.word FROM x JOIN v ON x.cut = v.word UNION SELECT v.word, x.word FROM x JOIN v ON x.cut = v.word),
+     b AS (SELECT a AS word, count(*) AS n_near, arg_min(e.b, (-v.n, e.b)) AS b, max(v.n) AS m FROM e JOIN v ON v.word = e.b GROUP BY a),
+     f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * v.n THEN b.b END AS form, CASE WHEN m >= 5 * v.n THEN m END AS form_n FROM v LEFT JOIN b ON b.word = v.word),
+     r(word, root) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word JOIN f g ON g.word = r.root AND g.form IS NULL
+"""
+
+
+def _repair_sql() -> str:
+    """The dynamic programme of ``repair`` with whole audits: for each row and state the least (cost, audit, rows that remain)."""
+    new = lambda cost, letter, line, of: f"{{'c': {of}.c + {cost}, 'a': '{letter}' || {of}.a, 'r': " + (f"list_prepend({line}, {of}.r)" if line else f"{of}.r") + "}"
+    own = "role || ':' || text"
+    follows = {"n": "u", "s": "u", "u": "a", "a": "u"}
+    role = {"u": "user", "a": "assistant"}
+    least = lambda options: f"list_min([{', '.join(options)}])"
+    best = []
+    for state, to in follows.items():
+        kept = lambda then: f"CASE WHEN f NOT IN (1, 2) AND i1 = '{then}' THEN {new('x', 'K', own, then)} END"
+        anew = new("2 + x", "R", f"'{role[to]}:' || text", to)
+        options = [new(3, "D", "", state), kept(to), f"CASE WHEN f NOT IN (1, 2) THEN {anew} END"]
+        if state == "n":
+            options.append(kept("s"))
+        best.append(f"{least(options)} AS {state}")
+    inserted = lambda to: new(2, "I", f"'{role[to]}:'", to)
+    pairs = f"SELECT conv_id, i, n, s, {least(['u', inserted('a')])} AS u, {least(['a', inserted('u')])} AS a FROM b"
+    whole = f"SELECT conv_id, i, {least(['n', inserted('u')])} AS n, {least(['s', inserted('u')])} AS s, u, a FROM ({pairs})"
+    end = "{'c': 0, 'a': '', 'r': []::VARCHAR[]}"
+    missing = "{'c': 2, 'a': 'I', 'r': ['assistant:']}"
+    both = "{'c': 4, 'a': 'II', 'r': ['user:', 'assistant:']}"
+    return rf"""
+WITH RECURSIVE
+     k AS (SELECT {CRC_TABLE} AS t),
+     t AS (SELECT conv_id, turn, coalesce(role, ' ') AS r, coalesce(text, ' ') AS x, {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h FROM conversations, k),
+     g AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE r END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(x, '.!?', '') ELSE x END AS text,
+           unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) FROM t WHERE h <> 0),
+     o AS (SELECT conv_id, turn, role, text, left(role, 1) AS i1, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM g),
+     m AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS f,
+           lag(i1) OVER (PARTITION BY conv_id ORDER BY i) || i1 AS pair FROM o),
+     p(conv_id, i, n, s, u, a) AS (
+           SELECT conv_id, max(i) + 1, {end}, {both}, {missing}, {end} FROM m GROUP BY conv_id
+           UNION ALL SELECT * FROM (WITH b AS (SELECT conv_id, i, {', '.join(best)} FROM (SELECT m.*, CASE WHEN m.f = 3 THEN 1 ELSE 0 END AS x, p.n, p.s, p.u, p.a FROM p JOIN m ON m.conv_id IS NOT DISTINCT FROM p.conv_id AND m.i = p.i - 1)) {whole})),
+     q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(f = 1) AS blank, count_if(f = 2) AS duplicate, count_if(f = 3) AS truncated,
+           count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, coalesce(p.n.c, 0)::BIGINT AS cost, coalesce(p.n.a, '') AS audit, sha256(coalesce(array_to_string(p.n.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN p ON p.conv_id IS NOT DISTINCT FROM c.conv_id AND p.i = 1
+"""
+
+
+OP12_SQL = _repair_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_chat_formatting": OP9_SQL, "op6_decontamination": OP6_SQL, "op8_near_dup": OP8_SQL}
+    return {
+        "op9_chat_formatting": OP9_SQL,
+        "op6_decontamination": OP6_SQL,
+        "op8_near_dup": OP8_SQL,
+        "op11_spelling_variants": OP11_SQL,
+        "op12_conversation_repair": OP12_SQL,
+    }
