@@ -1,12 +1,12 @@
 """Ordered statistics of series of any length, by blocks and what enters them.
 
-A series is cut into blocks (of time, say) that grow with its order. Rows of a
-block are worked on by themselves, in a window of the block; what came before is
-either a summary that merges (moments, sums, last values), taken over the
-summaries of the blocks before, or the last rows before the block (its halo),
-wherever they stand. So rows are shuffled once, by series and block, one series
-is spread over as many tasks as it has blocks, and only a few numbers a block
-meet along a series.
+A series is cut into blocks (of time, say) that grow with its order. What a block
+needs of the rows before it is added to it as more rows: the last ``n`` of them,
+wherever they stand (its halo), or one row with what has been summed up over the
+blocks before (moments, sums, last values, which merge). Then plain windows work
+within each block, and the added rows are dropped. So rows are shuffled once, by
+series and block, one series is spread over as many tasks as it has blocks, and
+only a few numbers a block meet along a series.
 
 ``block`` is an expression that never falls along ``order``; None is one block.
 Null groups and null places in the order are like any other, nulls first.
@@ -19,8 +19,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Series and block of a row. One struct: a join on it is null-safe and shares its shuffle with windows and aggregates.
-AT = "__at"
+#: Series and block of a row, and whether it was added to its block.
+AT, ADDED = "__at", "__added"
 
 
 def in_blocks(df: DataFrame, groups: Sequence[str], block: Column | None) -> DataFrame:
@@ -32,46 +32,58 @@ def in_blocks(df: DataFrame, groups: Sequence[str], block: Column | None) -> Dat
 
 
 def _within(order: Sequence[str]):
-    return Window.partitionBy(AT).orderBy(*order)
+    return Window.partitionBy(AT).orderBy(F.col(ADDED).desc(), *order)
 
 
 def _along(groups: Sequence[str]):
     return Window.partitionBy(*[F.col(AT)[f"g{i}"] for i in range(len(groups))]).orderBy(F.col(AT)["block"])
 
 
-def _place(order: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+def _before(along):
+    return along.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def entered(cut: DataFrame, groups: Sequence[str], summary: dict[str, Column], state: Callable) -> DataFrame:
-    """Rows with the ``state`` (window along the series' blocks -> columns) that enters their block, from each block's ``summary``."""
-    blocks = cut.groupBy(AT).agg(*[c.alias(n) for n, c in summary.items()])
-    return cut.join(blocks.select(AT, *[c.alias(n) for n, c in state(_along(groups)).items()]), AT)
+def _so_far(order: Sequence[str], last: int = Window.currentRow):
+    return _within(order).rowsBetween(Window.unboundedPreceding, last)
 
 
-def _before(along):
-    return along.rowsBetween(Window.unboundedPreceding, -1)
+def _with(cut: DataFrame, more: DataFrame) -> DataFrame:
+    """Rows and those added to their blocks."""
+    return cut.withColumn(ADDED, F.lit(False)).unionByName(more.withColumn(ADDED, F.lit(True)), allowMissingColumns=True)
+
+
+def own(df: DataFrame, *drop: str) -> DataFrame:
+    """The rows that were there before, without the columns made on the way."""
+    return df.where(~F.col(ADDED)).drop(AT, ADDED, *drop)
+
+
+def _entered(cut: DataFrame, groups: Sequence[str], summary: dict[str, Column], state: Callable) -> DataFrame:
+    """Rows, and for each block one with the ``state`` (window along the series' blocks -> columns) that enters it, from each block's ``summary``."""
+    blocks = cut.groupBy(AT).agg(*[c.alias(n) for n, c in summary.items()])
+    return _with(cut, blocks.select(AT, *[c.alias(n) for n, c in state(_along(groups)).items()]))
 
 
 def running_sums(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, sums: dict[str, str]) -> DataFrame:
     """``df`` with running sums up to each row: new column -> column. A null value adds nothing."""
-    cut, n = in_blocks(df, groups, block), range(len(sums))
-    cols = list(sums.values())
-    held = entered(cut, groups, {f"__s{i}": F.sum(c) for i, c in enumerate(cols)}, lambda w: {f"__e{i}": F.sum(f"__s{i}").over(_before(w)) for i in n})
-    so_far = _within(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    plus = lambda a, b: F.coalesce(a + b, a, b)
-    out = held.withColumns({to: plus(F.col(f"__e{i}"), F.sum(c).over(so_far)) for i, (to, c) in enumerate(sums.items())})
-    return out.drop(AT, *[f"__e{i}" for i in n])
+    names = [f"__s{i}" for i in range(len(sums))]
+    kinds = [f.dataType for f in df.select(*[F.sum(c) for c in sums.values()]).schema]
+    cut = in_blocks(df, groups, block).withColumns({x: F.col(c).cast(k) for x, c, k in zip(names, sums.values(), kinds, strict=True)})
+    held = _entered(cut, groups, {x: F.sum(x) for x in names}, lambda w: {x: F.sum(x).over(_before(w)).cast(k) for x, k in zip(names, kinds, strict=True)})
+    return own(held.withColumns({to: F.sum(x).over(_so_far(order)) for x, to in zip(names, sums, strict=True)}), *names)
 
 
-def last_values(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, values: dict[str, str], own: bool) -> DataFrame:
-    """``df`` with the last value that isn't null: new column -> column. ``own``: the row's own counts, else only rows before it."""
-    cut, n = in_blocks(df, groups, block), range(len(values))
-    last = {f"__s{i}": F.max_by(c, F.when(F.col(c).isNotNull(), _place(order))) for i, c in enumerate(values.values())}
-    held = entered(cut, groups, last, lambda w: {f"__e{i}": F.last(f"__s{i}", ignorenulls=True).over(_before(w)) for i in n})
-    frame = _within(order).rowsBetween(Window.unboundedPreceding, Window.currentRow if own else -1)
-    found = {to: F.coalesce(F.last(c, ignorenulls=True).over(frame), F.col(f"__e{i}")) for i, (to, c) in enumerate(values.items())}
-    return held.withColumns(found).drop(AT, *[f"__e{i}" for i in n])
+def _place(order: Sequence[str]) -> Column:
+    return F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+
+
+def last_values(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, values: dict[str, str], own_too: bool) -> DataFrame:
+    """``df`` with the last value that isn't null: new column -> column. ``own_too``: the row's own counts, else only rows before it."""
+    names = [f"__s{i}" for i in range(len(values))]
+    cut = in_blocks(df, groups, block).withColumns({x: F.col(c) for x, c in zip(names, values.values(), strict=True)})
+    last = {x: F.max_by(x, F.when(F.col(x).isNotNull(), _place(order))) for x in names}
+    held = _entered(cut, groups, last, lambda w: {x: F.last(x, ignorenulls=True).over(_before(w)) for x in names})
+    frame = _so_far(order, Window.currentRow if own_too else -1)
+    return own(held.withColumns({to: F.last(x, ignorenulls=True).over(frame) for x, to in zip(names, values, strict=True)}), *names)
 
 
 def running_moments(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, moments: dict[str, str]) -> DataFrame:
@@ -97,52 +109,42 @@ def running_moments(df: DataFrame, groups: Sequence[str], order: Sequence[str],
             out |= {f"__en{i}": rows, f"__em{i}": centre + off, f"__eq{i}": F.greatest(spread - rows * off * off, F.lit(0.0))}
         return out
 
-    held = entered(cut, groups, summary, state)
-    so_far = _within(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = {}
+    held, so_far, out = _entered(cut, groups, summary, state), _so_far(order), {}
     for i, (to, c) in enumerate(moments.items()):
-        a, b = F.col(f"__en{i}"), F.count(c).over(so_far)
-        mean, both = F.coalesce(F.avg(c).over(so_far), F.lit(0.0)), F.count(c).over(so_far) + F.col(f"__en{i}")
-        step = mean - F.col(f"__em{i}")
-        spread = F.col(f"__eq{i}") + F.coalesce(F.var_pop(c).over(so_far), F.lit(0.0)) * b + F.coalesce(F.try_divide(step * step * a * b, both), F.lit(0.0))
-        out[to] = F.struct(
-            both.alias("n"), F.when(both > 0, F.col(f"__em{i}") + step * F.try_divide(b, both)).alias("mean"), F.when(both > 1, F.sqrt(spread / (both - 1))).alias("std")
-        )
-    return held.withColumns(out).drop(AT, *[f"__e{k}{i}" for i in n for k in "nmq"])
-
-
-def _end(values: Column, n) -> Column:
-    """The last ``n`` elements."""
-    return F.slice(values, F.greatest(F.size(values) - n, F.lit(0)) + 1, F.greatest(F.lit(n) if isinstance(n, int) else n, F.lit(0)))
-
-
-def rows_before(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, cols: Sequence[str], n: int, to: str) -> DataFrame:
-    """``df`` with an array ``to`` of the ``n`` rows before each row (structs of ``cols``, in order; fewer where a series begins).
-
-    A block's halo are the last ``n`` rows before it, from as many blocks as it takes.
+        # a block's first row is the one with what enters it
+        a, mean_a, spread_a = (F.first(f"__e{k}{i}").over(so_far) for k in "nmq")
+        b, mean_b, spread_b = F.count(c).over(so_far), F.coalesce(F.avg(c).over(so_far), F.lit(0.0)), F.coalesce(F.var_pop(c).over(so_far), F.lit(0.0))
+        out |= {f"__a{i}": a, f"__am{i}": mean_a, f"__aq{i}": spread_a, f"__b{i}": b, f"__bm{i}": mean_b, f"__bq{i}": spread_b * b}
+    held = held.withColumns(out)
+    for i, to in enumerate(moments):
+        a, mean_a, spread_a, b, mean_b, spread_b = (F.col(f"__{k}{i}") for k in ("a", "am", "aq", "b", "bm", "bq"))
+        both, step = a + b, mean_b - mean_a
+        spread = spread_a + spread_b + F.coalesce(F.try_divide(step * step * a * b, both), F.lit(0.0))
+        held = held.withColumn(to, F.struct(both.alias("n"), F.when(both > 0, mean_a + step * F.try_divide(b, both)).alias("mean"), F.when(both > 1, F.sqrt(spread / (both - 1))).alias("std")))
+    return own(held, *out, *[f"__e{k}{i}" for i in n for k in "nmq"])
+
+
+def haloed(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, cols: Sequence[str], n: int):
+    """(rows with the ``n`` rows before each block added to it, a window within blocks in order).
+
+    Added rows have ``cols`` and ``order`` only; ``own`` drops them in the end.
+    Frames of the window that reach ``n`` rows back hold what they would hold in
+    the whole series.
     """
     cut = in_blocks(df, groups, block)
-    row = F.struct(*cols)
-    narrow = cut.select(AT, row.alias("v"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
+    if block is None:
+        return cut.withColumn(ADDED, F.lit(False)), _within(order)
+    names = list(dict.fromkeys([*order, *cols]))
+    narrow = cut.select(AT, F.struct(*names).alias("v"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
     back = Window.partitionBy(AT).orderBy(*[F.col(f"__o{i}").desc_nulls_last() for i in range(len(order))])
     ends = narrow.withColumn("k", F.row_number().over(back)).where(F.col("k") <= n).groupBy(AT).agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "v"))).alias("end"))
     near = _along(groups).rowsBetween(-n, -1)
-    halo = ends.select(AT, _end(F.flatten(F.collect_list(F.transform("end", lambda x: x["v"])).over(near)), n).alias("__halo"))
-    own = F.collect_list(row).over(_within(order).rowsBetween(-n, -1))
-    found = cut.join(halo, AT).withColumn("__own", own)
-    whole = F.when(F.size("__own") < n, F.concat(_end(F.col("__halo"), n - F.size("__own")), F.col("__own"))).otherwise(F.col("__own"))
-    return found.withColumn(to, whole).drop(AT, "__halo", "__own")
+    last = ends.select(AT, F.collect_list("end").over(near).alias("ends")).select(AT, F.flatten(F.transform("ends", lambda x: F.transform(x, lambda y: y["v"]))).alias("last"))
+    halo = last.select(AT, F.explode(F.slice("last", F.greatest(F.size("last") - n, F.lit(0)) + 1, F.lit(n))).alias("v"))
+    return _with(cut, halo.select(AT, "v.*")), _within(order)
 
 
-def moments_of(rows: str, col: str) -> Column:
-    """A struct (n, mean, std) of the values of field ``col`` of an array of rows; nulls don't count."""
-    total = lambda values, of: F.aggregate(values, F.lit(0.0), lambda s, x: s + of(x))
-    held = F.filter(F.transform(rows, lambda x: x[col].cast("double")), lambda x: x.isNotNull())
-
-    def of(values: Column) -> Column:
-        n = F.size(values)
-        mean = F.try_divide(total(values, lambda x: x), n)
-        spread = F.transform(F.array(mean), lambda m: total(values, lambda x: (x - m) * (x - m)))[0]
-        return F.struct(n.alias("n"), mean.alias("mean"), F.when(n > 1, F.sqrt(spread / (n - 1))).alias("std"))
-
-    return F.transform(F.array(held), of)[0]
+def rows_before(df: DataFrame, groups: Sequence[str], order: Sequence[str], block: Column | None, cols: Sequence[str], n: int, to: str) -> DataFrame:
+    """``df`` with an array ``to`` of the ``n`` rows before each row (structs of ``cols``, in order; fewer where a series begins)."""
+    with_halo, w = haloed(df, groups, order, block, cols, n)
+    return own(with_halo.withColumn(to, F.collect_list(F.struct(*cols)).over(w.rowsBetween(-n, -1))))

@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketframe.operators.blocks import rows_before
+from marketframe.operators.blocks import haloed, own
 from marketframe.operators.scan import ewm_means
 
 
 def changes(df: DataFrame, col: str, groups: Sequence[str], order: Sequence[str], block: Column | None = None) -> DataFrame:
     """``delta``, ``gain`` and ``loss`` against the row before; the first row has none, gain and loss 0."""
-    out = rows_before(df, groups, order, block, [col], 1, "__rows").withColumn("delta", F.col(col) - F.get("__rows", F.lit(0))[col]).drop("__rows")
+    found, w = haloed(df, groups, order, block, [col], 1)
+    out = own(found.withColumn("delta", F.col(col) - F.lag(col, 1).over(w)))
     return out.withColumns({"gain": F.when(F.col("delta") > 0, F.col("delta")).otherwise(0.0), "loss": F.when(F.col("delta") < 0, -F.col("delta")).otherwise(0.0)})
 
 
@@ -27,15 +28,14 @@ def rsi(df: DataFrame, col: str, window: int, groups: Sequence[str], order: Sequ
 
     Null for the first ``window - 1`` rows and where nothing moved; 100 where nothing fell.
     """
-    found = rows_before(df, groups, order, block, [col], window, "__rows")
-    own = F.array(F.struct(F.col(col)))
-    # the values that the changes of the last ``window`` rows lie between; a series' first row has no change
-    steps = found.withColumn("__steps", F.zip_with(F.concat("__rows", own), F.slice(F.concat("__rows", own), 2, window), lambda a, b: b[col] - a[col]))
-    mean = lambda of: F.aggregate("__steps", F.lit(0.0), lambda s, d: s + F.when(of(d) > 0, of(d)).otherwise(0.0)) / window
-    moved = steps.withColumns({"__gain": mean(lambda d: d), "__loss": mean(lambda d: -d)})
-    strength = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(F.col("__gain"), F.col("__loss")))
-    value = F.when(F.col("__loss") > 0, strength).when(F.col("__gain") > 0, 100.0)
-    return moved.withColumn(to, F.when(F.size("__rows") >= window - 1, value)).drop("__rows", "__steps", "__gain", "__loss")
+    found, w = haloed(df, groups, order, block, [col], window)
+    delta = F.col(col) - F.lag(col, 1).over(w)
+    moved = found.withColumn("__gain", F.when(delta > 0, delta).otherwise(0.0)).withColumn("__loss", F.when(delta < 0, -delta).otherwise(0.0))
+    recent = w.rowsBetween(-(window - 1), Window.currentRow)
+    gain, loss = F.avg("__gain").over(recent), F.avg("__loss").over(recent)
+    strength = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide(gain, loss))
+    value = F.when(loss > 0, strength).when(gain > 0, 100.0)
+    return own(moved.withColumn(to, F.when(F.count(F.lit(1)).over(recent) == window, value)), "__gain", "__loss")
 
 
 def ewm_mean(df: DataFrame, col: str, alpha: float, groups: Sequence[str], order: Sequence[str], block: Column, to: str) -> DataFrame:
@@ -56,9 +56,9 @@ def macd(
 def crossover(df: DataFrame, a: str, b: str | float, groups: Sequence[str], order: Sequence[str], to: str, block: Column | None = None) -> DataFrame:
     """1 where ``a`` comes to lie above ``b`` (a column or a number), -1 where below, else 0."""
     named = isinstance(b, str)
-    found = rows_before(df, groups, order, block, list(dict.fromkeys([a, b] if named else [a])), 1, "__rows")
-    other, last = F.col(b) if named else F.lit(float(b)), F.get("__rows", F.lit(0))
-    last_a, last_b = last[a], last[b] if named else other
+    found, w = haloed(df, groups, order, block, list(dict.fromkeys([a, b] if named else [a])), 1)
+    other = F.col(b) if named else F.lit(float(b))
+    last_a, last_b = F.lag(a, 1).over(w), F.lag(b, 1).over(w) if named else other
     up = (last_a <= last_b) & (F.col(a) > other)
     down = (last_a >= last_b) & (F.col(a) < other)
-    return found.withColumn(to, F.when(up, 1).when(down, -1).otherwise(0)).drop("__rows")
+    return own(found.withColumn(to, F.when(up, 1).when(down, -1).otherwise(0)))

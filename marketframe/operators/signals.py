@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketframe.operators.blocks import last_values, rows_before, running_sums
+from marketframe.operators.blocks import haloed, last_values, own, running_sums
 from marketframe.operators.scan import automaton
 
 
@@ -23,7 +23,7 @@ def fired_at(df: DataFrame, fires: dict[str, tuple[str, object]], ts: str) -> Da
 
 def forward_filled(df: DataFrame, cols: Sequence[str], groups: Sequence[str], order: Sequence[str], block: Column | None = None) -> DataFrame:
     """The last value up to each row in place of nulls."""
-    found = last_values(df, groups, order, block, {f"__last{i}": c for i, c in enumerate(cols)}, own=True)
+    found = last_values(df, groups, order, block, {f"__last{i}": c for i, c in enumerate(cols)}, own_too=True)
     return found.withColumns({c: F.col(f"__last{i}") for i, c in enumerate(cols)}).drop(*[f"__last{i}" for i in range(len(cols))])
 
 
@@ -55,7 +55,7 @@ def positions(
 
 def pct_change(df: DataFrame, col: str, groups: Sequence[str], order: Sequence[str], to: str, block: Column | None = None) -> DataFrame:
     """The value over the last one before it, less 1; null for a null value."""
-    found = last_values(df, groups, order, block, {"__last": col}, own=False)
+    found = last_values(df, groups, order, block, {"__last": col}, own_too=False)
     return found.withColumn(to, F.try_divide(F.col(col), F.col("__last")) - 1).drop("__last")
 
 
@@ -70,6 +70,7 @@ def strategy_returns(
     """
     held = F.col(position)
     if lag_position:
-        df, held = rows_before(df, groups, order, block, [position], 1, "__rows"), F.get("__rows", F.lit(0))[position]
-    out = running_sums(df.withColumn(to, F.col(returns) * held).drop("__rows"), groups, order, block, {total: to})
+        found, w = haloed(df, groups, order, block, [position], 1)
+        df, held = own(found.withColumn("__held", F.lag(position, 1).over(w))), F.col("__held")
+    out = running_sums(df.withColumn(to, F.col(returns) * held).drop("__held"), groups, order, block, {total: to})
     return out.withColumn(total, F.when(F.col(to).isNotNull(), F.col(total)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marketframe.functions.columns import require, stat_name, union
 from marketframe.keyed import KeyedTable
-from marketframe.operators.blocks import moments_of, rows_before, running_moments
+from marketframe.operators.blocks import haloed, own, running_moments
 
 
 def _order(table: KeyedTable, groups: Sequence[str]) -> list[str]:
@@ -48,9 +48,8 @@ def summary_stats(table: KeyedTable, groups: Sequence[str], cols: Sequence[str],
 def shifted(table: KeyedTable, groups: Sequence[str], cols: Sequence[str], n: int = 1, block: Column | None = None) -> KeyedTable:
     """The values 1 to ``n`` rows before, as ``shifted_col_i``."""
     require(table.df.columns, [*groups, *cols])
-    found = rows_before(table.df, groups, _order(table, groups), block, cols, n, "__rows")
-    at = lambda i: F.get("__rows", F.size("__rows") - i)
-    return table.with_df(found.withColumns({f"shifted_{c}_{i}": at(i)[c] for c in cols for i in range(1, n + 1)}).drop("__rows"))
+    found, w = haloed(table.df, groups, _order(table, groups), block, cols, n)
+    return table.with_df(own(found.withColumns({f"shifted_{c}_{i}": F.lag(c, i).over(w) for c in cols for i in range(1, n + 1)})))
 
 
 def _cumulative(df: DataFrame, table: KeyedTable, groups: Sequence[str], names: Sequence[str], attr: str, affix: str, block: Column | None) -> KeyedTable:
@@ -85,13 +84,12 @@ def rolling_names(cols: Sequence[str], attr: str, window: int) -> dict[str, tupl
 def rolling_stats(table: KeyedTable, over: Sequence[str], cols: Sequence[str], attr: str, window: int, block: Column | None = None) -> KeyedTable:
     """The table with mean and sample deviation of the ``window`` rows before each row; null until all have values."""
     require(table.df.columns, [*over, *cols])
-    found = rows_before(table.df, over, _order(table, over), block, cols, window, "__rows")
-    more = {}
-    for i, (c, (mean, std)) in enumerate(rolling_names(cols, attr, window).items()):
-        found = found.withColumn(f"__m{i}", moments_of("__rows", c))
-        full = F.col(f"__m{i}")["n"] == window
-        more |= {mean: F.when(full, F.col(f"__m{i}")["mean"]), std: F.when(full, F.col(f"__m{i}")["std"])}
-    return table.with_df(found.withColumns(more).drop("__rows", *[f"__m{i}" for i in range(len(cols))]))
+    found, w = haloed(table.df, over, _order(table, over), block, cols, window)
+    before, more = w.rowsBetween(-window, -1), {}
+    for c, (mean, std) in rolling_names(cols, attr, window).items():
+        full = F.count(c).over(before) == window
+        more |= {mean: F.when(full, F.avg(c).over(before)), std: F.when(full, F.stddev_samp(c).over(before))}
+    return table.with_df(own(found.withColumns(more)))
 
 
 def grouped_rolling_stats(table: KeyedTable, over: Sequence[str], groups: Sequence[str], cols: Sequence[str], attr: str, window: int, block: Column | None = None) -> KeyedTable:

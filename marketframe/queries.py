@@ -13,7 +13,7 @@ from marketframe.functions import dates
 from marketframe.functions import math as fm
 from marketframe.keyed import KeyedTable
 from marketframe.operators import bars, indicators, mixture, nested, options, signals, stats
-from marketframe.operators.blocks import rows_before
+from marketframe.operators.blocks import haloed, own
 from marketframe.plans.pipeline import Pipeline
 from marketframe.sources import lake, tables
 from marketframe.sources.scratch import scratch, stored
@@ -352,9 +352,8 @@ c AS (SELECT *, CASE WHEN p <= 50 AND q > 50 THEN 1 WHEN p >= 50 AND q < 50 THEN
 
 def crossed(spark, sf_dir) -> DataFrame:
     df = stored(with_rsi(spark, sf_dir), "rsi").withColumn("RSI", F.round("RSI", 4))
-    df = rows_before(df, SERIES, ORDER, day_block(), ["value"], 9, "last")
-    total = F.aggregate("last", F.col("value"), lambda s, x: s + x["value"])
-    df = stored(df.withColumn("mean", total / (F.size("last") + 1)).drop("last"), "rsi")
+    found, w = haloed(df, SERIES, ORDER, day_block(), ["value"], 9)
+    df = stored(own(found.withColumn("mean", F.avg("value").over(w.rowsBetween(-9, 0)))), "rsi")
     df = indicators.crossover(df, "RSI", 50, SERIES, ORDER, "half", day_block())
     return indicators.crossover(df, "value", "mean", SERIES, ORDER, "own", day_block())
 

@@ -49,8 +49,8 @@ def test_rows_before(df, cut):
 @pytest.mark.parametrize("cut", CUTS)
 def test_carried(df, cut):
     sums = of(blocks.running_sums(df, ["g"], ORDER, F.expr(CUTS[cut]), {"s": "v"}), "s")
-    last = of(blocks.last_values(df, ["g"], ORDER, F.expr(CUTS[cut]), {"x": "v"}, own=True), "x")
-    before = of(blocks.last_values(df, ["g"], ORDER, F.expr(CUTS[cut]), {"x": "v"}, own=False), "x")
+    last = of(blocks.last_values(df, ["g"], ORDER, F.expr(CUTS[cut]), {"x": "v"}, own_too=True), "x")
+    before = of(blocks.last_values(df, ["g"], ORDER, F.expr(CUTS[cut]), {"x": "v"}, own_too=False), "x")
     moments = of(blocks.running_moments(df, ["g"], ORDER, F.expr(CUTS[cut]), {"m": "v"}), "m")
     for series in by_series().values():
         for i, r in enumerate(series):
@@ -94,7 +94,7 @@ def test_rows_are_shuffled_once(spark, df):
     try:
         for made in (
             blocks.running_moments(wide, ["g"], ORDER, F.expr(CUTS["days"]), {"m": "v"}), blocks.rows_before(wide, ["g"], ORDER, F.expr(CUTS["days"]), ["v"], 3, "last"),
-            blocks.last_values(wide, ["g"], ORDER, F.expr(CUTS["days"]), {"x": "v"}, own=True),
+            blocks.last_values(wide, ["g"], ORDER, F.expr(CUTS["days"]), {"x": "v"}, own_too=True),
         ):
             plan = made._jdf.queryExecution().executedPlan().toString()
             parts = re.split(r"(?=Exchange )", plan)
