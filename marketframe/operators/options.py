@@ -20,7 +20,13 @@ def parse_tickers(df: DataFrame, ticker: str = "ticker", strict: bool = True) ->
     A ticker is ``O:``, the underlying, YYMMDD, C or P, and the strike times
     1000 in eight digits, read from the right. Years are 20yy. A malformed one
     is an error, or nulls if not ``strict``.
+
+    The ticker passes through a generator of one row, which the optimiser doesn't
+    look through, so what it is made of is computed once and not for each part.
     """
+    names = df.columns
+    made = F.inline(F.array(F.struct(F.col(ticker).alias(ticker))))
+    df = df.select(*[c for c in names if c != ticker], made).select(*names)
     t, n = F.col(ticker), F.length(ticker)
     date = F.concat(F.lit("20"), F.substr(t, n - 14, F.lit(6)))
     underlying, kind, strike = F.substr(t, F.lit(3), n - 17), F.lower(F.substr(t, n - 8, F.lit(1))), F.right(t, F.lit(8))
