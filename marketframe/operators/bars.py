@@ -128,8 +128,10 @@ def _exact_percentiles(df: DataFrame, row, percentiles: Sequence[float]) -> list
     """The values at ceil(p * count) in order, for one column (see ``described``)."""
     if not row["count"]:
         return None
-    values = df.select(F.col(row["column"]).cast("double").alias("x")).where("x IS NOT NULL")
-    return [_ranked(values, max(1, math.ceil(round(p * row["count"], 9)))) for p in percentiles]
+    # NaN comes after all numbers, where no range could be cut
+    values = df.select(F.col(row["column"]).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
+    numbers, ranks = values.count(), [max(1, math.ceil(round(p * row["count"], 9))) for p in percentiles]
+    return [_ranked(values, rank) if rank <= numbers else math.nan for rank in ranks]
 
 
 def _ranked(values: DataFrame, rank: int) -> float:
