@@ -11,8 +11,9 @@ leak is lost. Small items can ask for one hit only; larger ones ask for more, so
 a long document that shares a common phrase with many items is a candidate of
 few. Candidates are compared with the item, shingle by shingle.
 
-All of it is DataFrame operations. The sketches are broadcast while they have at
-most ``BROADCAST_ROWS`` rows; beyond that they are joined by a shuffle.
+All of it is DataFrame operations. Sketches, candidates and leaking keys are
+counted and broadcast while they have at most ``BROADCAST_ROWS`` rows, so texts
+stay where they are read; beyond that they are joined by a shuffle.
 
 Words are runs of letters and digits in lower case, so case and punctuation
 don't hide a leak.
@@ -90,6 +91,11 @@ def sketches(items: DataFrame, percent: int = PERCENT) -> DataFrame:
     return one.withColumn("rank", rank).where(F.col("rank") <= most).select("h", "item", "size_class")
 
 
+def _sent(small: DataFrame, rows: int) -> DataFrame:
+    """The smaller side of a join, with its number of rows: broadcast within the bound, else sorted and merged."""
+    return F.broadcast(small) if rows <= BROADCAST_ROWS else small.hint("merge")
+
+
 def leaks(
     docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id", text: str = "text", item_text: str = "text", percent: int = PERCENT
 ) -> DataFrame:
@@ -111,12 +117,12 @@ def leaks(
     sketch = saved(sketches(items, percent), "benchmark-sketches")
     rows = docs.select(F.col(key).alias("key"), text_of(text).alias("text")).where("key IS NOT NULL")
     met = rows.select("key", F.explode(_of_lengths(shingle_hashes, F.col("text"), lengths)).alias("h"))
-    met = met.join(F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch, "h")
+    met = met.join(_sent(sketch, sketch.count()), "h")
     held = met.select("key", "item", "size_class", "h").distinct().groupBy("key", "item", "size_class").agg(F.count("*").alias("held"))
     candidates = saved(held.where(F.col("held") >= hits(F.col("size_class"))).select("key", "item"), "leak-candidates")
     compared = (
-        # candidates grow with the corpus, so they are never broadcast
-        rows.join(candidates.groupBy("key").agg(F.collect_set("item").alias("found")).hint("merge"), "key")
+        # few documents are candidates; where they are many after all, texts are shuffled
+        rows.join(_sent(candidates.groupBy("key").agg(F.collect_set("item").alias("found")), candidates.count()), "key")
         .select("key", _of_lengths(shingles, F.col("text"), lengths).alias("held"), F.explode("found").alias("item"))
         .join(items.select("item", "n", "shingles"), "item")
         .withColumn("n_shared", F.size(F.array_intersect("held", "shingles")))
@@ -133,4 +139,5 @@ def leaks(
 
 def clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the documents that leak an item; rows with a null key stay."""
-    return docs.join(leaks(docs, benchmark, key, **how).select(key).distinct(), key, "left_anti").select(*docs.columns)
+    leaking = saved(leaks(docs, benchmark, key, **how).select(key).distinct(), "leaking-keys")
+    return docs.join(_sent(leaking, leaking.count()), key, "left_anti").select(*docs.columns)

@@ -98,6 +98,21 @@ def test_no_python_in_the_plan(spark, docs):
     assert not re.search("Python|Pandas|Arrow", dc.leaks(docs, bench)._jdf.queryExecution().toString())
 
 
+def test_texts_are_not_shuffled(spark, monkeypatch):
+    """Both plans give the same rows; within the bound no join shuffles, so no text is dealt anew."""
+    docs = spark.createDataFrame([(1, "x a b c d e f"), (2, "b c d e f g h y"), (3, "nothing of the kind is here"), (None, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f"), (2, "b c d e f g h")], "item_id bigint, text string")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found, left = dc.leaks(docs, bench), dc.clean(docs, bench)
+    near = sorted(map(tuple, found.collect())), sorted(map(str, left.collect()))
+    assert "SortMergeJoin" not in plan(dc.clean(docs, bench)) and "hashpartitioning" not in plan(dc.clean(docs, bench))
+    monkeypatch.setattr(dc, "BROADCAST_ROWS", 0)
+    found, left = dc.leaks(docs, bench), dc.clean(docs, bench)
+    assert "SortMergeJoin" in plan(found) and "SortMergeJoin" in plan(left)
+    assert len(near[0]) == 2 and len(near[1]) == 2
+    assert near == (sorted(map(tuple, found.collect())), sorted(map(str, left.collect())))
+
+
 def test_size_partitions(spark):
     """A document that holds just enough of an item has the hits that the item's size class asks for."""
     from pyspark.sql import functions as F
