@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from marketframe.functions.dates import session_label
 from marketframe.operators.scan import walked
@@ -104,54 +105,97 @@ def daily_bars(df: DataFrame, groups: Sequence[str], ts: str, zone: str = "Ameri
 def described(df: DataFrame, cols: Sequence[str], percentiles: Sequence[float] = (0.2, 0.4, 0.6, 0.8), exact: bool = True) -> DataFrame:
     """A row per column: count, nulls, mean, deviation, least, percentiles (values of the column) and greatest.
 
-    Exact percentiles are found by rank: values are counted in ranges, which a
-    sketch cuts, and the one that holds a percentile is cut again until it has at
-    most ``RANGE_ROWS`` rows or one value, so no task orders more than that.
-    ``exact=False`` takes the sketch's own values.
+    Exact percentiles are found by rank, all columns and percentiles together: a
+    sketch cuts the values into ranges, the range that holds a rank is cut again
+    by a further scan until it has at most ``RANGE_ROWS`` rows between its ends,
+    and one last scan counts what lies in the ranges, value by value. That is two
+    scans up to some 40 million rows, three up to some ten billion. NaN is after
+    all numbers. ``exact=False`` takes the sketch's own values.
     """
     stats = {"count": F.count, "null_count": lambda c: F.count_if(F.isnull(c)), "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     cast = lambda c, n, f: f(c).cast("bigint" if "count" in n else "double").alias(n)
     sketch = lambda c: F.percentile_approx(c, list(percentiles)).cast("array<double>").alias("ranks")
-    struct = lambda c: F.struct(F.lit(c).alias("column"), *[cast(c, n, f) for n, f in stats.items()], sketch(c))
+    whole = lambda c: _inside(_number(c), -math.inf, math.inf).alias("span")
+    struct = lambda c: F.struct(F.lit(c).alias("column"), *[cast(c, n, f) for n, f in stats.items()], whole(c) if exact else sketch(c))
     found = df.agg(F.array(*map(struct, cols)).alias("all")).select(F.inline("all"))
     if exact:
         known = found.collect()  # a row per column
-        found = df.sparkSession.createDataFrame([(*row[:-1], _exact_percentiles(df, row, percentiles)) for row in known], found.schema)
+        ranks = _exact_percentiles(df, known, percentiles)
+        schema = found.drop("span").schema.add("ranks", ArrayType(DoubleType()))
+        found = df.sparkSession.createDataFrame([(*row[:-1], values) for row, values in zip(known, ranks, strict=True)], schema)
     return found.select("column", *stats, *[F.col("ranks")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(percentiles)])
 
 
-#: Rows that are ordered at once when a percentile is found by rank.
+#: Rows between the ends of a range whose values are ordered at once.
 RANGE_ROWS = 100_000
+#: The parts into which a sketch cuts a range, and its accuracy: it misses a rank by one in so many rows.
+PARTS, ACCURACY = 1024, 10_000
 
 
-def _exact_percentiles(df: DataFrame, row, percentiles: Sequence[float]) -> list[float] | None:
-    """The values at ceil(p * count) in order, for one column (see ``described``)."""
-    if not row["count"]:
+def _number(column: str) -> Column:
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
+def _inside(x: Column, lo: float, hi: float) -> Column:
+    """What a scan tells of a range: rows below, at the lower end, between the ends and at the upper one, and cuts of those between."""
+    between = F.when((x > lo) & (x < hi), x)
+    cuts = F.percentile_approx(between, [i / PARTS for i in range(1, PARTS)], ACCURACY)
+    return F.struct(F.count_if(x < lo).alias("below"), F.count_if(x == lo).alias("at_lo"), F.count(between).alias("between"), F.count_if(x == hi).alias("at_hi"), cuts.alias("cuts"))
+
+
+def _narrowed(span, lo: float, hi: float, rank: int, margin: float) -> tuple[float, float, float] | None:
+    """The part of a range that holds a rank, and the rows that may lie between its ends; None if the range doesn't hold it."""
+    rank -= span.below
+    if not 0 < rank <= span.at_lo + span.between + span.at_hi:
         return None
-    # NaN comes after all numbers, where no range could be cut
-    values = df.select(F.col(row["column"]).cast("double").alias("x")).where("x IS NOT NULL AND NOT isnan(x)")
-    numbers, ranks = values.count(), [max(1, math.ceil(round(p * row["count"], 9))) for p in percentiles]
-    return [_ranked(values, rank) if rank <= numbers else math.nan for rank in ranks]
-
-
-def _ranked(values: DataFrame, rank: int) -> float:
-    """The value of that rank: the range that holds it is narrowed by the cuts of a sketch until it is small."""
-    inside = values
-    while True:
-        ends = inside.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n"), F.percentile_approx("x", [i / 64 for i in range(1, 64)], 10_000).alias("cuts")).first()
-        if ends.lo == ends.hi:
-            return ends.lo
-        if ends.n <= RANGE_ROWS:
-            each = inside.groupBy("x").count().withColumn("upto", F.sum("count").over(Window.orderBy("x")))
-            return each.where(F.col("upto") >= rank).agg(F.min("x")).first()[0]
-        cuts = sorted({ends.lo, *ends.cuts} - {ends.hi})
-        upto = inside.agg(*[F.count_if(F.col("x") <= c).alias(f"c{i}") for i, c in enumerate(cuts)]).first()
-        below = max((i for i, n in enumerate(upto) if n < rank), default=None)
-        above = min((i for i, n in enumerate(upto) if n >= rank), default=None)
-        if below is not None:
-            inside, rank = inside.where(F.col("x") > cuts[below]), rank - upto[below]
-        if above is not None:
-            inside = inside.where(F.col("x") <= cuts[above])
+    if rank <= span.at_lo:
+        return lo, lo, 0
+    if rank > span.at_lo + span.between:
+        return hi, hi, 0
+    at, cuts = (rank - span.at_lo) / span.between, [lo, *span.cuts, hi]
+    first, last = max(0, math.floor((at - margin) * PARTS)), min(PARTS, math.ceil((at + margin) * PARTS))
+    return cuts[first], cuts[last], span.between * ((last - first) / PARTS + 2 * margin)
+
+
+def _exact_percentiles(df: DataFrame, known: list, percentiles: Sequence[float]) -> list[list[float] | None]:
+    """By column the values at ceil(p * count) in order; none of a column without values."""
+    found, spans = {}, {}
+    for row in known:
+        numbers = row["span"].at_lo + row["span"].between + row["span"].at_hi
+        for p in percentiles if row["count"] else ():
+            target = row["column"], max(1, math.ceil(round(p * row["count"], 9)))
+            if target[1] > numbers:
+                found[target] = math.nan
+            else:
+                spans[target] = (-math.inf, math.inf, row["span"])
+    margin = 2 / ACCURACY
+    while spans:
+        ranges = {t: _narrowed(span, lo, hi, t[1], margin) or (-math.inf, math.inf, math.inf) for t, (lo, hi, span) in spans.items()}
+        if all(rows <= RANGE_ROWS for _, _, rows in ranges.values()):
+            values = _values_at(df, {t: (lo, hi) for t, (lo, hi, _) in ranges.items()})
+            found |= values
+            ranges = {t: (-math.inf, math.inf, math.inf) for t in ranges if t not in values}
+            if not ranges:
+                break
+        # a range that didn't hold its rank was cut too closely: it begins again with more room
+        margin *= 4 if any(rows == math.inf for _, _, rows in ranges.values()) else 1
+        told = df.agg(*[_inside(_number(c), lo, hi).alias(f"t{i}") for i, ((c, _), (lo, hi, _)) in enumerate(ranges.items())]).first()
+        spans = {t: (lo, hi, told[i]) for i, (t, (lo, hi, _)) in enumerate(ranges.items())}
+    return [[found[row["column"], max(1, math.ceil(round(p * row["count"], 9)))] for p in percentiles] if row["count"] else None for row in known]
+
+
+def _values_at(df: DataFrame, ranges: dict[tuple[str, int], tuple[float, float]]) -> dict[tuple[str, int], float]:
+    """The values at ranks, by (column, rank) and the range that should hold it; those that it doesn't hold are left out."""
+    targets = list(ranges)
+    each = []
+    for i, (t, (lo, hi)) in enumerate(ranges.items()):
+        x = _number(t[0])
+        each.append(F.struct(F.lit(i).alias("i"), F.lit(t[1]).cast("bigint").alias("rank"), F.when((x >= lo) & (x <= hi), x).alias("x"), (x < lo).alias("under")))
+    counted = df.select(F.inline(F.array(*each))).where("x IS NOT NULL OR under").groupBy("i", "rank", "x").count()
+    upto = F.sum("count").over(Window.partitionBy("i").orderBy(F.asc_nulls_first("x")))
+    at = counted.withColumn("upto", upto).where("upto >= rank").groupBy("i").agg(F.min_by("x", "upto").alias("x"))
+    return {targets[r.i]: r.x for r in at.collect() if r.x is not None}
 
 
 def trading_days(df: DataFrame, ts: str) -> DataFrame:

@@ -64,7 +64,8 @@ def join_stocks(options: DataFrame, stocks: DataFrame) -> DataFrame:
     """Options with the columns of their underlying at the same time, as ``stock_*``; null without a match.
 
     The join key is the raw nanosecond time. Spark broadcasts the stock side if
-    it is measured to be small, else both sides are shuffled.
+    it is measured to be small, else both sides are shuffled, unless both are
+    tables in buckets by underlying (``ticker``) and time (``tables.bucketed``).
     """
     beside = stocks.select(F.col("ticker").alias("underlying"), "window_start", *[F.col(c).alias(f"stock_{c}") for c in STOCK_COLUMNS])
     return options.join(beside, ["underlying", "window_start"], "left")
@@ -183,12 +184,13 @@ def add_implied_vol(df: DataFrame, rate: float = 0.01, price: str = "close", spo
     def rows(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for batch in batches:
             of = lambda c, b=batch: b.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
-            kinds = np.array(batch.column(kind).to_pylist(), dtype=object)
-            found = implied_vols(of(price), of(spot), of(strike), of(t), rate, kinds == "c")
-            found[(kinds != "c") & (kinds != "p")] = np.nan
+            call, put = (pc.fill_null(pc.equal(batch.column(kind), one), False).to_numpy(zero_copy_only=False) for one in "cp")
+            found = implied_vols(of(price), of(spot), of(strike), of(t), rate, call)
+            found[~(call | put)] = np.nan
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, mask=np.isnan(found))], [*batch.schema.names, to])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -481,11 +481,28 @@ def chain(spark, sf_dir) -> DataFrame:
     return options.moneyness(options.join_stocks(trades, stock_prices(trades)))
 
 
-@query(CHAIN + "SELECT x.ticker, x.window_start, x.quantity, x.close, s.stock_close, round(s.stock_close / x.strike_price, 6) AS moneyness FROM x LEFT JOIN s USING (underlying, window_start)")
+_JOINED = CHAIN + "SELECT x.ticker, x.window_start, x.quantity, x.close, s.stock_close, round(s.stock_close / x.strike_price, 6) AS moneyness FROM x LEFT JOIN s USING (underlying, window_start)"
+
+
+@query(_JOINED)
 def j4_join_stocks(spark, sf_dir):
     return rounded(chain(spark, sf_dir).select("ticker", "window_start", "quantity", "close", "stock_close", "moneyness"))
 
 
+@query(_JOINED)
+def j4_bucketed_join(spark, sf_dir):
+    """The same join on tables in buckets: the prices are found, and the sides joined, without a shuffle."""
+    stored = lambda df, name, by: tables.bucketed(df, f"{name}_{uuid.uuid4().hex}", by, BUCKETS, scratch(spark, name))
+    trades = stored(options.parse_tickers(contracts(spark, sf_dir)), "trades", ["underlying", "window_start"])
+    stocks = stored(stock_prices(trades), "stocks", ["ticker", "window_start"])
+    joined = options.moneyness(options.join_stocks(trades, stocks))
+    return rounded(joined.select("ticker", "window_start", "quantity", "close", "stock_close", "moneyness"))
+
+
+#: Buckets of the registered query; a table takes as many as keep a bucket within a task's memory.
+BUCKETS = 64
+
+
 def _sql_horner(x: str, top: tuple, bottom: tuple) -> str:
     num, den = f"{top[-1]!r}::DOUBLE * {x}", x
     for p, q in zip(top[:-2], bottom[:-1], strict=True):
@@ -532,15 +549,20 @@ v AS (SELECT *, CASE WHEN opt_type = 'c' THEN stock_close * n1 - d * n2 ELSE d *
 greatest(CASE WHEN opt_type = 'c' THEN stock_close - d ELSE d - stock_close END, 0) AS low FROM k) """
 
 
-@query(_PRICED + f"""SELECT ticker, window_start, quantity, round(price, 6) + 0.0 AS close, CASE WHEN price - low > 0.01 THEN round(sigma, 6) END AS implied_vol FROM v
+#: A volatility is compared if the price changes by more than this per unit of it: below, the price's own rounding hides it.
+VEGA = 1e-5
+
+
+@query(_PRICED + f"""SELECT ticker, window_start, quantity, round(price, 6) + 0.0 AS close, CASE WHEN vega * 100 > {VEGA} THEN round(sigma, 6) END AS implied_vol FROM v
 UNION ALL SELECT ticker, window_start, quantity, NULL, NULL FROM c WHERE {_INVALID}""")
 def x4_implied_vol(spark, sf_dir):
-    """Prices at known volatilities, inverted; shown where the price has a time value that tells the volatility."""
+    """Prices at known volatilities, inverted; shown where the volatility moves the price."""
     priced = options.add_price(chain(spark, sf_dir).withColumn("sigma", 0.1 + F.col("vol")), sigma="sigma", to="close")
-    found = options.add_implied_vol(priced)
-    d = F.col("strike_price") * F.exp(-0.01 * F.col("t"))
-    low = F.greatest(F.when(F.col("opt_type") == "c", F.col("stock_close") - d).otherwise(d - F.col("stock_close")), F.lit(0.0))
-    return rounded(found.select("ticker", "window_start", "quantity", "close", F.when(F.col("close") - low > 0.01, F.col("implied_vol")).alias("implied_vol")))
+    found = options.add_implied_vol(priced.select("ticker", "window_start", "quantity", "close", "stock_close", "strike_price", "t", "opt_type", "sigma"))
+    s, years, v = F.col("stock_close"), F.when(F.col("t") > 0, F.col("t")), F.col("sigma")
+    d1 = F.try_divide(F.log(s / F.col("strike_price")) + (0.01 + v * v / 2) * years, v * F.sqrt(years))
+    vega = s * fm.norm_pdf(d1) * F.sqrt(years)
+    return rounded(found.select("ticker", "window_start", "quantity", "close", F.when(vega > VEGA, F.col("implied_vol")).alias("implied_vol")))
 
 
 @query(CHAIN + "SELECT ticker, window_start, round(0.1 + vol + (strike_price / 100 - 1) * -0.2 + (strike_price / 100 * strike_price / 100 - 1) * 0.05, 6) AS vol FROM x")

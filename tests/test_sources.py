@@ -1,6 +1,7 @@
 import gzip
 
 import pytest
+from pyspark.sql import functions as F
 
 from marketframe.sources import lake, tables
 
@@ -160,3 +161,32 @@ def test_sql(spark):
     df = spark.createDataFrame([(1,), (5,)], "a int")
     assert tables.run_sql(spark, "with x as (select * from {t}) select a from x where a > 2", {"t": df}).first().a == 5
     assert tables.run_sql(spark, "select max(a) as m from named", {"named": df}).first().m == 5
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tmp_path):
+    """Two tables in buckets by the same keys are grouped and joined where they are, one hot value included."""
+    from marketframe.operators import options
+
+    trades = [("HOT" if i % 3 else f"U{i % 7}", i % 50, float(i)) for i in range(900)]
+    stocks = sorted({(u, t, float(t)) for u, t, _ in trades if t % 5})
+    left = tables.bucketed(spark.createDataFrame(trades, "underlying string, window_start bigint, close double"), "bucketed_trades", ["underlying", "window_start"], 4, str(tmp_path / "t"))
+    right = spark.createDataFrame(stocks, "ticker string, window_start bigint, close double").select("*", *[F.col("close").alias(c) for c in ("volume", "open", "high", "low", "transactions")])
+    right = tables.bucketed(right, "bucketed_stocks", ["ticker", "window_start"], 4, str(tmp_path / "s"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = options.join_stocks(left, right)
+        grouped = left.groupBy("underlying", "window_start").count()
+        for df in (joined, grouped):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        known = {(u, t): c for u, t, c in stocks}
+        got = sorted((r.underlying, r.window_start, r.close, r.stock_close) for r in joined.collect())
+        assert [x[:3] for x in got] == sorted(trades) and all(x[3] == known.get(x[:2]) for x in got)
+        assert sum(r["count"] for r in grouped.collect()) == 900
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("bucketed_trades", "bucketed_stocks"):
+            spark.sql(f"DROP TABLE {name}")
+    again = tables.bucketed(left.sparkSession.range(10), "bucketed_ids", ["id"], 2, str(tmp_path / "i"))
+    assert again.count() == 10
+    spark.sql("DROP TABLE bucketed_ids")
