@@ -17,7 +17,9 @@ and every candidate is verified by its edit distance. No link is lost.
 
 The order needs to be total, not exact: bigrams are counted in ``BUCKETS`` buckets,
 and those of one bucket count as the same gram. These counts, fixed in number for
-any alphabet, are all that is sent to every task.
+any alphabet, are all that is sent to every task. All joins are by shuffle: Spark sizes
+a table by its compressed file, and takes the entries, some forty rows a word, for
+little more than the words themselves, so by its own choice it would broadcast them.
 
 A word's form is its near word with the largest count (ties: the least in
 code-point order), if that count is at least ``ratio`` times its own; roots follow
@@ -183,7 +185,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
     counts = gram_counts(words)
     names = lambda df, x: df.select("k", *[F.col(c).alias(x + c) for c in ("word", "n", "last")])
     asks, holds = names(_entries(words, asked, counts), "p"), names(_entries(words, held, counts), "q")
-    met = asks.join(holds, "k").where("plast <= qlast AND pword <> qword AND abs(length(pword) - length(qword)) <= 1").where(F.levenshtein("pword", "qword", 1) == 1)
+    met = asks.join(holds.hint("merge"), "k").where("plast <= qlast AND pword <> qword AND abs(length(pword) - length(qword)) <= 1").where(F.levenshtein("pword", "qword", 1) == 1)
     one, two = F.struct(F.col("pword").alias("w"), F.col("pn").alias("n")), F.struct(F.col("qword").alias("w"), F.col("qn").alias("n"))
     pairs = met.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
     return pairs.select(F.col("x.w").alias("a"), F.col("x.n").alias("na"), F.col("y.w").alias("b"), F.col("y.n").alias("nb"))
@@ -198,7 +200,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = saved(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         then = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        new = saved(now.join(then, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
+        new = saved(now.join(then.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         now = new.select("word", "root")
         if new.where("moved").isEmpty():
             return now
@@ -214,11 +216,11 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     takes = -F.col("best.m") >= ratio * F.col("n")
     found = saved(
-        words.join(near, "word", "left").select(
+        words.join(near.hint("merge"), "word", "left").select(
             "word", F.when(takes, F.col("best.other")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"),
             F.when(takes, -F.col("best.m")).alias("form_n"),
         ),
         "variants",
     )
     last = roots(found.where("form IS NOT NULL"))
-    return found.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(last.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

@@ -104,6 +104,21 @@ def test_texts_to_variants(spark):
     assert result(spelling.variants(words)) == plain(counted(rows))
 
 
+def test_no_table_is_broadcast(spark):
+    """Files don't tell how large a table is in memory, nor words how many entries they have."""
+    def executions() -> list:
+        found = spark._jsparkSession.sharedState().statusStore().executionsList()
+        return [found.apply(i) for i in range(found.size())]
+
+    before = max((x.executionId() for x in executions()), default=-1)
+    counts = {"a" * i + x + "b" * 8: n for i in range(9) for x, n in (("c", 5), ("d", 50), ("e", 500))}
+    assert result(spelling.variants(spark.createDataFrame(list(counts.items()), "word string, n bigint").coalesce(1))) == plain(counts)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = [x.physicalPlanDescription() for x in executions() if x.executionId() > before]
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_nothing(spark, empty):
     df = spelling.variants(spelling.vocabulary(empty))
     assert df.collect() == [] and df.columns == ["word", "form", "root", "n", "n_near", "form_n"]
